@@ -10,7 +10,8 @@ from ward_analytics.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = local_session("tests", memory="4g")
-    session.conf.set("spark.sql.shuffle.partitions", "4")
+    shared = tmp_path_factory.mktemp("shared")
+    conf = {"spark.checkpoint.dir": str(shared), "spark.sql.shuffle.partitions": "4"}
+    session = local_session("tests", memory="4g", conf=conf)
     yield session
     session.stop()

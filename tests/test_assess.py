@@ -1,0 +1,243 @@
+"""Assessments, trends, causes and reports on hand-made histories."""
+
+import datetime as dt
+import itertools
+
+import pytest
+from pyspark.sql import functions as F
+
+from ward_analytics.catalogue import VITALS
+from ward_analytics.operators import assess, latest, narrative, serving
+from ward_analytics.schemas import PATIENTS, SCORES
+
+NOW = dt.datetime(2024, 1, 1, 12)
+NORMAL = (72.0, 16.0, 98.0, 118.0, 98.6)
+
+
+def history(spark, rows):
+    """rows: (patient, minutes before noon, five vitals in catalogue order[, score])."""
+    data = [
+        (p, NOW - dt.timedelta(minutes=m), s[0] if s else 3, "LOW", *vitals, NOW)
+        for p, m, vitals, *s in rows
+    ]
+    return spark.createDataFrame(data, SCORES)
+
+
+def profile(patient=1, conditions=(), past=None, drugs=()):
+    return (patient, "N", None, None, None, [], list(conditions), past, list(drugs), None, None, NOW)
+
+
+def causes(spark, vitals, *profiles):
+    long = assess.assessments(
+        history(spark, [(1, 0, vitals)]), spark.createDataFrame(list(profiles), PATIENTS), NOW
+    )
+    return {r.vital_sign: r.causes and r.causes.removeprefix("Likely causes: ") for r in long.collect()}
+
+
+def with_vital(**changes):
+    return tuple(changes.get(v, n) for v, n in zip(VITALS, NORMAL))
+
+
+LUNG, HEART = profile(conditions=["COPD"], past="Former smoker."), profile(
+    conditions=["Heart Failure"], drugs=["Carvedilol", "Furosemide"]
+)
+
+CASES = [
+    (with_vital(), profile(), {}),
+    (with_vital(temperature=104.0), profile(), {"temperature": "infection, viral illness (e.g. cold or flu), sepsis"}),
+    (with_vital(temperature=104.0), LUNG, {"temperature": "infection, viral illness (e.g. cold or flu), sepsis"}),
+    (with_vital(temperature=94.0), profile(), {"temperature": "exposure to cold, hypothermia, sepsis with shock"}),
+    (with_vital(heart_rate=120.0), profile(), {"heart_rate": "pain or anxiety, dehydration"}),
+    (with_vital(heart_rate=120.0), HEART, {"heart_rate": "pain or anxiety, dehydration, heart failure decompensation"}),
+    (with_vital(heart_rate=120.0), LUNG, {"heart_rate": "pain or anxiety, dehydration, respiratory distress"}),
+    (with_vital(heart_rate=45.0), profile(), {"heart_rate": "medication effect, heart block, hypothermia"}),
+    (with_vital(heart_rate=45.0), HEART, {"heart_rate": "beta-blocker effect, medication effect, heart block"}),
+    (with_vital(respiratory_rate=30.0), profile(), {"respiratory_rate": "anxiety, pain, metabolic acidosis"}),
+    (with_vital(respiratory_rate=30.0), LUNG, {"respiratory_rate": "COPD exacerbation, bronchospasm, anxiety"}),
+    (with_vital(respiratory_rate=9.0), LUNG, {"respiratory_rate": "sedation, neurological injury, respiratory fatigue"}),
+    (with_vital(spo2=90.0), profile(), {"spo2": "pneumonia, fluid in lungs, atelectasis"}),
+    (with_vital(spo2=90.0), LUNG, {"spo2": "COPD exacerbation, mucus plugging, pneumonia"}),
+    (with_vital(systolic_bp=85.0), profile(), {"systolic_bp": "dehydration, blood loss, medication effect"}),
+    (with_vital(systolic_bp=85.0), HEART, {"systolic_bp": "diuretic effect, dehydration, blood loss"}),
+    (with_vital(systolic_bp=230.0), HEART, {"systolic_bp": "severe pain, hypertensive emergency, medication non-adherence"}),
+    (
+        (120.0, 30.0, 90.0, 85.0, 104.0), LUNG,
+        {
+            "heart_rate": "infection or sepsis, pain or anxiety, dehydration",
+            "respiratory_rate": "pneumonia or chest infection, COPD exacerbation, bronchospasm",
+            "spo2": "infection, COPD exacerbation, mucus plugging",
+            "systolic_bp": "septic shock, dehydration, blood loss",
+            "temperature": "infection, viral illness (e.g. cold or flu), sepsis",
+        },
+    ),
+    (
+        (120.0, 30.0, 90.0, 118.0, 98.6), profile(),
+        {
+            "heart_rate": "infection or sepsis, pain or anxiety, dehydration",
+            "respiratory_rate": "anxiety, pain, metabolic acidosis",
+            "spo2": "pneumonia, fluid in lungs, atelectasis",
+        },
+    ),
+    (
+        (72.0, 16.0, 98.0, 85.0, 104.0), HEART,
+        {
+            "systolic_bp": "diuretic effect, dehydration, blood loss",
+            "temperature": "infection, viral illness (e.g. cold or flu), sepsis",
+        },
+    ),
+    (
+        (120.0, 16.0, 98.0, 85.0, 94.0), HEART,
+        {
+            "heart_rate": "infection or sepsis, pain or anxiety, dehydration",
+            "systolic_bp": "diuretic effect, septic shock, dehydration",
+            "temperature": "exposure to cold, hypothermia, sepsis with shock",
+        },
+    ),
+]
+
+
+@pytest.mark.parametrize("vitals, who, expected", CASES)
+def test_causes(spark, vitals, who, expected):
+    assert causes(spark, vitals, who) == {**dict.fromkeys(VITALS), **expected}
+
+
+def test_patient_without_profile_has_an_empty_context(spark):
+    other = profile(patient=2, conditions=["COPD"])
+    assert causes(spark, with_vital(spo2=90.0), other)["spo2"] == "pneumonia, fluid in lungs, atelectasis"
+
+
+def test_latest_missing_vital_has_no_assessment(spark):
+    scores = history(spark, [(1, 60, NORMAL), (1, 0, (None, 16.0, float("nan"), 118.0, 98.6))])
+    long = assess.assessments(scores, None, NOW)
+    assert [r.vital_sign for r in long.orderBy("vital_order").collect()] == [
+        "respiratory_rate", "systolic_bp", "temperature",
+    ]
+    cards = {r.vital_sign: r for r in assess.vital_cards(assess.patient_assessments(scores, None, NOW)).collect()}
+    assert (cards["heart_rate"].value_text, cards["heart_rate"].severity) == ("nan", "normal")
+    assert cards["temperature"].value_text == "37.00"
+    assert cards["spo2"].trend is None
+
+
+def test_vital_without_data(spark):
+    scores = history(spark, [(1, 5, (None, 16.0, 98.0, 118.0, 98.6)), (1, 0, (None, 16.0, 98.0, 118.0, None))])
+    rows = assess.patient_assessments(scores, None, NOW)
+    card = assess.vital_cards(rows).filter("vital_sign = 'heart_rate'").first()
+    assert (card.value_text, card.severity, card.y_min) == ("No data", None, None)
+    coverage = assess.vital_coverage(serving.to_celsius(scores))
+    assert {r.vital_sign: (r.n_values, r.status) for r in coverage.collect()} == {
+        "heart_rate": (0, "No data"), "respiratory_rate": (2, None), "spo2": (2, None),
+        "systolic_bp": (2, None), "temperature": (1, None),
+    }
+    assert "heart_rate" not in [r.vital_sign for r in assess.axis_domain(scores).collect()]
+
+
+def test_trends(spark):
+    first, last = (72.0, 16.0, 98.0, 118.0, 37.0), (73.0, 15.0, 97.0, 119.0, 37.4)
+    scores = history(spark, [(1, 9, first), (1, 0, last), (2, 0, first), (3, 9, (None, *first[1:])), (3, 0, first)])
+    found = {(r.patient_id, r.vital_sign): r.trend for r in assess.trends(scores).collect()}
+    assert [found[1, v] for v in VITALS] == ["worsening", "improving", "worsening", "improving", None]
+    assert [found[2, v] for v in VITALS] == [None] * 5
+    assert found[3, "heart_rate"] is None
+
+
+def test_axis_domain(spark):
+    scores = history(spark, [(1, 9, (50.0, 16.0, 98.0, 118.0, 37.0)), (1, 0, (120.0, 16.0, 98.0, 118.0, 37.0))])
+    row = assess.axis_domain(scores).filter("vital_sign = 'heart_rate'").first()
+    assert (row.y_min, row.y_max) == (min(50 * 0.9, 60 * 0.85), max(120 * 1.1, 100 * 1.15))
+
+
+def test_look_back_is_inclusive_and_open_above(spark):
+    scores = history(spark, [(1, 360, NORMAL), (1, 361, NORMAL), (1, -60, NORMAL)])
+    minutes = [(NOW - r.window_start).total_seconds() / 60 for r in latest.last_hours(scores, NOW).collect()]
+    assert sorted(minutes) == [-60, 360]
+
+
+def test_newest_row_breaks_ties_by_score(spark):
+    scores = history(spark, [(1, 0, NORMAL, 2), (1, 0, NORMAL, 9), (1, 5, NORMAL, 14)])
+    for pick in (latest.latest_scores, latest.latest_scores_ranked):
+        assert [r.news2_score for r in pick(scores).collect()] == [9]
+
+
+def test_id_range_includes_both_ends(spark):
+    df = spark.range(5).withColumnRenamed("id", "patient_id")
+    assert [r.patient_id for r in latest.in_id_range(df, 1, 3).orderBy("patient_id").collect()] == [1, 2, 3]
+
+
+def test_history_of_some_patients_in_time_order(spark):
+    scores = history(spark, [(2, 0, NORMAL), (2, 5, NORMAL), (1, 0, NORMAL), (3, 0, NORMAL)])
+    rows = serving.vitals_history(scores, [2, 3]).collect()
+    assert [(r.patient_id, r.temperature) for r in rows] == [(2, 37.0), (2, 37.0), (3, 37.0)]
+    assert rows[0].window_start < rows[1].window_start
+    assert rows[0].created_at == NOW
+
+
+def test_reports(spark):
+    start, end = with_vital(spo2=98.0), (120.0, 16.0, 90.0, 118.0, 98.6)
+    scores = history(spark, [(1, 9, start), (1, 0, end, 7), (2, 0, NORMAL, 0)])
+    people = spark.createDataFrame([LUNG, profile(2)], PATIENTS)
+    rows = assess.patient_assessments(scores, people, NOW)
+    panel = {r.patient_id: r for r in narrative.active_problems(rows).collect()}
+    assert panel[1].heading == "Active Problem (NEWS2 7 — LOW)"
+    assert panel[1].medical == "Patient presents with Hypoxemia (90.0 %) and Tachycardia (120.0 bpm)."
+    assert panel[1].causes == (
+        "COPD exacerbation; mucus plugging; pneumonia; pain or anxiety; dehydration; respiratory distress"
+    )
+    assert panel[1].plain_english == (
+        "Oxygen saturation critically low and getting worse.\n"
+        "Heart rate significantly elevated and getting worse."
+    )
+    assert panel[2].heading == "No active problems — all vitals within normal range."
+    assert (panel[2].n_problems, panel[2].medical, panel[2].plain_english) == (0, None, None)
+    text = {r.patient_id: r.narrative for r in narrative.medical_narrative(rows).collect()}
+    assert text[1].startswith(panel[1].medical + "\nLikely contributing factors:\n  • COPD exacerbation\n  • ")
+    assert text[2] is None
+
+
+def test_equal_scores_stay_in_catalogue_order(spark):
+    scores = history(spark, [(1, 0, (135.0, 28.0, 90.0, 85.0, 98.6))])
+    text = narrative.active_problems(assess.patient_assessments(scores, None, NOW)).first().medical
+    order = [text.index(w) for w in ("tachycardia", "tachypnea", "Hypoxemia", "Hypotension")]
+    assert order == sorted(order)
+
+
+def test_prompt(spark):
+    scores = history(spark, [(1, 5, (72.0, None, 98.0, 118.0, None), 6), (1, 0, NORMAL, 2), (9, 0, NORMAL, 2)])
+    people = spark.createDataFrame(
+        [
+            (1, "N", None, dt.date(1957, 1, 2), "F", [], ["COPD", "Asthma"], None, ["x"], None, None, NOW),
+            profile(2),
+        ],
+        PATIENTS,
+    )
+    prompts = {r.patient_id: r.prompt for r in narrative.clinical_prompts(scores, people, NOW).collect()}
+    assert set(prompts) == {1, 2}
+    lines = prompts[1].split("\n")
+    assert lines[0].endswith(
+        "Patient background: 66 years old, F, COPD, Asthma, x. Their vitals over the last 6 hours:"
+    )
+    assert lines[1:5] == [
+        "Time | HR | RR | SpO2 | SBP | Temp(°C) | NEWS2 | Risk",
+        "-----|----|----|------|-----|----------|-------|-----",
+        "2024-01-01 11:55:00 | 72.0 | None | 98.0 | 118.0 | — | 6 | LOW",
+        "2024-01-01 12:00:00 | 72.0 | 16.0 | 98.0 | 118.0 | 37.0 | 2 | LOW",
+    ]
+    assert lines[5].startswith("Current NEWS2 score: 2 - LOW. In 2-3 sentences")
+    assert "age unknown, unknown, none documented, none documented" in prompts[2]
+    assert "No vitals recorded in the last 6 hours.\nCurrent NEWS2 score: — - UNKNOWN." in prompts[2]
+
+
+def test_every_cause_is_reached(spark):
+    """All combinations of low, normal and high vitals, for every kind of profile."""
+    levels = [(45.0, 72.0, 120.0), (9.0, 16.0, 30.0), (90.0, 98.0), (85.0, 118.0, 230.0), (94.0, 98.6, 104.0)]
+    grid = list(itertools.product(*levels))
+    kinds = [LUNG, HEART, profile()]
+    rows = [(i * len(kinds) + k, 0, v) for i, v in enumerate(grid) for k in range(len(kinds))]
+    people = [(p, *kinds[p % len(kinds)][1:]) for p, _, _ in rows]
+    long = assess.assessments(history(spark, rows), spark.createDataFrame(people, PATIENTS), NOW)
+    found = long.select(F.explode(F.split(F.replace("causes", F.lit("Likely causes: ")), ", "))).distinct()
+    shown = {r[0] for r in found.collect()}
+    always_cut = {"respiratory infection", "hypoxia-driven breathing"}
+    listed = {
+        c.text for rule in assess.CAUSE_RULES.values() for c in rule.above + rule.otherwise
+    }
+    assert shown == listed - always_cut

@@ -154,13 +154,13 @@ CAUSE_RULES = {
     "respiratory_rate": CauseRule(
         20.0,
         (
-            Cause("pneumonia or chest infection", needs="fever"),
+            Cause("pneumonia or chest infection", needs="has_fever"),
             Cause("COPD exacerbation", terms=("copd", "asthma")),
             Cause("bronchospasm", terms=("copd", "asthma")),
             Cause("anxiety"),
             Cause("pain"),
             Cause("metabolic acidosis"),
-            Cause("hypoxia-driven breathing", needs="hypoxia"),
+            Cause("hypoxia-driven breathing", needs="has_hypoxia"),
         ),
         (Cause("sedation"), Cause("neurological injury"), Cause("respiratory fatigue")),
     ),
@@ -168,7 +168,7 @@ CAUSE_RULES = {
         None,
         (),
         (
-            Cause("infection", needs="fever"),
+            Cause("infection", needs="has_fever"),
             Cause("COPD exacerbation", terms=("copd", "asthma")),
             Cause("mucus plugging", terms=("copd", "asthma")),
             Cause("pneumonia", terms=("smok", "pneumonia")),

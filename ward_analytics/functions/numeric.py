@@ -21,11 +21,10 @@ from ward_analytics.catalogue import (
 
 def band_column(cases: Sequence[tuple[Column, object]], default: object) -> Column:
     """The value of the first case that holds, else ``default``; one CASE expression."""
-    value = lambda v: v if isinstance(v, Column) else F.lit(v)
-    result = None
+    result = F
     for condition, answer in cases:
-        result = (F.when if result is None else result.when)(condition, value(answer))
-    return result.otherwise(value(default))
+        result = result.when(condition, answer)
+    return result.otherwise(default)
 
 
 def score_vital(vital: str, c: Column, missing: str = "reference") -> Column:

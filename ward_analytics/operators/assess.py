@@ -10,7 +10,7 @@ from __future__ import annotations
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ward_analytics.catalogue import (
@@ -42,19 +42,22 @@ def unpivot_vitals(scores: DataFrame, ids: tuple[str, ...] = ("patient_id", "win
     return long.filter(F.col("value").isNotNull())
 
 
-def vital_catalogue(df: DataFrame) -> DataFrame:
+def vital_catalogue(spark: SparkSession) -> DataFrame:
     """The five catalogue rows as a table."""
-    rows = [(i, *v) for i, v in enumerate(VITAL_CATALOGUE, start=1)]
-    return df.sparkSession.createDataFrame(
-        rows,
-        "vital_order int, vital_sign string, label string, low double, high double, "
-        "description string",
-    )
+    entries = [
+        F.struct(
+            F.lit(order).alias("vital_order"),
+            F.lit(vital.name).alias("vital_sign"),
+            *(F.lit(getattr(vital, f)).alias(f) for f in ("label", "low", "high", "description")),
+        )
+        for order, vital in enumerate(VITAL_CATALOGUE, start=1)
+    ]
+    return spark.range(1).select(F.inline(F.array(*entries)))
 
 
 def vital_catalogue_join(readings: DataFrame) -> DataFrame:
     """Label and range of each reading's vital; the catalogue has five rows, so it is broadcast."""
-    return readings.join(F.broadcast(vital_catalogue(readings)), "vital_sign")
+    return readings.join(F.broadcast(vital_catalogue(readings.sparkSession)), "vital_sign")
 
 
 def period_summary(history: DataFrame) -> DataFrame:
@@ -133,6 +136,13 @@ def axis_domain(history: DataFrame) -> DataFrame:
     return long.filter(F.col("y_min").isNotNull())
 
 
+TERM_SETS = tuple(
+    dict.fromkeys(
+        c.terms for rule in CAUSE_RULES.values() for c in rule.above + rule.otherwise if c.terms
+    )
+)
+
+
 def patient_contexts(patients: DataFrame) -> DataFrame:
     context = profile_context(
         F.col("past_medical_conditions"), F.col("medical_history"), F.col("current_medications")
@@ -140,22 +150,24 @@ def patient_contexts(patients: DataFrame) -> DataFrame:
     return patients.select("patient_id", context.alias("context"))
 
 
-def _cause_condition(cause: Cause) -> Column:
-    findings = {
-        "fever": F.col("has_fever"),
-        "hypoxia": F.col("has_hypoxia"),
-        "fever_or_multi": F.col("has_fever") | F.col("is_multi"),
-        "fever_and_multi": F.col("has_fever") & F.col("is_multi"),
-    }
-    if cause.needs:
-        return findings[cause.needs]
-    if cause.terms:
-        return has_term(F.col("context"), *cause.terms)
-    return F.lit(True)
+def _finding_columns() -> dict[str, Column]:
+    """What causes depend on, as columns: findings of the row, and each set of profile terms once."""
+    fever, multi = F.col("has_fever"), F.col("is_multi")
+    columns = {"fever_or_multi": fever | multi, "fever_and_multi": fever & multi}
+    for terms in TERM_SETS:
+        columns[_term_column(terms)] = has_term(F.col("context"), *terms)
+    return columns
+
+
+def _term_column(terms: tuple[str, ...]) -> str:
+    return "mentions_" + "_".join(terms).replace(" ", "_")
 
 
 def _listed(causes: tuple[Cause, ...]) -> Column:
-    items = [F.when(_cause_condition(c), c.text) for c in causes]
+    items = []
+    for cause in causes:
+        condition = cause.needs or (_term_column(cause.terms) if cause.terms else None)
+        items.append(F.when(F.col(condition), cause.text) if condition else F.lit(cause.text))
     return F.array_compact(F.array(*items))
 
 
@@ -201,6 +213,7 @@ def patient_assessments(
             "n_abnormal": n_abnormal,
         })
         .withColumn("is_multi", F.col("n_abnormal") >= MULTI_SYSTEM)
+        .withColumns(_finding_columns())
     )
     entries = []
     for order, vital in enumerate(VITAL_CATALOGUE, start=1):
@@ -228,9 +241,14 @@ def assessments(
     as_of: Column | datetime | str,
     hours: int = 6,
 ) -> DataFrame:
-    """One row per patient and vital of the newest row."""
+    """One row per patient and vital of the newest row.
+
+    The outer form and a filter behind it: for the inner one Spark would test the array for
+    entries below the generator, and so work out all of it twice.
+    """
     rows = patient_assessments(scores, patients, as_of, hours)
-    return rows.select("patient_id", F.inline("assessments"))
+    long = rows.select("patient_id", F.inline_outer("assessments"))
+    return long.filter(F.col("vital_order").isNotNull())
 
 
 def likely_causes(

@@ -250,7 +250,7 @@ listed AS (
   FROM assessed a JOIN flags f USING (patient_id) LEFT JOIN contexts x USING (patient_id)
   JOIN cause_list c ON c.cause_vital = a.vital_sign AND c.is_above = (a.last_value > c.split)
   WHERE a.score > 0
-    AND (c.needs IS NULL OR CASE c.needs WHEN 'fever' THEN f.fever WHEN 'hypoxia' THEN f.hypoxia
+    AND (c.needs IS NULL OR CASE c.needs WHEN 'has_fever' THEN f.fever WHEN 'has_hypoxia' THEN f.hypoxia
       WHEN 'fever_or_multi' THEN f.fever OR f.n_abnormal >= 3
       WHEN 'fever_and_multi' THEN f.fever AND f.n_abnormal >= 3 END)
     AND (len(c.terms) = 0

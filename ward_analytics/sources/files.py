@@ -11,26 +11,31 @@ from pyspark.sql import types as T
 from ward_analytics.schemas import READING, SCORES, as_nullable
 
 
+def _only_numbers(readings: DataFrame) -> DataFrame:
+    """The four columns of a reading; a value that is missing or no number fails the job."""
+    value = F.coalesce(F.col("value").try_cast("double"), F.raise_error("value is not a number"))
+    return readings.withColumn("value", value).select(*READING.names)
+
+
 def read_vitals_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Readings of a CSV file with a header; a value that is no number fails the job."""
-    return (
-        spark.read.schema(READING)
-        .option("header", True)
-        .option("mode", "FAILFAST")
-        .option("enforceSchema", False)
-        .csv(path)
-    )
+    """Readings of CSV files with a header. Columns are found by name and others are ignored; all
+    files must share one header."""
+    raw = spark.read.option("header", True).option("enforceSchema", False).csv(path)
+    return _only_numbers(raw)
 
 
 def replay_vitals_csv(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
-    """The same readings as a stream, file after file in the order of their modification times."""
-    return (
-        spark.readStream.schema(READING)
+    """The same readings as a stream, file after file in the order of their modification times.
+    A stream has a fixed schema, so the files hold just the four columns, as texts."""
+    texts = T.StructType([T.StructField(name, T.StringType()) for name in READING.names])
+    raw = (
+        spark.readStream.schema(texts)
         .option("header", True)
-        .option("mode", "FAILFAST")
+        .option("enforceSchema", False)
         .option("maxFilesPerTrigger", files_per_trigger)
         .csv(path)
     )
+    return _only_numbers(raw)
 
 
 def write_vitals_csv(readings: DataFrame, path: str) -> None:
