@@ -166,6 +166,8 @@ def test_id_range_includes_both_ends(spark):
 def test_history_of_some_patients_in_time_order(spark):
     scores = history(spark, [(2, 0, NORMAL), (2, 5, NORMAL), (1, 0, NORMAL), (3, 0, NORMAL)])
     rows = serving.vitals_history(scores, [2, 3]).collect()
+    ids = spark.createDataFrame([(2,), (3,), (3,)], "patient_id int")
+    assert serving.vitals_history(scores, ids).collect() == rows
     assert [(r.patient_id, r.temperature) for r in rows] == [(2, 37.0), (2, 37.0), (3, 37.0)]
     assert rows[0].window_start < rows[1].window_start
     assert rows[0].created_at == NOW

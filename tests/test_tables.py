@@ -83,6 +83,8 @@ def test_split_loses_nothing(spark):
     df = spark.createDataFrame([(1, "a"), (None, "b"), (2, None)], "patient_id int, risk_level string")
     valid, rejected = tables.split_valid(df, ["patient_id", "risk_level"])
     assert rows(valid) == [(1, "a")]
+    marked = tables.mark_valid(df, ["patient_id", "risk_level"])
+    assert sorted(r.status for r in marked.collect()) == ["rejected", "rejected", "valid"]
     assert sorted(rejected.collect(), key=str) == sorted([(None, "b"), (2, None)], key=str)
 
 

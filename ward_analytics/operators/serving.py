@@ -72,12 +72,17 @@ def needs_review(df: DataFrame) -> DataFrame:
     return df.filter(F.upper("risk_level").isin(*REVIEW_RISKS))
 
 
-def vitals_history(scores: DataFrame, patient_ids: Iterable[int] | None = None) -> DataFrame:
-    """All rows of the patients asked for (of all by default), °C, in time order.
+def vitals_history(
+    scores: DataFrame, patient_ids: Iterable[int] | DataFrame | None = None
+) -> DataFrame:
+    """All rows of the patients asked for (of all by default), °C, in time order. The ids are a
+    short list, or a table with ``patient_id`` of any length.
 
     The order is global by patient and time, so a long history spreads over many range partitions.
     """
-    if patient_ids is not None:
+    if isinstance(patient_ids, DataFrame):
+        scores = scores.join(patient_ids, "patient_id", "left_semi")
+    elif patient_ids is not None:
         scores = scores.filter(F.col("patient_id").isin(*patient_ids))
     return to_celsius(scores).orderBy("patient_id", "window_start")
 

@@ -94,6 +94,12 @@ def valid_rows(columns: Sequence[str]) -> Column:
     return condition
 
 
+def mark_valid(df: DataFrame, required: Sequence[str]) -> DataFrame:
+    """Add ``status``: one pass where both parts are wanted, also as the partitions of a write."""
+    status = F.when(valid_rows(required), "valid").otherwise("rejected")
+    return df.withColumn("status", status)
+
+
 def split_valid(df: DataFrame, required: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(rows with every required column, the others)."""
     valid = valid_rows(required)

@@ -144,9 +144,8 @@ def csv_roundtrip(spark, d):
 def stream_scores(spark, d):
     """The score stream over ``events`` as files: only windows that the watermark closed."""
     folder = work_folder(spark, "stream")
-    events = (
-        spark.readStream.schema(adapter.EVENTS).option("pathGlobFilter", "events.parquet").parquet(d)
-    )
+    # A glob takes a single file as well as a folder of files.
+    events = spark.readStream.schema(adapter.EVENTS).parquet(f"{d}/events.parquet*")
     arriving = messages.encode_messages(adapter.raw_readings(events))
     run = score_stream.start_score_sink(
         score_stream.score_stream(arriving),
@@ -217,17 +216,15 @@ def keyed_update(spark, d):
 
 @query
 def quarantine_invalid(spark, d):
-    """Readings above a level come from devices without a patient number; their rows are split off."""
+    """Readings above a level come from devices without a patient number; their rows are marked."""
     number = F.col("user_id").cast("string")
     labelled = _events(spark, d).withColumn(
         "patient", F.when(F.col("value") > 50, F.concat(F.lit("p"), number)).otherwise(number)
     )
     readings = adapter.readings(labelled.withColumn("user_id", F.col("patient")))
-    valid, rejected = tables.split_valid(
+    return tables.mark_valid(
         scoring.score_readings(readings), ["patient_id", "window_start", "news2_score"]
     )
-    status = lambda df, name: df.withColumn("status", F.lit(name))
-    return status(valid, "valid").unionByName(status(rejected, "rejected"))
 
 
 @query

@@ -18,7 +18,7 @@ from ward_analytics.sources.messages import decode_messages, with_event_time
 
 WATERMARK = "1 minute"
 WINDOW = "5 minutes"
-ROWS_PER_FILE = 1_000_000
+ROWS_PER_TASK = 1_000_000
 
 
 def score_stream(
@@ -32,16 +32,17 @@ def score_stream(
     return score_windows(window_vitals(readings, window, watermark), **options)
 
 
-def _append(df: DataFrame, rows: int, path: str, batch_id: int) -> None:
-    """Write one batch into its own folder, replacing what an earlier attempt left there.
+def _packed(df: DataFrame, rows: int) -> DataFrame:
+    """As few partitions as the rows need. A stateful stream runs without AQE and has as many
+    partitions as state stores; they are merged, not shuffled, and one date may hold all rows."""
+    return df.coalesce(-(-rows // ROWS_PER_TASK))
 
-    A stateful stream runs without AQE, so the number of files follows from the number of rows:
-    the partitions are merged, not shuffled, and one date may hold all of them. Sorted files let a
-    lookup by patient skip most of their row groups.
-    """
+
+def _append(df: DataFrame, path: str, batch_id: int) -> None:
+    """Write one batch into its own folder, replacing what an earlier attempt left there. Sorted
+    files let a lookup by patient skip most of their row groups."""
     (
         df.withColumn("window_date", F.col("window_start").cast("date"))
-        .coalesce(-(-rows // ROWS_PER_FILE))
         .sortWithinPartitions("window_date", "patient_id", "window_start")
         .write.mode("overwrite")
         .partitionBy("window_date")
@@ -72,11 +73,12 @@ def write_scores_batch(
         n_valid, n_invalid = complete.agg(F.count_if(is_valid), F.count_if(~is_valid)).first()
         valid, invalid = split_valid(complete, needed)
         if n_valid and isinstance(target, str):
-            _append(valid, n_valid, target, batch_id)
+            _append(_packed(valid, n_valid), target, batch_id)
         elif n_valid:
-            valid.write.format("jdbc").options(**target).mode("append").save()
+            packed = _packed(valid, n_valid)
+            packed.write.format("jdbc").options(**target).mode("append").save()
         if n_invalid and rejected is not None:
-            _append(invalid, n_invalid, rejected, batch_id)
+            _append(_packed(invalid, n_invalid), rejected, batch_id)
     finally:
         complete.unpersist()
 
