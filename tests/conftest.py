@@ -11,7 +11,11 @@ from ward_analytics.session import local_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     shared = tmp_path_factory.mktemp("shared")
-    conf = {"spark.checkpoint.dir": str(shared), "spark.sql.shuffle.partitions": "4"}
+    conf = {
+        "spark.checkpoint.dir": str(shared),
+        "spark.sql.shuffle.partitions": "4",
+        "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
+    }
     session = local_session("tests", memory="4g", conf=conf)
     yield session
     session.stop()

@@ -18,6 +18,7 @@ from ward_analytics.catalogue import (
     CAUSES_PREFIX,
     MULTI_SYSTEM,
     NO_DATA_TEXT,
+    NORMAL_TEXT,
     SHOWN_CAUSES,
     VITAL_CATALOGUE,
     VITALS,
@@ -168,7 +169,9 @@ def _listed(causes: tuple[Cause, ...]) -> Column:
     for cause in causes:
         condition = cause.needs or (_term_column(cause.terms) if cause.terms else None)
         items.append(F.when(F.col(condition), cause.text) if condition else F.lit(cause.text))
-    return F.array_compact(F.array(*items))
+    listed = F.array_compact(F.array(*items))
+    repeats = len({c.text.lower() for c in causes}) < len(causes)
+    return unique_ignoring_case(listed) if repeats else listed
 
 
 def _causes(vital: str) -> Column:
@@ -177,8 +180,7 @@ def _causes(vital: str) -> Column:
     items = _listed(rule.otherwise)
     if rule.above:
         items = F.when(F.col(f"last.{vital}") > rule.split, _listed(rule.above)).otherwise(items)
-    shown = F.slice(unique_ignoring_case(items), 1, SHOWN_CAUSES)
-    text = F.concat(F.lit(CAUSES_PREFIX), F.array_join(shown, ", "))
+    text = F.concat(F.lit(CAUSES_PREFIX), F.array_join(F.slice(items, 1, SHOWN_CAUSES), ", "))
     return F.when(F.col(f"{vital}_score") > 0, text)
 
 
@@ -206,7 +208,7 @@ def patient_assessments(
         ladder[f"{v}_score"], ladder[f"{v}_problem"] = assess_vital(v, F.col(f"last.{v}"))
     n_abnormal = reduce(lambda a, b: a + b, (_abnormal(v).cast("int") for v in VITALS))
     assessed = (
-        summary.withColumns({**ladder, **_trend_columns(), **_domains()})
+        summary.withColumns({**ladder, **_trend_columns()})
         .withColumns({
             "has_fever": _abnormal("temperature"),
             "has_hypoxia": _abnormal("spo2"),
@@ -214,6 +216,7 @@ def patient_assessments(
         })
         .withColumn("is_multi", F.col("n_abnormal") >= MULTI_SYSTEM)
         .withColumns(_finding_columns())
+        .withColumns({f"{v}_causes": _causes(v) for v in VITALS})
     )
     entries = []
     for order, vital in enumerate(VITAL_CATALOGUE, start=1):
@@ -229,7 +232,7 @@ def patient_assessments(
             problem.alias("problem"),
             F.when(problem.isNotNull(), detail(value, vital.unit)).alias("detail"),
             F.col(f"{v}_trend").alias("trend"),
-            _causes(v).alias("causes"),
+            F.col(f"{v}_causes").alias("causes"),
         )
         entries.append(F.when(value.isNotNull(), entry))
     return assessed.withColumn("assessments", F.array_compact(F.array(*entries)))
@@ -285,7 +288,7 @@ def vital_cards(rows: DataFrame) -> DataFrame:
     """A card per patient and catalogue vital.
 
     A vital without a value in the period shows ``No data``; one without a value in the newest row
-    shows ``nan`` and counts as normal, without a trend.
+    shows ``nan`` and counts as normal, without a trend or a status.
     """
     cards = []
     for order, vital in enumerate(VITAL_CATALOGUE, start=1):
@@ -303,9 +306,11 @@ def vital_cards(rows: DataFrame) -> DataFrame:
                 .alias("value_text"),
                 F.when(known & present, F.col(f"{v}_trend")).alias("trend"),
                 F.when(known, level).alias("severity"),
+                F.when(present, F.coalesce(f"{v}_problem", F.lit(NORMAL_TEXT))).alias("status"),
+                F.col(f"{v}_causes").alias("causes"),
                 F.col(f"{v}_y_min").alias("y_min"),
                 F.col(f"{v}_y_max").alias("y_max"),
             )
         )
     updated = format_timestamp(F.col("last.window_start")).alias("last_updated")
-    return rows.select("patient_id", updated, F.inline(F.array(*cards)))
+    return rows.withColumns(_domains()).select("patient_id", updated, F.inline(F.array(*cards)))

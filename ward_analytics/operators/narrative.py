@@ -29,6 +29,7 @@ from ward_analytics.functions.text import (
     unique_ignoring_case,
 )
 from ward_analytics.operators.latest import NEWEST, last_hours
+from ward_analytics.operators.serving import needs_review
 
 
 def split_problems(long: DataFrame) -> DataFrame:
@@ -167,9 +168,27 @@ def clinical_prompts(
 ) -> DataFrame:
     """A review prompt for each patient with a profile."""
     tables = vitals_text_table(scores, as_of, hours)
-    joined = patients.select(
+    return _prompts(_prompt_profiles(patients).join(tables, "patient_id", "left"), as_of)
+
+
+def review_prompts(
+    scores: DataFrame,
+    patients: DataFrame,
+    as_of: datetime | str,
+    hours: int = 6,
+) -> DataFrame:
+    """The prompts of the patients whose newest risk in the look-back calls for a review."""
+    tables = needs_review(vitals_text_table(scores, as_of, hours))
+    return _prompts(_prompt_profiles(patients).join(tables, "patient_id"), as_of)
+
+
+def _prompt_profiles(patients: DataFrame) -> DataFrame:
+    return patients.select(
         "patient_id", "date_of_birth", "sex", "past_medical_conditions", "current_medications"
-    ).join(tables, "patient_id", "left")
+    )
+
+
+def _prompts(joined: DataFrame, as_of: datetime | str) -> DataFrame:
     age = age_years(F.col("date_of_birth"), as_of)
     documented = lambda c: F.coalesce(
         F.nullif(F.array_join(c, ", "), F.lit("")), F.lit(NONE_DOCUMENTED)

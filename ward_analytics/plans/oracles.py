@@ -116,6 +116,8 @@ scores AS (
 FIVE_MINUTES = (READINGS, _wide("5 minutes"), _scored())
 DAILY = (READINGS, _wide("1 day"), _scored())
 
+MILD = (READINGS, _wide("1 day"), _scored(missing_zero=True))
+
 NEWEST = """
 newest AS (
   SELECT * FROM scores
@@ -373,6 +375,16 @@ AGE = """(year(DATE '2024-01-31') - year(date_of_birth)
   - CASE WHEN (month(date_of_birth), day(date_of_birth)) > (1, 31) THEN 1 ELSE 0 END)"""
 
 
+PROMPT = f"""SELECT patient_id, {_sql(PROMPT_ROLE)} || 'Patient background: '
+  || coalesce({AGE} || ' years old', 'age unknown') || ', ' || coalesce(sex, 'unknown') || ', '
+  || coalesce(nullif(array_to_string(past_medical_conditions, ', '), ''), 'none documented')
+  || ', ' || coalesce(nullif(array_to_string(current_medications, ', '), ''), 'none documented')
+  || '. Their vitals over the last 6 hours:' || chr(10)
+  || coalesce(vitals_table, {_sql(NO_VITALS_TEXT)}) || chr(10)
+  || 'Current NEWS2 score: ' || coalesce(CAST(news2_score AS VARCHAR), '—') || ' - '
+  || coalesce(risk_level, 'UNKNOWN') || '. ' || {_sql(PROMPT_QUESTION)} AS prompt"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "window_vitals": _with(
@@ -385,9 +397,7 @@ def oracle_sql() -> dict[str, str]:
         "scores_daily_celsius": _with(
             READINGS, _wide("1 day"), _scored(CELSIUS), then="SELECT * FROM scores"
         ),
-        "scores_daily_missing_zero": _with(
-            READINGS, _wide("1 day"), _scored(missing_zero=True), then="SELECT * FROM scores"
-        ),
+        "scores_daily_missing_zero": _with(*MILD, then="SELECT * FROM scores"),
         "message_roundtrip": _with(
             READINGS,
             then="SELECT CAST(patient_id AS VARCHAR) AS patient_id, event_time, vital_sign, value "
@@ -489,7 +499,7 @@ def oracle_sql() -> dict[str, str]:
             "FROM active ORDER BY patient_id",
         ),
         "needs_review": _with(
-            *DAILY, NEWEST, then="SELECT * FROM newest WHERE risk_level <> 'LOW'"
+            *MILD, NEWEST, then="SELECT * FROM newest WHERE risk_level <> 'LOW'"
         ),
         "patient_profile": _with(
             PATIENTS, PROFILES, then=f"SELECT {PATIENT_TEXTS}, found FROM profiles"
@@ -575,9 +585,10 @@ FROM profiles""",
             "WHEN t.vital_sign = 'temperature' THEN printf('%.2f', t.last_value) "
             "ELSE printf('%.1f', t.last_value) END AS value_text, a.trend, "
             "CASE WHEN t.n_values > 0 THEN coalesce(a.severity, 'normal') END AS severity, "
-            "t.y_min, t.y_max, "
+            "t.y_min, t.y_max, a.causes, CASE WHEN t.last_value IS NOT NULL "
+            "THEN coalesce(a.problem, 'Within normal range') END AS status, "
             "strftime(n.window_start, '%Y-%m-%d %H:%M:%S UTC') AS last_updated "
-            "FROM trended t LEFT JOIN assessed a USING (patient_id, vital_sign) "
+            "FROM trended t LEFT JOIN explained a USING (patient_id, vital_sign) "
             "JOIN numbered n ON n.patient_id = t.patient_id AND n.from_end = 1",
         ),
         "split_problem": _with(
@@ -611,20 +622,15 @@ FROM profiles""",
         ),
         "clinical_prompts": _with(
             *DAILY, TEXT_LINES, TEXT_TABLES, PATIENTS,
-            then=f"SELECT patient_id, {_sql(PROMPT_ROLE)} || 'Patient background: ' "
-            f"|| coalesce({AGE} || ' years old', 'age unknown') || ', ' "
-            "|| coalesce(sex, 'unknown') || ', ' "
-            "|| coalesce(nullif(array_to_string(past_medical_conditions, ', '), ''), "
-            "'none documented') || ', ' "
-            "|| coalesce(nullif(array_to_string(current_medications, ', '), ''), "
-            "'none documented') || '. Their vitals over the last 6 hours:' || chr(10) "
-            f"|| coalesce(vitals_table, {_sql(NO_VITALS_TEXT)}) || chr(10) "
-            "|| 'Current NEWS2 score: ' || coalesce(CAST(news2_score AS VARCHAR), '—') || ' - ' "
-            f"|| coalesce(risk_level, 'UNKNOWN') || '. ' || {_sql(PROMPT_QUESTION)} AS prompt "
-            "FROM patients LEFT JOIN text_tables USING (patient_id)",
+            then=f"{PROMPT} FROM patients LEFT JOIN text_tables USING (patient_id)",
+        ),
+        "review_prompts": _with(
+            *MILD, TEXT_LINES, TEXT_TABLES, PATIENTS,
+            then=f"{PROMPT} FROM patients JOIN text_tables USING (patient_id) "
+            "WHERE risk_level <> 'LOW'",
         ),
         "scenario_check": _with(
-            *DAILY, NEWEST, EXPECTATIONS, SCENARIOS, then="SELECT * FROM checked"
+            *MILD, NEWEST, EXPECTATIONS, SCENARIOS, then="SELECT * FROM checked"
         ),
         "missing_scores": _with(
             EXPECTATIONS,
@@ -632,7 +638,7 @@ FROM profiles""",
             "WHERE patient_id NOT IN (SELECT user_id FROM events)",
         ),
         "scenario_check_summary": _with(
-            *DAILY, NEWEST, EXPECTATIONS, SCENARIOS,
+            *MILD, NEWEST, EXPECTATIONS, SCENARIOS,
             then="SELECT count(*) AS n_checks, count(*) FILTER (WHERE verdict = 'FAIL') "
             "AS n_failures FROM checked",
         ),

@@ -55,6 +55,11 @@ def _daily(spark: SparkSession, d: str, **options: str) -> DataFrame:
     return scoring.score_readings(_readings(spark, d), "1 day", **options)
 
 
+def _mild(spark: SparkSession, d: str) -> DataFrame:
+    """Daily scores without points for missing vitals, so that all three risks occur."""
+    return _daily(spark, d, missing="zero")
+
+
 def _history(spark: SparkSession, d: str) -> DataFrame:
     return assess.recent_celsius(_daily(spark, d), AS_OF, LOOK_BACK)
 
@@ -302,7 +307,7 @@ def roster(spark, d):
 
 @query
 def needs_review(spark, d):
-    return serving.needs_review(latest.latest_scores(_daily(spark, d)))
+    return serving.needs_review(latest.latest_scores(_mild(spark, d)))
 
 
 def _profiles(spark, d):
@@ -447,12 +452,17 @@ def clinical_prompts(spark, d):
     return narrative.clinical_prompts(_daily(spark, d), _patients(spark, d), AS_OF, LOOK_BACK)
 
 
+@query
+def review_prompts(spark, d):
+    return narrative.review_prompts(_mild(spark, d), _patients(spark, d), AS_OF, LOOK_BACK)
+
+
 # Checks ------------------------------------------------------------------------------------------
 
 
 @query
 def scenario_check(spark, d):
-    return checks.scenario_check(_daily(spark, d), _expectations(spark, d))
+    return checks.scenario_check(_mild(spark, d), _expectations(spark, d))
 
 
 @query

@@ -8,8 +8,8 @@ from collections.abc import Mapping
 
 from pyspark.sql import SparkSession
 
-#: Settings for any deployment. Partition counts start high and AQE merges or splits them by
-#: size, so the same settings serve a small test and a large cluster.
+#: Settings for any deployment. The number of shuffle partitions is left to it: on a cluster start
+#: high (``spark.sql.adaptive.coalescePartitions.initialPartitionNum``), AQE merges by size.
 BASE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
