@@ -99,6 +99,29 @@ def test_restart_keeps_open_windows(spark, tmp_path):
     assert found(files.read_scores(spark, f"{tmp_path}/out")) == CLOSED
 
 
+def test_crash_after_a_write_leaves_no_duplicates(spark, tmp_path):
+    drop_files(f"{tmp_path}/in", FILES)
+    out = f"{tmp_path}/out"
+
+    def crash(batch, batch_id):
+        st.write_scores_batch(batch, batch_id, out)
+        if os.path.exists(out):
+            raise RuntimeError("lost before the batch was committed")
+
+    options = {"path": f"{tmp_path}/in", "maxFilesPerTrigger": "1"}
+    scores = st.score_stream(kafka.read_vitals_stream(spark, options, source="text"))
+    first = (
+        scores.writeStream.option("checkpointLocation", f"{tmp_path}/cp")
+        .trigger(availableNow=True).foreachBatch(crash).start()
+    )
+    with pytest.raises(Exception, match="lost before"):
+        first.awaitTermination()
+    written = files.read_scores(spark, out).count()
+    assert 0 < written < len(CLOSED)
+    run(spark, tmp_path / "in", out, tmp_path / "cp")
+    assert found(files.read_scores(spark, out)) == CLOSED
+
+
 def test_patients_without_a_number_are_set_aside(spark, tmp_path):
     drop_files(
         f"{tmp_path}/in",

@@ -105,3 +105,35 @@ def test_replace_cohort(spark, tmp_path):
 def test_ensure_columns_completes_scores(spark):
     df = spark.createDataFrame([(1, None)], "patient_id int, news2_score int")
     assert set(tables.ensure_columns(df, SCORES).columns) == set(SCORES.names)
+
+
+def test_whole_upkeep_twice_is_once(spark):
+    """Add columns, insert, backfill rooms, overwrite addresses: a second pass changes nothing."""
+    old = spark.createDataFrame([(101, "Ann"), (104, "Dora")], "patient_id int, full_name string")
+    seed = spark.createDataFrame(
+        [(101, "Ann Smith", "4A-12", 1), (102, "Bea", None, 2), (102, "Bea again", "9", 3)],
+        "patient_id int, full_name string, room_number string, n int",
+    )
+    rooms = spark.createDataFrame([(101, "4A-12"), (102, "4A-15")], "patient_id int, room_number string")
+    homes = spark.createDataFrame(
+        [(101, "Oak Lane", "Engineer"), (102, "Birch Court", None)],
+        "patient_id int, home_address string, occupation string",
+    )
+
+    def upkeep(table):
+        table = tables.ensure_columns(table, PATIENTS)
+        table = tables.insert_absent(table, seed, "patient_id", ["n"])
+        table = tables.backfill(table, rooms, "patient_id", "room_number")
+        table = tables.overwrite_columns(table, homes, "patient_id", ["home_address", "occupation"])
+        return tables.apply_defaults(table, "2024-01-01 00:00:00")
+
+    shown = ["patient_id", "full_name", "room_number", "home_address", "occupation", "allergies"]
+    once = upkeep(old)
+    assert rows(once.select(shown[:4])) == [
+        (101, "Ann", "4A-12", "Oak Lane"), (102, "Bea", "4A-15", "Birch Court"),
+        (104, "Dora", None, None),
+    ]
+    assert {r.patient_id: r.allergies for r in once.collect()} == {101: [], 102: [], 104: []}
+    twice = upkeep(once)
+    assert twice.columns == once.columns
+    assert sorted(twice.collect(), key=str) == sorted(once.collect(), key=str)
