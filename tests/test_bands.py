@@ -12,6 +12,7 @@ from ward_analytics.functions.numeric import (
     score_vital,
     severity,
 )
+from ward_analytics.operators.scoring import score_windows
 
 SCORES = {
     "respiratory_rate": {
@@ -77,6 +78,13 @@ def test_missing_may_count_as_zero(spark, vital):
     assert {r.v: r.s for r in df.collect()} == {**SCORES[vital], None: 0}
 
 
+def test_unknown_options_are_refused(spark):
+    with pytest.raises(ValueError):
+        score_vital("spo2", F.col("v"), "none")
+    with pytest.raises(ValueError):
+        score_windows(spark.range(1), temperature_unit="K")
+
+
 @pytest.mark.parametrize("vital", VITALS)
 def test_assessment_ladders(spark, vital):
     grid = LADDERS[vital]

@@ -10,7 +10,7 @@ from ward_analytics.operators import scoring, tables
 from ward_analytics.operators.latest import last_hours
 from ward_analytics.schemas import PATIENTS, READING, SCORES, required
 from ward_analytics.session import work_folder
-from ward_analytics.sources import files, messages
+from ward_analytics.sources import files, kafka, messages
 from ward_analytics.streaming.score_stream import write_scores_batch
 
 
@@ -63,6 +63,21 @@ def test_message_key_and_value(spark):
     }
 
 
+def test_connectors_without_their_jars_say_so(spark):
+    """Neither connector is part of this environment; the calls must get as far as asking for it."""
+    sent = messages.encode_messages(
+        spark.createDataFrame([("1", "2024-01-01 00:00:00", "spo2", 1.0)], READING)
+    )
+    with pytest.raises(Exception, match="Failed to find.*kafka|kafka.*deploy"):
+        kafka.write_messages(sent, "none:1", "vitals")
+    jdbc = {"url": "jdbc:postgresql://none/x", "dbtable": "t"}
+    with pytest.raises(Exception, match="No suitable driver"):
+        files.read_table(spark, jdbc)
+    readings = messages.with_event_time(messages.decode_messages(sent))
+    with pytest.raises(Exception, match="No suitable driver"):
+        write_scores_batch(scoring.score_readings(readings), 0, jdbc)
+
+
 def write_lines(path, *lines):
     with open(path, "w") as out:
         out.write("\n".join(lines) + "\n")
