@@ -94,6 +94,19 @@ def test_assessment_ladders(spark, vital):
     assert found == {**grid, None: (None, None)}
 
 
+@pytest.mark.parametrize("vital", VITALS)
+def test_bands_and_ladders_agree_between_the_gaps(spark, vital):
+    """Whole numbers, and tenths of a degree, lie in no gap: there both rule sets give one score."""
+    step = 0.1 if vital == "temperature" else 1.0
+    df = spark.range(0, 450).select(F.round(F.col("id") * step, 1).alias("v"))
+    pair = df.select(
+        "v",
+        score_vital(vital, F.col("v")).alias("banded"),
+        assess_vital(vital, F.col("v"))[0].alias("laddered"),
+    )
+    assert pair.filter("banded != laddered").collect() == []
+
+
 def test_risk_and_severity(spark):
     df = spark.range(0, 9).select("id", risk_level(F.col("id")).alias("r"), severity(F.col("id")).alias("s"))
     rows = df.orderBy("id").collect()

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from datetime import datetime
 from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -151,41 +152,65 @@ def patient_contexts(patients: DataFrame) -> DataFrame:
     return patients.select("patient_id", context.alias("context"))
 
 
-def _finding_columns() -> dict[str, Column]:
-    """What causes depend on, as columns: findings of the row, and each set of profile terms once."""
-    fever, multi = F.col("has_fever"), F.col("is_multi")
-    columns = {"fever_or_multi": fever | multi, "fever_and_multi": fever & multi}
-    for terms in TERM_SETS:
-        columns[_term_column(terms)] = has_term(F.col("context"), *terms)
-    return columns
-
-
 def _term_column(terms: tuple[str, ...]) -> str:
     return "mentions_" + "_".join(terms).replace(" ", "_")
 
 
-def _listed(causes: tuple[Cause, ...]) -> Column:
-    items = []
+def _findings() -> dict[str, Column]:
+    """What causes depend on: abnormal vitals of the row, and each set of profile terms once."""
+    abnormal = {v: F.coalesce(F.col(f"{v}_score") > 0, F.lit(False)) for v in VITALS}
+    number = reduce(add, (a.cast("int") for a in abnormal.values()))
+    fever, multi = abnormal["temperature"], number >= MULTI_SYSTEM
+    return {
+        "n_abnormal": number,
+        "is_multi": multi,
+        "has_fever": fever,
+        "has_hypoxia": abnormal["spo2"],
+        "fever_or_multi": fever | multi,
+        "fever_and_multi": fever & multi,
+        **{_term_column(terms): has_term(F.col("context"), *terms) for terms in TERM_SETS},
+    }
+
+
+def _always(cause: Cause) -> bool:
+    return not cause.needs and not cause.terms
+
+
+def _can_show(causes: tuple[Cause, ...]) -> list[Cause]:
+    """The causes that may be among the first few: none behind as many that always apply."""
+    kept, certain = [], set()
     for cause in causes:
-        condition = cause.needs or (_term_column(cause.terms) if cause.terms else None)
-        items.append(F.when(F.col(condition), cause.text) if condition else F.lit(cause.text))
-    listed = F.array_compact(F.array(*items))
-    repeats = len({c.text.lower() for c in causes}) < len(causes)
-    return unique_ignoring_case(listed) if repeats else listed
+        if len(certain) == SHOWN_CAUSES:
+            break
+        kept.append(cause)
+        if _always(cause):
+            certain.add(cause.text.lower())
+    return kept
 
 
-def _causes(vital: str) -> Column:
-    """The first causes of an abnormal vital as a text, null for a normal one."""
-    rule = CAUSE_RULES[vital]
-    items = _listed(rule.otherwise)
-    if rule.above:
-        items = F.when(F.col(f"last.{vital}") > rule.split, _listed(rule.above)).otherwise(items)
-    text = F.concat(F.lit(CAUSES_PREFIX), F.array_join(F.slice(items, 1, SHOWN_CAUSES), ", "))
-    return F.when(F.col(f"{vital}_score") > 0, text)
+def _listed(causes: tuple[Cause, ...]) -> Column:
+    """The first causes that apply, as a text."""
+    candidates = _can_show(causes)
+    if all(_always(c) for c in candidates):
+        return F.lit(CAUSES_PREFIX + ", ".join(c.text for c in candidates))
+    items = [
+        F.lit(c.text) if _always(c) else F.when(F.col(c.needs or _term_column(c.terms)), c.text)
+        for c in candidates
+    ]
+    applying = F.array_compact(F.array(*items))
+    if len({c.text.lower() for c in candidates}) < len(candidates):
+        applying = unique_ignoring_case(applying)
+    shown = F.slice(applying, 1, SHOWN_CAUSES)
+    return F.concat(F.lit(CAUSES_PREFIX), F.array_join(shown, ", "))
 
 
-def _abnormal(vital: str) -> Column:
-    return F.coalesce(F.col(f"{vital}_score") > 0, F.lit(False))
+def _causes(vital: str) -> Column:
+    """Likely causes of an abnormal vital, null for a normal one."""
+    rule, abnormal = CAUSE_RULES[vital], F.col(f"{vital}_score") > 0
+    if not rule.above:
+        return F.when(abnormal, _listed(rule.otherwise))
+    above = F.col(f"last.{vital}") > rule.split
+    return F.when(abnormal & above, _listed(rule.above)).when(abnormal, _listed(rule.otherwise))
 
 
 def patient_assessments(
@@ -200,22 +225,13 @@ def patient_assessments(
     if patients is None:
         summary = summary.withColumn("context", F.lit(""))
     else:
-        summary = summary.join(patient_contexts(patients), "patient_id", "left").withColumn(
-            "context", F.coalesce("context", F.lit(""))
-        )
+        summary = summary.join(patient_contexts(patients), "patient_id", "left")
     ladder = {}
     for v in VITALS:
         ladder[f"{v}_score"], ladder[f"{v}_problem"] = assess_vital(v, F.col(f"last.{v}"))
-    n_abnormal = reduce(lambda a, b: a + b, (_abnormal(v).cast("int") for v in VITALS))
     assessed = (
         summary.withColumns({**ladder, **_trend_columns()})
-        .withColumns({
-            "has_fever": _abnormal("temperature"),
-            "has_hypoxia": _abnormal("spo2"),
-            "n_abnormal": n_abnormal,
-        })
-        .withColumn("is_multi", F.col("n_abnormal") >= MULTI_SYSTEM)
-        .withColumns(_finding_columns())
+        .withColumns(_findings())
         .withColumns({f"{v}_causes": _causes(v) for v in VITALS})
     )
     entries = []

@@ -149,9 +149,7 @@ def csv_roundtrip(spark, d):
 def stream_scores(spark, d):
     """The score stream over ``events`` as files: only windows that the watermark closed."""
     folder = work_folder(spark, "stream")
-    # A glob takes a single file as well as a folder of files.
-    events = spark.readStream.schema(adapter.EVENTS).parquet(f"{d}/events.parquet*")
-    arriving = messages.encode_messages(adapter.raw_readings(events))
+    arriving = messages.encode_messages(adapter.raw_readings(adapter.event_stream(spark, d)))
     run = score_stream.start_score_sink(
         score_stream.score_stream(arriving),
         f"{folder}/scores",
