@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ward_analytics.catalogue import VITALS
 from ward_analytics.operators import assess, checks, latest, narrative, scoring, tables
+from ward_analytics.schemas import PATIENTS
 
 N = 60_000
 
@@ -102,6 +103,7 @@ def test_latest_and_text_equal_brute_force(readings, brute):
         times = [line[:19] for line in r.vitals_table.split("\n")[2:]]
         assert times == sorted(times)
     assert narrative.vitals_text_lines(scores, as_of, 48).count() == len(brute)
+    scores.unpersist()
 
 
 def test_period_summary_equals_brute_force(readings, brute):
@@ -118,6 +120,22 @@ def test_period_summary_equals_brute_force(readings, brute):
             assert r["last"][v] == history[-1][1].get(v)
 
 
+def test_large_profiles_cost_one_more_shuffle(spark, readings):
+    """With profiles too large to broadcast, the rows per patient stay where the aggregation put
+    them; only the profiles move."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        profiles = spark.createDataFrame([], PATIENTS)
+        scores = scoring.score_readings(readings)
+        rows = assess.patient_assessments(scores, profiles, "2024-01-03 00:00:00", 48)
+        plan = narrative.active_problems(rows)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" in plan or "ShuffledHashJoin" in plan
+    assert plan.count("Exchange hashpartitioning") == 3
+
+
 def test_upkeep_with_a_hot_key(spark, readings, brute):
     target = spark.createDataFrame([(2, "known")], "patient_id bigint, name string")
     arrivals = readings.select("patient_id", F.lit("new").alias("name"), F.monotonically_increasing_id().alias("n"))

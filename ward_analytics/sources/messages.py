@@ -24,4 +24,5 @@ def decode_messages(messages: DataFrame) -> DataFrame:
 
 def with_event_time(readings: DataFrame) -> DataFrame:
     """Add ``event_time``; a text that is no timestamp gives null and later meets no window."""
-    return readings.withColumn("event_time", F.try_to_timestamp(F.col("timestamp")))
+    event_time = F.try_to_timestamp(F.col("timestamp")).cast("timestamp")
+    return readings.withColumn("event_time", event_time)
