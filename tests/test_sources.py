@@ -144,11 +144,14 @@ def test_inline_patients_follow_their_schema(spark):
         files.inline_rows(spark, [(None, *row[1:])], PATIENTS).collect()
 
 
-def test_json_keeps_nulls(spark, tmp_path):
-    df = spark.createDataFrame([(1, None)], "a int, b string")
-    assert files.to_json_rows(df).first().json == '{"a":1,"b":null}'
+def test_json_keeps_nulls_and_writes_iso_times(spark, tmp_path):
+    row = (1, None, dt.date(2024, 1, 2), dt.datetime(2024, 1, 2, 3, 4, 5))
+    df = spark.createDataFrame([row], "a int, b string, c date, d timestamp_ntz")
+    expected = '{"a":1,"b":null,"c":"2024-01-02","d":"2024-01-02T03:04:05"}'
+    assert files.to_json_rows(df).first().json == expected
     files.write_json(df, f"{tmp_path}/j")
-    assert spark.read.text(f"{tmp_path}/j").first().value == '{"a":1,"b":null}'
+    assert spark.read.text(f"{tmp_path}/j").first().value == expected
+    assert files.to_json_rows(df.select("a")).first().json == '{"a":1}'
 
 
 def test_ensure_table_twice(spark):

@@ -12,12 +12,11 @@ from ward_analytics.functions.numeric import f_to_c
 from ward_analytics.functions.text import (
     format_date,
     format_timestamp,
-    iso_date,
-    iso_timestamp,
     list_or_label,
     or_label,
 )
 from ward_analytics.operators.latest import latest_scores
+from ward_analytics.sources.files import iso_times
 
 
 def to_celsius(scores: DataFrame) -> DataFrame:
@@ -97,13 +96,11 @@ def patient_profile(patients: DataFrame, ids: DataFrame) -> DataFrame:
 def profile_json(profiles: DataFrame) -> DataFrame:
     """Profiles as JSON objects with ISO times; an unknown id has only the two fields."""
     options = {"ignoreNullFields": "false"}
-    shown = profiles.withColumns({
-        "date_of_birth": iso_date(F.col("date_of_birth")),
-        "updated_at": iso_timestamp(F.col("updated_at")),
-    })
-    full = F.to_json(F.struct(*shown.columns), options)
+    full = F.to_json(F.struct(*profiles.columns), options)
     unknown = F.to_json(F.struct("patient_id", "found"), options)
-    return shown.select("patient_id", F.when(F.col("found"), full).otherwise(unknown).alias("json"))
+    return iso_times(profiles).select(
+        "patient_id", F.when(F.col("found"), full).otherwise(unknown).alias("json")
+    )
 
 
 def patient_background(patients: DataFrame) -> DataFrame:

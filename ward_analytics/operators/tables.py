@@ -131,5 +131,5 @@ def replace_cohort(rows: DataFrame, as_of: date | str) -> DataFrame:
 
 
 def overwrite_table(df: DataFrame, path: str) -> None:
-    """Replace all rows of a table at a path."""
+    """Replace all rows of the table at a path, which ``df`` itself must not read from."""
     df.write.mode("overwrite").parquet(path)

@@ -484,6 +484,14 @@ def oracle_sql() -> dict[str, str]:
             then=f"SELECT * REPLACE ({CELSIUS} AS temperature) FROM scores "
             "ORDER BY patient_id, window_start",
         ),
+        "history_json": _with(
+            *FIVE_MINUTES,
+            then="SELECT CAST(json_object('patient_id', patient_id, 'window_start', "
+            "strftime(window_start, '%Y-%m-%dT%H:%M:%S'), 'news2_score', news2_score, "
+            "'risk_level', risk_level, 'heart_rate', heart_rate, 'respiratory_rate', "
+            "respiratory_rate, 'spo2', spo2, 'systolic_bp', systolic_bp, 'temperature', "
+            f"{CELSIUS}) AS VARCHAR) AS json FROM scores",
+        ),
         "active_patients": _with(
             *FIVE_MINUTES, NEWEST, PATIENTS, ACTIVE, then="SELECT * FROM active ORDER BY patient_id"
         ),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ward_analytics.operators import assess, checks, latest, narrative, scoring, serving, tables
 from ward_analytics.functions.numeric import age_years
 from ward_analytics.functions.text import has_term, profile_context
-from ward_analytics.schemas import PATIENTS, SCORES
+from ward_analytics.schemas import PATIENTS
 from ward_analytics.session import work_folder
 from ward_analytics.sources import adapter, files, messages
 from ward_analytics.streaming import score_stream
@@ -288,6 +288,11 @@ def vitals_history(spark, d):
     return serving.vitals_history(_scores(spark, d))
 
 
+@query
+def history_json(spark, d):
+    return files.to_json_rows(serving.to_celsius(_scores(spark, d)))
+
+
 @query
 def active_patients(spark, d):
     return serving.active_patients(_scores(spark, d), _patients(spark, d))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ward_analytics.functions.text import iso_date, iso_timestamp
 from ward_analytics.schemas import READING, SCORES, as_nullable
 
 
@@ -72,11 +73,18 @@ def inline_rows(spark: SparkSession, rows: Iterable[tuple], schema: T.StructType
     return spark.createDataFrame(list(rows), schema)
 
 
+def iso_times(df: DataFrame) -> DataFrame:
+    """Dates and times as ISO texts, the form in which results leave."""
+    forms = {T.DateType: iso_date, T.TimestampType: iso_timestamp, T.TimestampNTZType: iso_timestamp}
+    shown = {f.name: forms[type(f.dataType)](F.col(f.name)) for f in df.schema if type(f.dataType) in forms}
+    return df.withColumns(shown) if shown else df
+
+
 def to_json_rows(df: DataFrame, column: str = "json") -> DataFrame:
     """Every row as one JSON object, nulls kept."""
-    row = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
-    return df.select(row.alias(column))
+    shown = iso_times(df)
+    return shown.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias(column))
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    iso_times(df).write.mode("overwrite").option("ignoreNullFields", False).json(path)
