@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ward_analytics.llm import langid
+from ward_analytics.llm import langid, recompression
 from ward_analytics.llm.tables import held_out, load, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,3 +31,9 @@ def op1_language(spark: SparkSession, d: str) -> DataFrame:
     pieces = public_tokenizers.path("piece_bpe_32k.model")
     languages, chance = langid.learn(documents.where("not held_out"), pieces)
     return langid.identify(documents, languages, chance, pieces, ["doc_id", "held_out"])
+
+
+@query
+def op8_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
+    found = recompression.remove_repeats(load(spark, d, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
