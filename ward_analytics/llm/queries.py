@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ward_analytics.llm import langid, recompression
+from ward_analytics.llm import langid, recompression, suffix_dedup
 from ward_analytics.llm.tables import held_out, load, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,3 +37,9 @@ def op1_language(spark: SparkSession, d: str) -> DataFrame:
 def op8_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
     found = recompression.remove_repeats(load(spark, d, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op3_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(load(spark, d, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

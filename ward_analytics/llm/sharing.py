@@ -23,7 +23,7 @@ CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20
 NOTES = "chunk long, kind int, bucket int, body binary"
 _NOTES = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("body", pa.binary())])
-COPY, SHARED, FIRST, OTHER = range(4)
+COPY, SHARED, FIRST, OTHER, WIDE = range(5)
 
 Keys = Callable[[pa.Table, "Notes"], tuple[np.ndarray, np.ndarray]]
 
@@ -87,9 +87,13 @@ class Chunks:
 
         return self.documents.groupBy("chunk").cogroup(notes.toDF("chunk", "kind", "bucket", "body").groupBy("chunk")).applyInArrow(run, schema)
 
-    def shared(self, notes: DataFrame, keys_of: Keys) -> DataFrame:
-        """Notes that tell each chunk which of its keys documents with different ids hold."""
-        return self._sent(notes, keys_of, False).groupBy("bucket").applyInArrow(_meet_shared, NOTES)
+    def shared(self, notes: DataFrame, keys_of: Keys, wide: int = 1 << 62) -> DataFrame:
+        """Notes that tell each chunk which of its keys documents with different ids hold, and which of those more than ``wide`` chunks hold."""
+
+        def meet(table: pa.Table) -> pa.Table:
+            return _meet_shared(table, wide)
+
+        return self._sent(notes, keys_of, False).groupBy("bucket").applyInArrow(meet, NOTES)
 
     def first_owner(self, notes: DataFrame, keys_of: Keys) -> DataFrame:
         """Notes that tell each chunk, for each of its keys, the smallest doc_id that holds it."""
@@ -145,7 +149,7 @@ def _joined(column: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray
     return np.frombuffer(b"".join(bodies), np.uint8).reshape(-1, width), np.array([len(b) // width for b in bodies])
 
 
-def _meet_shared(table: pa.Table) -> pa.Table:
+def _meet_shared(table: pa.Table, wide: int) -> pa.Table:
     short, sizes = _joined(table.column("body"), 6)
     keys = np.zeros((len(short), 8), np.uint8)
     keys[:, :6] = short
@@ -157,7 +161,11 @@ def _meet_shared(table: pa.Table) -> pa.Table:
     common = (times > 1) | np.logical_or.reduceat(several[order], first)
     out = np.empty(len(keys), bool)
     out[order] = np.repeat(common, times)
-    return _notes(table, SHARED, sizes, out, lambda x: np.packbits(x).tobytes(), np.any)
+    found = _notes(table, SHARED, sizes, out, lambda x: np.packbits(x).tobytes(), np.any)
+    if int(times.max()) > wide:
+        out[order] = np.repeat(times > wide, times)
+        found = pa.concat_tables([found, _notes(table, WIDE, sizes, out, lambda x: np.packbits(x).tobytes(), np.any)])
+    return found
 
 
 def _meet_first(table: pa.Table) -> pa.Table:
@@ -214,5 +222,6 @@ def is_copy(documents: pa.Table, notes: Notes) -> np.ndarray:
         ids = {x for x, _ in known}
         for i, doc in enumerate(documents.column("doc_id").to_pylist()):
             if doc is not None and doc % 2**64 in ids:
-                out[i] = (doc % 2**64, xxhash.xxh64_intdigest(documents.column("text")[i].as_py().encode(), seed=42)) in known
+                text = documents.column("text")[i].as_py()
+                out[i] = text is not None and (doc % 2**64, xxhash.xxh64_intdigest(text.encode(), seed=42)) in known
     return out
