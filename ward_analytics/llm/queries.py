@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ward_analytics.llm import langid, recompression, suffix_dedup
+from ward_analytics.llm import langid, packing, recompression, suffix_dedup
 from ward_analytics.llm.tables import held_out, load, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,3 +43,8 @@ def op8_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
 def op3_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
     found = suffix_dedup.remove_repeats(load(spark, d, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op9_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_documents(load(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
