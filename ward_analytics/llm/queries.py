@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ward_analytics.llm import langid, packing, recompression, suffix_dedup
+from ward_analytics.llm import decontaminate, langid, packing, recompression, suffix_dedup
 from ward_analytics.llm.tables import held_out, load, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,3 +48,8 @@ def op3_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
 @query
 def op9_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(load(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op6_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    return decontaminate.find_leaks(load(spark, d, "documents"), load(spark, d, "benchmark"))
