@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ward_analytics.llm import decontaminate, langid, packing, recompression, suffix_dedup
+from ward_analytics.llm import decontaminate, html_text, langid, packing, recompression, suffix_dedup
 from ward_analytics.llm.tables import held_out, load, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,3 +53,8 @@ def op9_packing(spark: SparkSession, d: str) -> DataFrame:
 @query
 def op6_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return decontaminate.find_leaks(load(spark, d, "documents"), load(spark, d, "benchmark"))
+
+
+@query
+def op10_html_text(spark: SparkSession, d: str) -> DataFrame:
+    return html_text.extract(load(spark, d, "pages"))
