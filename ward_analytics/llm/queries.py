@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ward_analytics.llm import decontaminate, html_text, langid, packing, recompression, suffix_dedup
+from ward_analytics.llm import decontaminate, html_text, langid, ngram_join, packing, recompression, suffix_dedup
 from ward_analytics.llm.tables import held_out, load, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,3 +58,8 @@ def op6_decontamination(spark: SparkSession, d: str) -> DataFrame:
 @query
 def op10_html_text(spark: SparkSession, d: str) -> DataFrame:
     return html_text.extract(load(spark, d, "pages"))
+
+
+@query
+def op2_ngram_join(spark: SparkSession, d: str) -> DataFrame:
+    return ngram_join.classes(load(spark, d, "documents"))

@@ -66,8 +66,9 @@ class Chunks:
         return self.spark.createDataFrame([], NOTES)
 
     def copies(self) -> tuple[DataFrame, DataFrame]:
-        """Exact copies of a text with a smaller doc_id: as notes, and as rows (doc_id, first)."""
-        named = self.documents.where("doc_id is not null and text is not null").select(
+        """Exact copies of a text with a smaller doc_id: as notes, and as rows (doc_id, first). Texts without a word aren't looked at."""
+        with_words = F.col("doc_id").isNotNull() & F.col("text").rlike("[^\\x20\\x09-\\x0D]")
+        named = self.documents.where(with_words).select(
             "chunk", "doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"), F.xxhash64("text").alias("name")
         )
         first = named.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
@@ -95,6 +96,18 @@ class Chunks:
 
         return self._sent(notes, keys_of, False).groupBy("bucket").applyInArrow(meet, NOTES)
 
+    def widest(self, notes: DataFrame, keys_of: Keys, chunks: int) -> np.ndarray:
+        """Keys that more than ``chunks`` chunks hold, as buckets know them: the bucket and 48 bits more. At most all keys by ``chunks``."""
+
+        def meet(table: pa.Table) -> pa.Table:
+            keys, _ = _short_keys(table)
+            keys, times = np.unique(keys, return_counts=True)
+            body = (keys[times > chunks] | np.uint64(table.column("bucket")[0].as_py()) << np.uint64(48)).tobytes()
+            return pa.table([[-1], [WIDE], [0], [body]], schema=_NOTES)
+
+        found = self._sent(notes, keys_of, False).groupBy("bucket").applyInArrow(meet, NOTES).where(F.octet_length("body") > 0)
+        return np.sort(np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(r["body"], np.uint64) for r in found.select("body").collect())]))
+
     def first_owner(self, notes: DataFrame, keys_of: Keys) -> DataFrame:
         """Notes that tell each chunk, for each of its keys, the smallest doc_id that holds it."""
         return self._sent(notes, keys_of, True).groupBy("bucket").applyInArrow(_meet_first, NOTES)
@@ -149,11 +162,15 @@ def _joined(column: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray
     return np.frombuffer(b"".join(bodies), np.uint8).reshape(-1, width), np.array([len(b) // width for b in bodies])
 
 
-def _meet_shared(table: pa.Table, wide: int) -> pa.Table:
+def _short_keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     short, sizes = _joined(table.column("body"), 6)
     keys = np.zeros((len(short), 8), np.uint8)
     keys[:, :6] = short
-    keys = keys.view(np.uint64).ravel()
+    return keys.view(np.uint64).ravel(), sizes
+
+
+def _meet_shared(table: pa.Table, wide: int) -> pa.Table:
+    keys, sizes = _short_keys(table)
     several = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=n) for m, n in zip(table.column("more").to_pylist(), sizes.tolist(), strict=True)]).astype(bool)
     order = np.argsort(keys, kind="stable")
     first = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1])))
