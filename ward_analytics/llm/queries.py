@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ward_analytics.llm import decontaminate, html_text, langid, ngram_join, packing, recompression, suffix_dedup
+from ward_analytics.llm import decontaminate, html_text, langid, ngram_join, packing, recompression, suffix_dedup, toxicity
 from ward_analytics.llm.tables import held_out, load, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,3 +63,10 @@ def op10_html_text(spark: SparkSession, d: str) -> DataFrame:
 @query
 def op2_ngram_join(spark: SparkSession, d: str) -> DataFrame:
     return ngram_join.classes(load(spark, d, "documents"))
+
+
+@query
+def op7_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    documents = load(spark, d, "documents").withColumn("held_out", held_out())
+    model = toxicity.fit(documents, load(spark, d, "labels"))
+    return toxicity.score(documents, model, ["doc_id", "held_out"])
