@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ward_analytics.llm import decontaminate, html_text, langid, ngram_join, packing, recompression, suffix_dedup, toxicity
+from ward_analytics.llm import decontaminate, html_text, langid, ngram_join, packing, quality, recompression, suffix_dedup, toxicity
 from ward_analytics.llm.tables import held_out, load, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,3 +70,11 @@ def op7_toxicity(spark: SparkSession, d: str) -> DataFrame:
     documents = load(spark, d, "documents").withColumn("held_out", held_out())
     model = toxicity.fit(documents, load(spark, d, "labels"))
     return toxicity.score(documents, model, ["doc_id", "held_out"])
+
+
+@query
+def op5_quality(spark: SparkSession, d: str) -> DataFrame:
+    documents = load(spark, d, "documents").select("doc_id", "text", "lang", "source")
+    return quality.judge(documents).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
