@@ -4,7 +4,7 @@ Rounds name runs of equal symbols and then pairs of neighbours: a random bit of
 one, and a left one followed by a right one becomes one symbol. A name is a hash of the names it is made of, so
 all documents agree on names without exchanging them. Symbols inside equal word sequences are equal, apart from
 those near the ends; how far a symbol looked to be sure of its borders is carried along with it. Each window of words is
-represented by the highest symbol inside it that depends on nothing outside. Symbols that several
+represented by the highest symbol inside it that depends on nothing outside, named together with the words it looked at. Symbols that several
 documents hold reveal the windows that may repeat; the windows' own names verify them, and the smallest document that
 holds each decides what is removed. A window without a sure symbol (long runs) is its own symbol.
 """
@@ -83,15 +83,19 @@ def window_symbols(names: np.ndarray, first: np.ndarray, width: int = WIDTH, rou
     i = np.arange(n)
     none = np.uint64(2**64 - 1)
     best = np.full(n, none)
+    factor = arrays.powers(n + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(names * factor[:n])))
+    back = arrays.powers(n + 1, pow(arrays._BASE, -1, 2**64))
     symbols = _runs((names, arrays.owner(first), i, i + 1, i, i + 1))
     for level in range(1, rounds + 1):
         symbols = _runs(_pairs(symbols, level)) if level > 1 else _pairs(symbols, level)
         name, _, _, _, low, high = symbols
         sure = np.flatnonzero(high - low <= width)
         low, high = low[sure], high[sure]
-        rank = (arrays.mix(name[sure] + np.uint64(level)) >> np.uint64(3)) | np.uint64(7 - level) << np.uint64(61)
-        for back in range(width):
-            at = low - back
+        seen = arrays.mix((sums[high] - sums[low]) * back[low] ^ name[sure])
+        rank = seen >> np.uint64(3) | np.uint64(7 - level) << np.uint64(61)
+        for step in range(width):
+            at = low - step
             there = np.flatnonzero((at >= high - width) & (at >= 0))
             if not len(there):
                 break

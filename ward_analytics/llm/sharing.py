@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ward_analytics.llm import arrays
 
 CHUNK_BYTES = 4 << 20
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 6 << 20
 NOTES = "chunk long, kind int, bucket int, body binary"
 _NOTES = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("body", pa.binary())])
 COPY, SHARED, FIRST, OTHER, WIDE = range(5)
