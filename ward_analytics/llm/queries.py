@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ward_analytics.llm import decontaminate, html_text, langid, ngram_join, packing, quality, recompression, suffix_dedup, toxicity
+from ward_analytics.llm import decontaminate, html_text, langid, licenses, ngram_join, packing, quality, recompression, suffix_dedup, toxicity
 from ward_analytics.llm.tables import held_out, load, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,3 +78,8 @@ def op5_quality(spark: SparkSession, d: str) -> DataFrame:
     return quality.judge(documents).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+@query
+def op4_licenses(spark: SparkSession, d: str) -> DataFrame:
+    return licenses.scan(load(spark, d, "documents"))
