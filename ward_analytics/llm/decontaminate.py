@@ -18,7 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ward_analytics.llm import arrays
+from ward_analytics.llm import arrays, idmap
+from ward_analytics.llm.tables import cut
 
 #: Fixed: eight counting positions each; the regular ones survive a substitution in every third, fourth, fifth or sixth word.
 MASKS = (
@@ -159,5 +160,5 @@ def _arrow(kind: str) -> pa.DataType:
 
 def drop_leaking(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id") -> DataFrame:
     """The documents whose id has no leak; those without an id are kept, since nothing tells them apart."""
-    leaking = find_leaks(documents, benchmark, doc_id, item_id).select(F.col("doc_id").alias(doc_id)).distinct()
-    return documents.join(leaking, doc_id, "left_anti")
+    leaking = cut(find_leaks(documents, benchmark, doc_id, item_id).select("doc_id").where("doc_id is not null").distinct())
+    return idmap.without(documents, leaking, doc_id)

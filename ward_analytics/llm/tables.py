@@ -19,13 +19,17 @@ def fold(doc_id: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5)), F.lit(-1))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir; only where that is unset (tests) one below the warehouse."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return (shared or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints").rstrip("/")
+
+
 def cut(frame: DataFrame) -> DataFrame:
-    """The frame as a checkpoint, in the folder that spark.checkpoint.dir names; only where that is unset (tests) below the warehouse."""
+    """The frame as a checkpoint in the shared folder."""
     spark = frame.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints")
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return frame.checkpoint(eager=True)
 
 
