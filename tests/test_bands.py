@@ -9,6 +9,7 @@ from ward_analytics.functions.numeric import (
     assess_vital,
     f_to_c,
     risk_level,
+    round_binary,
     score_vital,
     severity,
 )
@@ -132,3 +133,28 @@ def test_fahrenheit(spark):
 def test_age(spark, dob, as_of, age):
     df = spark.range(1).select(age_years(F.lit(dob).cast("date"), as_of).alias("age"))
     assert df.first().age == age
+
+
+def test_celsius_equals_python(spark):
+    """Every hundredth of 0 to 120 °F, and their negatives."""
+    values = [i / 100 for i in range(12_001)] + [-i / 100 for i in range(1, 12_001)]
+    df = spark.createDataFrame([(v,) for v in values], "f double").select("f", f_to_c(F.col("f")).alias("c"))
+    got = {r.f: r.c for r in df.collect()}
+    assert all(got[v] == round((v - 32) * 5 / 9, 1) for v in values)
+    plain = {r.f: r.c for r in df.select("f", F.round((F.col("f") - 32) * 5 / 9, 1).alias("c")).collect()}
+    assert sum(plain[v] != got[v] for v in values) > 100
+
+
+@pytest.mark.parametrize("digits", [1, 2])
+def test_display_equals_python(spark, digits):
+    values = [i / 1000 for i in range(0, 100_000, 5)] + [72.25, 72.35, 72.05, 0.05, 0.25, 0.35, 1e15 + 0.5, 2.0**53, 0.0, 99.95, 9.995]
+    values += [-v for v in values if v]
+    shown = F.format_string(f"%.{digits}f", round_binary(F.col("v"), digits))
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", shown.alias("s")).collect()
+    assert [r.s for r in rows] == [f"{r.v:.{digits}f}" for r in rows]
+
+
+def test_rounding_keeps_what_is_no_number(spark):
+    df = spark.createDataFrame([(None,), (float("nan"),), (float("inf"),)], "v double")
+    got = [r[0] for r in df.select(round_binary(F.col("v"), 1)).collect()]
+    assert got[0] is None and got[1] != got[1] and got[2] == float("inf")

@@ -6,10 +6,12 @@ import pytest
 
 import __spark_entry__ as driver
 import oracle
+from ward_analytics.plans import oracles
+from ward_analytics.plans.queries import REGISTRY
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES = driver.queries()
-ORACLES = driver.oracle_sql()
+QUERIES = REGISTRY
+ORACLES = oracles.oracle_sql()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 

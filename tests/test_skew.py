@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ward_analytics.catalogue import VITALS
 from ward_analytics.operators import assess, checks, latest, narrative, scoring, tables
+from ward_analytics.plans.queries import REGISTRY
 from ward_analytics.schemas import PATIENTS
 
 N = 60_000
@@ -150,3 +151,11 @@ def test_upkeep_with_a_hot_key(spark, readings, brute):
     expected = spark.createDataFrame([(1, "hot"), (999, "none")], "patient_id bigint, scenario string")
     missing = checks.missing_scores(scoring.score_readings(readings), expected)
     assert [r.patient_id for r in missing.collect()] == [999]
+
+
+@pytest.mark.parametrize("name", ["latest_scores", "latest_in_range", "active_patients", "needs_review", "trend", "assessments", "clinical_prompts", "scenario_check"])
+def test_newest_and_period_rows_hash(spark, name):
+    """Aggregates over scores have buffers of a fixed size: no task sorts its rows to aggregate them."""
+    plan = REGISTRY[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan
+    assert name == "clinical_prompts" or "SortAggregate" not in plan

@@ -5,9 +5,11 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from ward_analytics.catalogue import VITALS
 from ward_analytics.operators import scoring
+from ward_analytics.operators.latest import last_hours
 from ward_analytics.operators.scoring import score_windows
 from ward_analytics.sources import files, kafka, messages
 from ward_analytics.streaming import score_stream as st
@@ -51,12 +53,11 @@ def drop_files(folder, batches, first=1):
         os.utime(path, (1_700_000_000 + 60 * i,) * 2)
 
 
-def run(spark, source, target, checkpoint, rejected=None):
+def run(spark, source, target, checkpoint):
     options = {"path": str(source), "maxFilesPerTrigger": "1"}
     arriving = kafka.read_vitals_stream(spark, options, source="text")
     sink = st.start_score_sink(
-        st.score_stream(arriving), str(target), str(checkpoint), rejected,
-        trigger={"availableNow": True},
+        st.score_stream(arriving), str(target), str(checkpoint), trigger={"availableNow": True},
     )
     sink.awaitTermination()
     return sink
@@ -135,7 +136,7 @@ def test_crash_after_a_write_leaves_no_duplicates(spark, tmp_path):
 
     def crash(batch, batch_id):
         st.write_scores_batch(batch, batch_id, out)
-        if os.path.exists(out):
+        if files.read_scores(spark, out).count():
             raise RuntimeError("lost before the batch was committed")
 
     options = {"path": f"{tmp_path}/in", "maxFilesPerTrigger": "1"}
@@ -160,9 +161,9 @@ def test_patients_without_a_number_are_set_aside(spark, tmp_path):
             [message("7", "00:00:30", "spo2", 92.0), message("7", "00:30:00", "spo2", 92.0)],
         ],
     )
-    run(spark, tmp_path / "in", tmp_path / "out", tmp_path / "cp", f"{tmp_path}/rejected")
+    run(spark, tmp_path / "in", tmp_path / "out", tmp_path / "cp")
     assert found(files.read_scores(spark, f"{tmp_path}/out")) == {("00:00", 7): {"spo2": 92.0}}
-    rejected = files.read_scores(spark, f"{tmp_path}/rejected").collect()
+    rejected = files.read_scores(spark, f"{tmp_path}/out", status="rejected").collect()
     assert sorted(r.spo2 for r in rejected) == [90.0, 91.0]
     assert {r.patient_id for r in rejected} == {None}
 
@@ -189,10 +190,72 @@ def test_repeated_batch_replaces_itself(spark, tmp_path):
     assert files.read_scores(spark, path).count() == 4
 
 
-def test_empty_batch_writes_nothing(spark, tmp_path):
+def test_empty_batch_adds_no_rows(spark, tmp_path):
     batch = score_windows(wide(spark, [("1", *[None] * 5)])).filter("patient_id < 0")
     st.write_scores_batch(batch, 0, f"{tmp_path}/out")
-    assert not os.path.exists(f"{tmp_path}/out")
+    assert files.read_scores(spark, f"{tmp_path}/out").count() == 0
+
+
+def days(spark, path, n_batches=3, n_days=4):
+    for number in range(n_batches):
+        rows = [(str(p), 70.0 + number, 16.0, 98.0, 118.0, 37.0) for p in range(5)]
+        batch = score_windows(wide(spark, rows))
+        for day in range(n_days):
+            shifted = batch.withColumn("window_start", F.col("window_start") + F.make_dt_interval(days=F.lit(day)))
+            st.write_scores_batch(shifted, 10 * day + number, path, as_of="2024-02-01 00:00:00")
+    return sorted(files.read_scores(spark, path).collect())
+
+
+def test_look_back_lists_only_its_days(spark, tmp_path):
+    path = f"{tmp_path}/out"
+    days(spark, path)
+    recent = last_hours(files.read_scores(spark, path), "2024-01-05 00:00:00", 24)
+    assert {f.split("window_date=")[1][:10] for f in recent.inputFiles()} == {f"2024-01-0{d}" for d in range(1, 5)}
+    scan = [n for n in recent._jdf.queryExecution().executedPlan().toString().splitlines() if "PartitionFilters" in n][0]
+    assert "window_date" in scan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    day = F.regexp_extract(F.input_file_name(), "window_date=([0-9-]+)", 1)
+    assert [r[0] for r in recent.select(day).distinct().collect()] == ["2024-01-04"]
+
+
+def test_compaction_keeps_every_row(spark, tmp_path):
+    path = f"{tmp_path}/out"
+    before = days(spark, path)
+    assert st.compact_scores(spark, path, "2024-01-03") == ["window_date=2024-01-01", "window_date=2024-01-02"]
+    assert sorted(files.read_scores(spark, path).collect()) == before
+    assert os.listdir(f"{path}/status=valid/window_date=2024-01-01") == ["batch_id=-1"]
+    assert len(os.listdir(f"{path}/status=valid/window_date=2024-01-03")) == 3
+    assert st.compact_scores(spark, path, "2024-01-03") == []
+    assert sorted(files.read_scores(spark, path).collect()) == before
+
+
+@pytest.mark.parametrize("moves", [0, 1, 2, 3])
+def test_compaction_cut_short(spark, tmp_path, monkeypatch, moves):
+    path = f"{tmp_path}/out"
+    before = days(spark, path)
+    move, left = st._Files.move, [moves]
+
+    def failing(self, source, target):
+        if not left[0]:
+            raise RuntimeError("lost")
+        left[0] -= 1
+        move(self, source, target)
+
+    monkeypatch.setattr(st._Files, "move", failing)
+    with pytest.raises(RuntimeError, match="lost"):
+        st.compact_scores(spark, path, "2024-01-03")
+    monkeypatch.undo()
+    st.compact_scores(spark, path, "2024-01-03")
+    assert sorted(files.read_scores(spark, path).collect()) == before
+    assert not os.path.exists(f"{path}/_compaction")
+
+
+def test_another_session_zone_is_refused(spark):
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        with pytest.raises(ValueError, match="UTC"):
+            st.score_stream(spark.createDataFrame([(b"{}",)], "value binary"))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
 def test_replay_of_csv_files(spark, tmp_path):

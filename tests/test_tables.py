@@ -42,8 +42,27 @@ def test_backfill_sets_only_nulls(spark):
 
 def test_backfill_with_single_updates(spark):
     target = spark.createDataFrame([(1, None), (2, "kept")], "id int, room string")
-    updates = spark.createDataFrame([(1, "a"), (2, "b")], "id int, room string")
-    assert rows(tables.backfill(target, updates, "id", "room")) == [(1, "a"), (2, "kept")]
+    updates = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "id int, room string, n int")
+    assert rows(tables.backfill(target, updates, "id", "room", "n")) == [(1, "a"), (2, "kept")]
+
+
+TWICE = [(1, "b", None), (1, "a", None), (1, "c", 5), (1, "d", 5), (2, "e", None), (None, "f", 1)]
+
+
+def test_updates_never_change_the_number_of_rows(spark):
+    target = spark.createDataFrame([(1, None), (2, None), (2, "kept"), (None, None)], "id int, room string")
+    updates = spark.createDataFrame(TWICE, "id int, room string, n int")
+    filled = tables.backfill(target, updates, "id", "room", "n")
+    assert sorted(map(tuple, filled.collect()), key=str) == sorted([(1, "c"), (2, "e"), (2, "kept"), (None, None)], key=str)
+    written = tables.overwrite_columns(target, updates, "id", ["room"], "n")
+    assert sorted(map(tuple, written.collect()), key=str) == sorted([(1, "d"), (2, "e"), (2, "e"), (None, None)], key=str)
+
+
+def test_insert_needs_a_key(spark):
+    target = spark.createDataFrame([(1, "a")], "id int, room string")
+    new = spark.createDataFrame([(None, "x", 1), (3, "late", None), (3, "first", 2), (4, "only", None)], "id int, room string, n int")
+    added = tables.insert_absent(target, new, "id", ["n"])
+    assert sorted(map(tuple, added.collect())) == [(1, "a"), (3, "first"), (4, "only")]
 
 
 def test_overwrite_sets_nulls_too_and_the_last_update_stays(spark):
@@ -114,17 +133,17 @@ def test_whole_upkeep_twice_is_once(spark):
         [(101, "Ann Smith", "4A-12", 1), (102, "Bea", None, 2), (102, "Bea again", "9", 3)],
         "patient_id int, full_name string, room_number string, n int",
     )
-    rooms = spark.createDataFrame([(101, "4A-12"), (102, "4A-15")], "patient_id int, room_number string")
+    rooms = spark.createDataFrame([(101, "4A-12", 1), (102, "4A-15", 2)], "patient_id int, room_number string, n int")
     homes = spark.createDataFrame(
-        [(101, "Oak Lane", "Engineer"), (102, "Birch Court", None)],
-        "patient_id int, home_address string, occupation string",
+        [(101, "Oak Lane", "Engineer", 1), (102, "Birch Court", None, 2)],
+        "patient_id int, home_address string, occupation string, n int",
     )
 
     def upkeep(table):
         table = tables.ensure_columns(table, PATIENTS)
         table = tables.insert_absent(table, seed, "patient_id", ["n"])
-        table = tables.backfill(table, rooms, "patient_id", "room_number")
-        table = tables.overwrite_columns(table, homes, "patient_id", ["home_address", "occupation"])
+        table = tables.backfill(table, rooms, "patient_id", "room_number", "n")
+        table = tables.overwrite_columns(table, homes, "patient_id", ["home_address", "occupation"], "n")
         return tables.apply_defaults(table, "2024-01-01 00:00:00")
 
     shown = ["patient_id", "full_name", "room_number", "home_address", "occupation", "allergies"]

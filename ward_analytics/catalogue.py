@@ -215,7 +215,8 @@ TREND_NOTES = {"worsening": " and getting worse", "improving": " but improving"}
 NO_PROBLEMS_TEXT = "No active problems — all vitals within normal range."
 NO_DATA_TEXT = "No data"
 NORMAL_TEXT = "Within normal range"
-NO_VITALS_TEXT = "No vitals recorded in the last 6 hours."
+NO_VITALS_TEXT = "No vitals recorded in the last {hours} hours."
+PROMPT_VITALS = ". Their vitals over the last {hours} hours:\n"
 VITALS_TABLE_HEAD = (
     "Time | HR | RR | SpO2 | SBP | Temp(°C) | NEWS2 | Risk",
     "-----|----|----|------|-----|----------|-------|-----",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import date, datetime
+from fractions import Fraction
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -63,8 +64,30 @@ def severity(points: Column) -> Column:
     return band_column([(points == 0, normal), (points == 1, warning)], critical)
 
 
+def round_binary(c: Column, digits: int) -> Column:
+    """Rounded to decimals by the exact value of the double, ties to the even digit.
+
+    ``F.round`` and ``format_string`` round the shortest decimal that prints like the double, which is
+    often a tie where the double is none. Here the fraction, which is exact in a double, is compared with the tie
+    points between two results. Where it equals the double next to a tie point, it is known beforehand
+    on which side of it that double lies, or that it is the tie itself.
+    """
+    scale = 10**digits
+    ties = [Fraction(2 * k + 1, 2 * scale) for k in range(scale)]
+    at_tie = [Fraction(float(t)) > t or (Fraction(float(t)) == t and k % 2 == 1) for k, t in enumerate(ties)]
+    size = F.abs(c)
+    whole = F.floor(size)
+    fraction = size - whole
+    step = F.least(F.floor(fraction * scale), F.lit(scale - 1)).cast("int")
+    tie = F.get(F.array(*(F.lit(float(t)) for t in ties)), step)
+    up = (fraction > tie) | ((fraction == tie) & F.get(F.array(*map(F.lit, at_tie)), step))
+    rounded = (whole * scale + step + up.cast("int")) / F.lit(float(scale))
+    exact = F.isnan(c) | (size >= 2.0**53 / scale)  # no decimals left to round
+    return F.when(c.isNull() | exact, c).otherwise(F.when(c < 0, -rounded).otherwise(rounded))
+
+
 def f_to_c(c: Column) -> Column:
-    return F.round((c - 32) * 5 / 9, 1)
+    return round_binary((c - 32) * 5 / 9, 1)
 
 
 def trend(vital: str, rows: Column, first: Column, last: Column) -> Column:

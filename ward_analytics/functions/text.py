@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ward_analytics.catalogue import CAUSES_PREFIX, DASH, PROBLEM_SEPARATOR, TREND_NOTES
+from ward_analytics.functions.numeric import round_binary
 
 
 def profile_context(conditions: Column, history: Column, medications: Column) -> Column:
@@ -60,8 +61,9 @@ def detail(value: Column, unit: str) -> Column:
 
 def format_vital_value(vital: str, value: Column) -> Column:
     """Two decimals for temperature, one for the others; a missing value prints ``nan``."""
-    pattern = "%.2f" if vital == "temperature" else "%.1f"
-    return F.when(value.isNull(), "nan").otherwise(F.format_string(pattern, value))
+    digits = 2 if vital == "temperature" else 1
+    shown = F.format_string(f"%.{digits}f", round_binary(value, digits))
+    return F.when(value.isNull() | F.isnan(value), "nan").otherwise(shown)
 
 
 def format_timestamp(c: Column) -> Column:

@@ -34,7 +34,7 @@ from ward_analytics.functions.text import (
     profile_context,
     unique_ignoring_case,
 )
-from ward_analytics.operators.latest import last_hours, row_in_time
+from ward_analytics.operators.latest import at_end, last_hours, risk_text, with_key
 from ward_analytics.operators.serving import to_celsius
 
 
@@ -70,18 +70,24 @@ def period_summary(history: DataFrame) -> DataFrame:
         "patient_id", "window_start", "news2_score", "risk_level",
         *(c.alias(v) for v, c in vitals.items()),
     )
-    row = row_in_time(rows)
+    ends = ["window_start", "news2_score", "risk_level", *VITALS]
     spread = [
         agg(v).alias(f"{v}_{name}")
         for v in VITALS
         for name, agg in (("lowest", F.min), ("highest", F.max), ("values", F.count))
     ]
-    return rows.groupBy("patient_id").agg(
+    found = with_key(rows).groupBy("patient_id").agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.min(row).alias("first"),
-        F.max(row).alias("last"),
+        *at_end(ends, F.min_by, "first_"),
+        *at_end(ends, F.max_by, "last_"),
         *spread,
     )
+    risk = lambda side: risk_text(F.col(f"{side}_risk_level"), F.col(f"{side}_news2_score"))
+    row = lambda side: F.struct(
+        *((risk(side) if c == "risk_level" else F.col(f"{side}_{c}")).alias(c) for c in ends)
+    ).alias(side)
+    kept = [c for c in found.columns if not c.startswith(("first_", "last_"))]
+    return found.select(*kept, row("first"), row("last"))
 
 
 def _trend_columns() -> dict[str, Column]:

@@ -2,30 +2,61 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ward_analytics.functions.numeric import at_time
+from ward_analytics.catalogue import RISK_BOUNDS, TOP_RISK
+from ward_analytics.functions.numeric import at_time, risk_level
 
 #: Newest first; a window that was written twice resolves to its higher score.
 NEWEST = ("window_start", "news2_score")
 
 
-def row_in_time(df: DataFrame, key: str = "patient_id") -> Column:
-    """A row as a struct that sorts by time, then score, then the other columns."""
-    rest = [c for c in df.columns if c != key and c not in NEWEST]
-    return F.struct(*NEWEST, *rest)
+def time_key(window_start: str = "window_start", score: str = "news2_score") -> Column:
+    """Time, then score, as one integer. Aggregates by it have buffers of a fixed size, so they hash instead of sorting all rows."""
+    points = F.coalesce(F.col(score), F.lit(0))
+    bad = F.raise_error(F.concat(F.lit("score outside of 0 to 31: "), points.cast("string"))).cast("long")
+    micros = F.unix_micros(F.col(window_start).cast("timestamp"))
+    return F.when(points.between(0, 31), micros * 32 + points).otherwise(bad)
+
+
+_LEVELS = [risk for _, risk in RISK_BOUNDS] + [TOP_RISK]
+_KNOWN_RISKS = [*_LEVELS, *map(str.lower, _LEVELS), *map(str.capitalize, _LEVELS)]
+
+
+def with_key(scores: DataFrame) -> DataFrame:
+    """The table with its key, and the risk as a number, which has a fixed size, too."""
+    risks = F.array(*map(F.lit, _KNOWN_RISKS))
+    coded = {"risk_level": F.array_position(risks, F.col("risk_level"))} if "risk_level" in scores.columns else {}
+    return scores.withColumns({"_key": time_key(), **coded})
+
+
+def risk_text(code: Column, score: Column) -> Column:
+    """The risk behind the number; another text than the known ones is read off the score."""
+    return F.when(code > 0, F.get(F.array(*map(F.lit, _KNOWN_RISKS)), (code - 1).cast("int"))).when(code == 0, risk_level(score))
+
+
+def at_end(columns: list[str], pick: Callable[..., Column], prefix: str = "") -> list[Column]:
+    """The columns of the row with the lowest or highest key, by ``F.min_by`` or ``F.max_by``.
+
+    Of two rows with the same time and score either may give its columns.
+    """
+    return [pick(c, "_key").alias(prefix + c) for c in columns]
 
 
 def latest_scores(scores: DataFrame) -> DataFrame:
-    """The newest row of each patient. ``max`` over whole rows keeps one row per patient and task
-    before the shuffle, however many rows a patient has."""
-    newest = F.max(row_in_time(scores)).alias("_row")
-    return scores.groupBy("patient_id").agg(newest).select("patient_id", "_row.*").select(
-        *scores.columns
-    )
+    """The newest row of each patient; of two rows of a window the one with the higher score.
+
+    One hash aggregation: a row per patient and task reaches the shuffle, however many rows a patient has.
+    """
+    rest = [c for c in scores.columns if c != "patient_id"]
+    newest = with_key(scores).groupBy("patient_id").agg(*at_end(rest, F.max_by))
+    if "risk_level" in rest:
+        newest = newest.withColumn("risk_level", risk_text(F.col("risk_level"), F.col("news2_score")))
+    return newest.select(*scores.columns)
 
 
 def latest_scores_ranked(scores: DataFrame) -> DataFrame:

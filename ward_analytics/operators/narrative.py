@@ -16,6 +16,7 @@ from ward_analytics.catalogue import (
     NONE_DOCUMENTED,
     PROMPT_QUESTION,
     PROMPT_ROLE,
+    PROMPT_VITALS,
     VITALS_TABLE_HEAD,
 )
 from ward_analytics.functions.numeric import age_years, f_to_c
@@ -168,7 +169,7 @@ def clinical_prompts(
 ) -> DataFrame:
     """A review prompt for each patient with a profile."""
     tables = vitals_text_table(scores, as_of, hours)
-    return _prompts(_prompt_profiles(patients).join(tables, "patient_id", "left"), as_of)
+    return _prompts(_prompt_profiles(patients).join(tables, "patient_id", "left"), as_of, hours)
 
 
 def review_prompts(
@@ -179,7 +180,7 @@ def review_prompts(
 ) -> DataFrame:
     """The prompts of the patients whose newest risk in the look-back calls for a review."""
     tables = needs_review(vitals_text_table(scores, as_of, hours))
-    return _prompts(_prompt_profiles(patients).join(tables, "patient_id"), as_of)
+    return _prompts(_prompt_profiles(patients).join(tables, "patient_id"), as_of, hours)
 
 
 def _prompt_profiles(patients: DataFrame) -> DataFrame:
@@ -188,7 +189,7 @@ def _prompt_profiles(patients: DataFrame) -> DataFrame:
     )
 
 
-def _prompts(joined: DataFrame, as_of: datetime | str) -> DataFrame:
+def _prompts(joined: DataFrame, as_of: datetime | str, hours: int) -> DataFrame:
     age = age_years(F.col("date_of_birth"), as_of)
     documented = lambda c: F.coalesce(
         F.nullif(F.array_join(c, ", "), F.lit("")), F.lit(NONE_DOCUMENTED)
@@ -202,8 +203,8 @@ def _prompts(joined: DataFrame, as_of: datetime | str) -> DataFrame:
         documented("past_medical_conditions"),
         F.lit(", "),
         documented("current_medications"),
-        F.lit(". Their vitals over the last 6 hours:\n"),
-        F.coalesce("vitals_table", F.lit(NO_VITALS_TEXT)),
+        F.lit(PROMPT_VITALS.format(hours=hours)),
+        F.coalesce("vitals_table", F.lit(NO_VITALS_TEXT.format(hours=hours))),
         F.lit("\nCurrent NEWS2 score: "),
         F.coalesce(F.col("news2_score").cast("string"), F.lit(DASH)),
         F.lit(" - "),

@@ -31,57 +31,49 @@ def ensure_columns(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in missing))
 
 
+def _in_order(ordinal: Sequence[str]) -> Column:
+    """Ordinals as a value that sorts a missing one last."""
+    return F.struct(*(F.struct(F.col(c).isNull(), F.col(c)) for c in ordinal))
+
+
 def _first_per_key(rows: DataFrame, key: str, ordinal: Sequence[str]) -> DataFrame:
     """The first row of each key by the ordinal columns. ``min`` keeps one row per key and task
-    before the shuffle, so a key with many copies stays cheap."""
-    order = [F.col(c) for c in ordinal]
+    before the shuffle, so a key with many copies stays cheap. Texts in the row make this a sorted aggregation; to find the ordinals
+    first and join back would read and shuffle the rows twice."""
     rest = [c for c in rows.columns if c != key and c not in ordinal]
-    first = F.min(F.struct(*order, *rest)).alias("_first")
-    return rows.groupBy(key).agg(first).select(key, "_first.*").select(*rows.columns)
+    first = F.min(F.struct(_in_order(ordinal), *ordinal, *rest)).alias("_first")
+    found = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(first)
+    return found.select(key, *(F.col(f"_first.{c}").alias(c) for c in (*ordinal, *rest))).select(*rows.columns)
 
 
 def insert_absent(
     target: DataFrame, rows: DataFrame, key: str, ordinal: Sequence[str]
 ) -> DataFrame:
     """The target plus the rows with new keys. Rows already there win, then the first new one by
-    ``ordinal``, whose columns are left out of the result unless the target has them."""
+    ``ordinal``, whose columns are left out of the result unless the target has them. A row without a key isn't inserted."""
     new = _first_per_key(rows, key, ordinal).join(target.select(key), key, "left_anti")
     extra = [c for c in ordinal if c not in target.columns]
     return target.unionByName(new.drop(*extra), allowMissingColumns=True)
 
 
-def backfill(
-    target: DataFrame,
-    updates: DataFrame,
-    key: str,
-    col: str,
-    ordinal: str | None = None,
-) -> DataFrame:
-    """Set ``col`` only where it is null. Several updates of a key apply in the order of
-    ``ordinal``, so the first value that is not null stays."""
-    known = updates.filter(F.col(col).isNotNull())
-    if ordinal is None:
-        new = known.select(key, F.col(col).alias("_new"))
-    else:
-        new = known.groupBy(key).agg(F.min_by(col, ordinal).alias("_new"))
+def backfill(target: DataFrame, updates: DataFrame, key: str, col: str, ordinal: str) -> DataFrame:
+    """Set ``col`` only where it is null; the number of rows stays. Several updates of a key apply in the order of
+    ``ordinal``, so the first value that is not null stays; one without ordinal comes last, equal ones go by value."""
+    known = updates.filter(F.col(col).isNotNull() & F.col(key).isNotNull())
+    order = F.struct(F.col(ordinal).isNull(), F.col(ordinal), F.col(col))
+    new = known.groupBy(key).agg(F.min_by(col, order).alias("_new"))
     joined = target.join(new, key, "left").withColumn(col, F.coalesce(F.col(col), F.col("_new")))
     return joined.select(*target.columns)
 
 
 def overwrite_columns(
-    target: DataFrame,
-    updates: DataFrame,
-    key: str,
-    cols: Sequence[str],
-    ordinal: str | None = None,
+    target: DataFrame, updates: DataFrame, key: str, cols: Sequence[str], ordinal: str
 ) -> DataFrame:
-    """Set ``cols`` of matching rows, to null too where the update says so. Of several updates of
-    a key the last one by ``ordinal`` stays."""
+    """Set ``cols`` of matching rows, to null too where the update says so; the number of rows stays. Of several updates of
+    a key the last one by ``ordinal`` stays; one without ordinal counts as the earliest, of equal ones the greater values stay."""
     values = F.struct(*(F.col(c).alias(c) for c in cols))
-    if ordinal is None:
-        new = updates.select(key, values.alias("_new"))
-    else:
-        new = updates.groupBy(key).agg(F.max_by(values, F.col(ordinal)).alias("_new"))
+    order = F.struct(F.col(ordinal).isNotNull(), F.col(ordinal), values)
+    new = updates.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(values, order).alias("_new"))
     joined = target.join(new, key, "left")
     set_column = lambda c: F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c))
     return joined.select(*(set_column(c).alias(c) if c in cols else c for c in target.columns))

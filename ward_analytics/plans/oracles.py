@@ -11,7 +11,6 @@ from ward_analytics.catalogue import (
     CAUSE_RULES,
     EMPTY_LABELS,
     NO_PROBLEMS_TEXT,
-    NO_VITALS_TEXT,
     PROMPT_QUESTION,
     PROMPT_ROLE,
     VITAL_CATALOGUE,
@@ -52,10 +51,24 @@ readings AS (
       WHEN 'signup' THEN 'temperature' END AS vital_sign,
     floor(CASE event_type WHEN 'click' THEN 35 + value % 115 WHEN 'view' THEN 6 + value % 26
       WHEN 'purchase' THEN 86 + value % 14 WHEN 'error' THEN 80 + value % 150
-      WHEN 'signup' THEN 94 + value % 12 END * 10) / 10 AS value
+      WHEN 'signup' THEN 94 + value % 12 END * 100) / 100 AS value
   FROM events)"""
 
-CELSIUS = "round((temperature - 32) * 5 / 9, 1)"
+UNNUMBERED = READINGS.replace(
+    "user_id AS patient_id", "CASE WHEN value > 50 THEN 'p' ELSE '' END || user_id AS patient_id"
+)
+
+# Readings that the three runs accept: of the last run's, those of windows that end after the watermark of the two before it.
+LATE_READINGS = READINGS.replace(
+    "FROM events",
+    """FROM events WHERE NOT (ts < TIMESTAMP '2024-01-16' AND event_id % 10 = 0)
+    OR time_bucket(INTERVAL 5 MINUTE, ts) + INTERVAL 5 MINUTE > (
+      SELECT max(ts) FROM events WHERE ts < TIMESTAMP '2024-01-30' AND NOT (ts < TIMESTAMP '2024-01-16' AND event_id % 10 = 0)
+    ) - INTERVAL 1 MINUTE""",
+)
+
+# printf rounds the binary value
+CELSIUS = "CAST(printf('%.1f', (temperature - 32) * 5 / 9) AS DOUBLE)"
 
 
 def _wide(window: str) -> str:
@@ -379,8 +392,8 @@ PROMPT = f"""SELECT patient_id, {_sql(PROMPT_ROLE)} || 'Patient background: '
   || coalesce({AGE} || ' years old', 'age unknown') || ', ' || coalesce(sex, 'unknown') || ', '
   || coalesce(nullif(array_to_string(past_medical_conditions, ', '), ''), 'none documented')
   || ', ' || coalesce(nullif(array_to_string(current_medications, ', '), ''), 'none documented')
-  || '. Their vitals over the last 6 hours:' || chr(10)
-  || coalesce(vitals_table, {_sql(NO_VITALS_TEXT)}) || chr(10)
+  || '. Their vitals over the last 720 hours:' || chr(10)
+  || coalesce(vitals_table, 'No vitals recorded in the last 720 hours.') || chr(10)
   || 'Current NEWS2 score: ' || coalesce(CAST(news2_score AS VARCHAR), '—') || ' - '
   || coalesce(risk_level, 'UNKNOWN') || '. ' || {_sql(PROMPT_QUESTION)} AS prompt"""
 
@@ -411,9 +424,24 @@ def oracle_sql() -> dict[str, str]:
             then="SELECT * FROM scores WHERE window_start + INTERVAL 5 MINUTE "
             "<= (SELECT max(ts) FROM events) - INTERVAL 1 MINUTE",
         ),
+        "stream_late": _with(
+            LATE_READINGS, _wide("5 minutes"), _scored(),
+            then="SELECT * FROM scores WHERE window_start + INTERVAL 5 MINUTE "
+            "<= (SELECT max(ts) FROM events) - INTERVAL 1 MINUTE",
+        ),
         "score_table": _with(
             *FIVE_MINUTES, then=f"SELECT *, {AS_OF} AS created_at FROM scores"
         ),
+        "score_table_compacted": _with(
+            *FIVE_MINUTES, then=f"SELECT *, {AS_OF} AS created_at FROM scores"
+        ),
+        "score_table_rejected": _with(
+            UNNUMBERED, _wide("5 minutes"), _scored(),
+            then=f"SELECT *, {AS_OF} AS created_at FROM scores WHERE patient_id IS NULL",
+        ),
+        "scores_by_key": _with(
+            *FIVE_MINUTES, then="SELECT * FROM scores WHERE patient_id IN (1, 2, 3, 5, 8, 13)"
+        ),
         "ensure_columns": _with(
             PATIENTS,
             then=f"SELECT {PATIENT_TEXTS} FROM (SELECT * REPLACE (CAST(NULL AS VARCHAR) AS "
@@ -443,10 +471,7 @@ def oracle_sql() -> dict[str, str]:
             "(PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1) u ON u.o_custkey = patient_id",
         ),
         "quarantine_invalid": _with(
-            READINGS.replace(
-                "user_id AS patient_id",
-                "CASE WHEN value > 50 THEN 'p' ELSE '' END || user_id AS patient_id",
-            ),
+            UNNUMBERED,
             _wide("5 minutes"),
             _scored(),
             then="SELECT *, CASE WHEN patient_id IS NULL THEN 'rejected' ELSE 'valid' END AS status "
@@ -468,12 +493,15 @@ def oracle_sql() -> dict[str, str]:
         "cohort_dob": "SELECT CAST(c_custkey AS INTEGER) AS patient_id, c_name AS full_name, "
         "DATE '2024-01-31' - CAST((20 + c_custkey % 70) * 365 AS INTEGER) AS date_of_birth "
         "FROM customer",
+        "cohort_replaced": "SELECT CAST(c_custkey AS INTEGER) AS patient_id, c_name AS full_name, "
+        "DATE '2024-01-31' - CAST((20 + c_custkey % 70) * 365 AS INTEGER) AS date_of_birth "
+        "FROM customer WHERE c_custkey % 3 = 0",
         "latest_scores": _with(*FIVE_MINUTES, NEWEST, then="SELECT * FROM newest"),
         "latest_scores_ranked": _with(*FIVE_MINUTES, NEWEST, then="SELECT * FROM newest"),
         "latest_in_range": _with(
             *FIVE_MINUTES, NEWEST,
             then="SELECT patient_id, news2_score, risk_level, window_start FROM newest "
-            "WHERE patient_id BETWEEN 0 AND 2147483647 ORDER BY patient_id",
+            "WHERE patient_id BETWEEN 5 AND 75 ORDER BY patient_id",
         ),
         "last_six_hours": _with(
             *FIVE_MINUTES,

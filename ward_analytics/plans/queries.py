@@ -6,6 +6,7 @@ windows, the ones that explain vitals on one-day windows and a look-back over th
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,7 @@ from ward_analytics.streaming import score_stream
 
 AS_OF = "2024-01-31 00:00:00"
 LOOK_BACK = 720
+ID_RANGE = (5, 75)
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -72,6 +74,15 @@ def _long(spark: SparkSession, d: str) -> DataFrame:
     return assess.assessments(_daily(spark, d), _patients(spark, d), AS_OF, LOOK_BACK)
 
 
+def _unnumbered(spark: SparkSession, d: str) -> DataFrame:
+    """Readings, those above a level without a patient number."""
+    number = F.col("user_id").cast("string")
+    labelled = _events(spark, d).withColumn(
+        "patient", F.when(F.col("value") > 50, F.concat(F.lit("p"), number)).otherwise(number)
+    )
+    return adapter.readings(labelled.withColumn("user_id", F.col("patient")))
+
+
 def _lists_as_text(patients: DataFrame) -> DataFrame:
     lists = ("allergies", "past_medical_conditions", "current_medications")
     return patients.withColumns({c: F.array_join(c, "; ") for c in lists})
@@ -160,12 +171,60 @@ def stream_scores(spark, d):
     return files.read_scores(spark, f"{folder}/scores").drop("created_at", "window_date")
 
 
+@query
+def stream_late(spark, d):
+    """The score stream in three runs over one checkpoint: the first half of ``events`` but for a tenth, the second half but for
+    its last day, and then that day with the tenth that was held back, whose windows the watermark has closed."""
+    folder = work_folder(spark, "late")
+    events, held = _events(spark, d), F.col("event_id") % 10 == 0
+    half, day = (F.lit(t).cast("timestamp_ntz") for t in ("2024-01-16 00:00:00", "2024-01-30 00:00:00"))
+    early, late = F.col("ts") < half, F.col("ts") >= day
+    for number, part in enumerate((early & ~held, ~early & ~late, early & held | late)):
+        arriving = messages.encode_messages(adapter.raw_readings(events.filter(part)))
+        arriving.write.parquet(f"{folder}/in/part={number}")
+        source = spark.readStream.schema("key binary, value binary").parquet(f"{folder}/in/part=*")
+        run = score_stream.start_score_sink(
+            score_stream.score_stream(source), f"{folder}/scores", f"{folder}/checkpoint", trigger={"availableNow": True}
+        )
+        run.awaitTermination()
+    return files.read_scores(spark, f"{folder}/scores").drop("created_at", "window_date")
+
+
 @query
 def score_table(spark, d):
-    """The score table as one written batch, read back by its date folders."""
+    """The score table written whole, and read back from its date folders."""
     folder = work_folder(spark, "scores") + "/table"
-    score_stream.write_scores_batch(_scores(spark, d), 0, folder, as_of=AS_OF)
-    return latest.last_hours(files.read_scores(spark, folder), AS_OF, LOOK_BACK).drop("window_date")
+    score_stream.write_score_table(_scores(spark, d), folder, as_of=AS_OF)
+    return files.read_scores(spark, folder).drop("window_date")
+
+
+@query
+def score_table_rejected(spark, d):
+    """What the score table sets aside: readings above a level come without a patient number."""
+    folder = work_folder(spark, "rejected") + "/table"
+    score_stream.write_score_table(scoring.score_readings(_unnumbered(spark, d)), folder, as_of=AS_OF)
+    return files.read_scores(spark, folder, status="rejected").drop("window_date")
+
+
+@query
+def score_table_compacted(spark, d):
+    """The score table from two batches, with the dates of its first half merged."""
+    folder = work_folder(spark, "compacted") + "/table"
+    odd = F.col("patient_id") % 2 == 1
+    for number, part in enumerate((odd, ~odd)):
+        score_stream.write_scores_batch(_scores(spark, d).filter(part), number, folder, as_of=AS_OF)
+    score_stream.compact_scores(spark, folder, "2024-01-16")
+    return files.read_scores(spark, folder).drop("window_date")
+
+
+@query
+def scores_by_key(spark, d):
+    """A managed table that is created, filled and read for a few patients; the condition goes to its scan."""
+    name = f"scores_{uuid.uuid4().hex}"
+    wanted = _scores(spark, d)
+    tables.ensure_table(spark, name, wanted.schema)
+    wanted.write.insertInto(name)
+    return files.read_table(spark, name, F.col("patient_id").isin(1, 2, 3, 5, 8, 13))
 
 
 # Upkeep of tables --------------------------------------------------------------------------------
@@ -220,13 +279,8 @@ def keyed_update(spark, d):
 @query
 def quarantine_invalid(spark, d):
     """Readings above a level come from devices without a patient number; their rows are marked."""
-    number = F.col("user_id").cast("string")
-    labelled = _events(spark, d).withColumn(
-        "patient", F.when(F.col("value") > 50, F.concat(F.lit("p"), number)).otherwise(number)
-    )
-    readings = adapter.readings(labelled.withColumn("user_id", F.col("patient")))
     return tables.mark_valid(
-        scoring.score_readings(readings), ["patient_id", "window_start", "news2_score"]
+        scoring.score_readings(_unnumbered(spark, d)), ["patient_id", "window_start", "news2_score"]
     )
 
 
@@ -242,14 +296,27 @@ def duplicate_keys(spark, d):
     return tables.duplicate_keys(_readings(spark, d), ["patient_id", "vital_sign"])
 
 
-@query
-def cohort_dob(spark, d):
-    cohort = adapter.load(spark, d, "customer").select(
+def _cohort(spark: SparkSession, d: str) -> DataFrame:
+    return adapter.load(spark, d, "customer").select(
         F.col("c_custkey").cast("int").alias("patient_id"),
         F.col("c_name").alias("full_name"),
         (20 + F.col("c_custkey") % 70).cast("int").alias("age"),
     )
-    return tables.replace_cohort(cohort, AS_OF)
+
+
+@query
+def cohort_dob(spark, d):
+    return tables.replace_cohort(_cohort(spark, d), AS_OF)
+
+
+@query
+def cohort_replaced(spark, d):
+    """A table of all patients, replaced by a cohort of every third."""
+    path = work_folder(spark, "cohort") + "/patients"
+    tables.overwrite_table(_patients(spark, d).select("patient_id", "full_name", "date_of_birth"), path)
+    cohort = _cohort(spark, d).filter("patient_id % 3 = 0")
+    tables.overwrite_table(tables.replace_cohort(cohort, AS_OF), path)
+    return files.read_table(spark, path)
 
 
 # Serving -----------------------------------------------------------------------------------------
@@ -267,8 +334,8 @@ def latest_scores_ranked(spark, d):
 
 @query
 def latest_in_range(spark, d):
-    """Newest scores of an id range, here the range of all ids."""
-    in_range = latest.in_id_range(_scores(spark, d), 0, 2_147_483_647)
+    """Newest scores of an id range, both ends included."""
+    in_range = latest.in_id_range(_scores(spark, d), *ID_RANGE)
     newest = latest.latest_scores(in_range)
     return newest.select("patient_id", "news2_score", "risk_level", "window_start").orderBy(
         "patient_id"

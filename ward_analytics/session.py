@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Mapping
 
@@ -44,13 +43,19 @@ def local_session(
 
 
 def work_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder below the cluster's shared ``spark.checkpoint.dir``.
+    """A new folder that all executors share: below ``spark.checkpoint.dir``, else below the warehouse.
 
-    Only a local session may go without that setting; it then uses a temporary folder.
+    What a query writes there is read when its result is; it is the caller's to remove afterwards, by its
+    name or together with the shared folder.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return tempfile.mkdtemp(prefix=f"{purpose}-")
+    if not shared:
+        shared = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/work"
+    return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def require_utc(spark: SparkSession) -> None:
+    """Tables keep times without zone, in UTC; under another session zone they would shift."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    if zone not in ("UTC", "Etc/UTC", "GMT", "Z", "+00:00"):
+        raise ValueError(f"spark.sql.session.timeZone must be UTC, not {zone}")

@@ -1,6 +1,6 @@
 """The given tables in the shape of the ward: ``events`` as readings, ``customer`` as patients.
 
-Values keep one decimal (cut, not rounded) so that every engine prints and rounds them alike.
+Values have two decimals, as bedside devices send them (cut, not rounded).
 """
 
 from __future__ import annotations
@@ -52,7 +52,7 @@ def _reading_columns() -> tuple[Column, Column]:
         [(kind == e, lo + F.col("value") % span) for e, (_, lo, span) in EVENT_VITALS.items()],
         None,
     )
-    return vital, F.floor(raw * 10) / 10
+    return vital, F.floor(raw * 100) / 100
 
 
 def readings(events: DataFrame) -> DataFrame:

@@ -61,11 +61,11 @@ def read_table(
     return df if where is None else df.filter(where)
 
 
-def read_scores(spark: SparkSession, path: str) -> DataFrame:
-    """The score table that the stream sink writes. ``window_date`` is its partition column,
-    which ``last_hours`` uses to skip folders."""
-    schema = as_nullable(SCORES).add("batch_id", T.LongType()).add("window_date", T.DateType())
-    return spark.read.schema(schema).parquet(path).drop("batch_id")
+def read_scores(spark: SparkSession, path: str, status: str = "valid") -> DataFrame:
+    """The score table that the stream sink writes, or with ``status="rejected"`` what it set aside. ``window_date`` is a partition
+    column, which ``last_hours`` uses to skip folders."""
+    schema = as_nullable(SCORES).add("status", T.StringType()).add("window_date", T.DateType()).add("batch_id", T.LongType())
+    return spark.read.schema(schema).parquet(path).filter(F.col("status") == status).drop("status", "batch_id")
 
 
 def inline_rows(spark: SparkSession, rows: Iterable[tuple], schema: T.StructType) -> DataFrame:
