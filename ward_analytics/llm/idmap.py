@@ -41,7 +41,8 @@ def without(documents: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> Dat
     def maybe(bits: pd.Series) -> pd.Series:
         return pd.Series(among(bits.to_numpy(np.int64), sent.value))
 
-    marked = documents.withColumn("_maybe", F.col(doc_id).isNotNull() & maybe(F.coalesce(bit(doc_id), F.lit(0))))
-    gone = ids.select(F.col("doc_id").alias("_gone")).distinct()
-    left = marked.where("_maybe").join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
-    return marked.where("not _maybe").unionByName(left).drop("_maybe")
+    packed = documents.select(F.struct(*documents.columns).alias("row"), F.col(doc_id).alias("id"))
+    marked = packed.withColumn("maybe", F.col("id").isNotNull() & maybe(F.coalesce(bit("id"), F.lit(0))))
+    gone = ids.select(F.col("doc_id").alias("id")).distinct()
+    left = marked.where("maybe").join(gone, "id", "left_anti")
+    return marked.where("not maybe").select("row.*").unionByName(left.select("row.*"))

@@ -79,12 +79,12 @@ def _measures(frame: DataFrame) -> DataFrame:
     )
 
 
-def thresholds(measured: DataFrame, language: str = "lang", source: str = "source") -> DataFrame:
+def thresholds(measured: DataFrame) -> DataFrame:
     """A row for each language and source: the highest value of each measure that passes. A null is a language or source of its own.
 
     Sketches are built for the finest groups and merged for the coarser ones, so documents are read once.
     """
-    fine = measured.groupBy(F.col(language).alias("lang"), F.col(source).alias("source")).agg(
+    fine = measured.groupBy("lang", "source").agg(
         F.count("*").alias("n"), *[F.kll_sketch_agg_double(m, F.lit(SKETCH_K)).alias(m) for m in MEASURES]
     )
     merged = [F.sum("n").alias("n"), *[F.kll_merge_agg_double(m, F.lit(SKETCH_K)).alias(m) for m in MEASURES]]
@@ -106,18 +106,21 @@ def thresholds(measured: DataFrame, language: str = "lang", source: str = "sourc
     return found.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), chosen.alias("most"))
 
 
-def judge(documents: DataFrame, text: str = "text", language: str = "lang", source: str = "source") -> DataFrame:
-    """The table with its measures, base_failed and kept.
+def judge(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", language: str = "lang", source: str = "source") -> DataFrame:
+    """The columns ``keep``, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept.
 
     base_failed: fewer than 20 words, or more than 30 percent of them in repeated 8-word windows. kept: not base_failed, and no measure
-    beyond the threshold of its language and source. Columns of the table that bear a name used here are the caller's to rename. Rows
-    are judged by themselves, so repeated rows get equal results; an empty table gives an empty table.
+    beyond the threshold of its language and source. Rows are judged by themselves, so repeated rows get equal results; other columns don't
+    matter, whatever their names; an empty table gives an empty table.
     """
-    measured = _measures(measure(documents, text))
-    limits = thresholds(measured, language, source)
+    own = documents.select(F.struct(*keep).alias("_row"), F.col(text).alias("text"), F.col(language).alias("lang"), F.col(source).alias("source"))
+    measured = _measures(measure(own))
+    limits = thresholds(measured)
     within = F.lit(True)
     for m in MEASURES:
         within = within & (F.col(m) <= F.coalesce(F.col(f"most.{m}"), F.lit(float("inf"))))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
-    joined = measured.join(limits, F.col(language).eqNullSafe(F.col("t_lang")) & F.col(source).eqNullSafe(F.col("t_source")), "left")
-    return joined.withColumn("base_failed", failed).withColumn("kept", ~failed & within).drop("t_lang", "t_source", "most", "_n_lines", *MEASURES)
+    joined = measured.join(limits, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
+    return joined.select(
+        "_row.*", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & within).alias("kept")
+    )

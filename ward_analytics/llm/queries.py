@@ -74,10 +74,7 @@ def op7_toxicity(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def op5_quality(spark: SparkSession, d: str) -> DataFrame:
-    documents = load(spark, d, "documents").select("doc_id", "text", "lang", "source")
-    return quality.judge(documents).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
-    )
+    return quality.judge(load(spark, d, "documents"))
 
 
 @query
