@@ -189,13 +189,22 @@ CATALOGUE = _values(
     [(i, *v, v.unit) for i, v in enumerate(VITAL_CATALOGUE, start=1)],
 )
 
+# Upper bound and points of each ladder step, written out apart from the catalogue; only the texts are shared.
+BOUNDS = {
+    "heart_rate": ((40, 3), (50, 1), (90, 0), (110, 1), (130, 2), (1e9, 3)),
+    "respiratory_rate": ((8, 3), (11, 1), (20, 0), (24, 2), (1e9, 3)),
+    "spo2": ((91, 3), (93, 2), (95, 1), (1e9, 0)),
+    "systolic_bp": ((90, 3), (100, 2), (110, 1), (219, 0), (1e9, 3)),
+    "temperature": ((35, 3), (36, 1), (38, 0), (39, 1), (1e9, 2)),
+}
+
 LADDER = _values(
     "ladder",
     "ladder_vital, step, upper, score, problem",
     [
-        (vital, i, 1e9 if s.upper is None else float(s.upper), s.score, s.problem)
-        for vital, steps in ASSESS_LADDERS.items()
-        for i, s in enumerate(steps)
+        (vital, i, float(upper), points, ASSESS_LADDERS[vital][i].problem)
+        for vital, steps in BOUNDS.items()
+        for i, (upper, points) in enumerate(steps)
     ],
 )
 
