@@ -8,12 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ward_analytics.llm import decontaminate, html_text, langid, licenses, ngram_join, packing, quality, recompression, suffix_dedup, toxicity
+from ward_analytics.llm import decontaminate, html_text, langid, licenses, ngram_join, oracles, packing, quality, recompression, suffix_dedup, toxicity
 from ward_analytics.llm.tables import held_out, load, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+ORACLES = oracles.SQL
 
 
 def query(fn: Query) -> Query:
