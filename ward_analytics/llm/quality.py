@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ward_analytics.llm.tables import cut
+
 WORD = "[^\\x20\\x09-\\x0D]+"
 SPACE = "[\\x20\\x09-\\x0D]"
 WINDOW = 8
@@ -27,14 +29,23 @@ SKETCH_K = 200
 
 
 def _words(text: Column) -> Column:
-    """All words. Cutting at white space leaves an empty string at each end that touches it."""
-    return F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
+    """All words."""
+    trimmed = F.btrim(text, F.lit(" \t\n\x0b\f\r"))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE + "+"))
+
+
+def _doubled(names: str, apart: int) -> Column:
+    """Names of runs twice as long: of each run with the one that begins so many words later. Those at the end are of no use."""
+    after = F.slice(names, F.lit(apart + 1), F.size(names))
+    return F.zip_with(names, after, lambda a, b: F.xxhash64(a, b))
 
 
 def measure(documents: DataFrame, text: str = "text") -> DataFrame:
-    """The columns of the table and n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words. A null text has no words."""
-    words = F.coalesce(F.col(text), F.lit(""))
-    frame = documents.withColumn("_text", words).withColumn("_words", _words(F.col("_text")))
+    """The columns of the table and n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words. A null text has no words.
+
+    Each step is a column of its own, since Spark computes an expression within lambdas as often as it is written.
+    """
+    frame = documents.withColumn("_text", F.coalesce(F.col(text), F.lit(""))).withColumn("_words", _words(F.col("_text")))
     lines = F.filter(F.split(F.col("_text"), "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     frame = frame.withColumn("_lines", lines).select(
         *documents.columns,
@@ -43,30 +54,22 @@ def measure(documents: DataFrame, text: str = "text") -> DataFrame:
         F.regexp_count("_text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.size("_lines").cast("long").alias("_n_lines"),
-        F.transform("_words", lambda w: F.xxhash64(w)).alias("_names"),
+        F.when(F.size("_words") >= WINDOW, F.transform("_words", lambda w: F.xxhash64(w))).alias("_names"),
     )
-    windows = F.when(
-        F.size("_names") >= WINDOW,
-        F.transform(F.sequence(F.lit(1), F.size("_names") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("_names", i, WINDOW))),
-    ).otherwise(F.array().cast("array<bigint>"))
-    frame = frame.withColumn("_windows", windows)
+    for apart in (1, 2, 4):
+        frame = frame.withColumn("_names", _doubled("_names", apart))
+    frame = frame.withColumn("_windows", F.slice("_names", F.lit(1), F.greatest(F.size("_names") - (WINDOW - 1), F.lit(0))))
     repeats = F.size(F.array_distinct("_windows")) < F.size("_windows")
-    return (
-        frame.withColumn("_repeats", repeats)
-        .withColumn("n_repeat_words", F.when(F.col("_repeats"), _covered(F.col("_windows"))).otherwise(F.lit(0)).cast("long"))
-        .drop("_names", "_windows", "_repeats")
-    )
-
-
-def _covered(windows: Column) -> Column:
-    """Words that the windows with an equal elsewhere cover: windows in order of name stand beside their equals."""
-    by_name = F.array_sort(F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
-    beside = F.zip_with(by_name, F.slice(by_name, F.lit(2), F.size(by_name)), lambda a, b: F.when(a["w"] == b["w"], F.array(a["i"], b["i"])))
-    places = F.array_sort(F.array_distinct(F.flatten(F.filter(beside, lambda p: p.isNotNull()))))
-    after = F.slice(places, F.lit(2), F.size(places))
-    return F.aggregate(
-        F.zip_with(places, after, lambda a, b: F.least(F.coalesce(b - a, F.lit(WINDOW)), F.lit(WINDOW))), F.lit(0), lambda total, n: total + n
-    )
+    numbered = F.when(repeats, F.array_sort(F.transform("_windows", lambda w, i: F.struct(w.alias("w"), i.alias("i")))))
+    frame = frame.withColumn("_by_name", numbered)
+    after = F.slice("_by_name", F.lit(2), F.size("_by_name"))
+    frame = frame.withColumn("_beside", F.zip_with("_by_name", after, lambda a, b: F.when(a["w"] == b["w"], F.array(a["i"], b["i"]))))
+    frame = frame.withColumn("_places", F.array_sort(F.array_distinct(F.flatten(F.filter("_beside", lambda p: p.isNotNull())))))
+    after = F.slice("_places", F.lit(2), F.size("_places"))
+    steps = F.zip_with("_places", after, lambda a, b: F.least(F.coalesce(b - a, F.lit(WINDOW)), F.lit(WINDOW)))
+    covered = F.aggregate(steps, F.lit(0), lambda total, n: total + n)
+    frame = frame.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
+    return frame.drop("_names", "_windows", "_by_name", "_beside", "_places")
 
 
 def _measures(frame: DataFrame) -> DataFrame:
@@ -114,7 +117,7 @@ def judge(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str =
     matter, whatever their names; an empty table gives an empty table.
     """
     own = documents.select(F.struct(*keep).alias("_row"), F.col(text).alias("text"), F.col(language).alias("lang"), F.col(source).alias("source"))
-    measured = _measures(measure(own))
+    measured = cut(_measures(measure(own)).drop("text"))  # read twice
     limits = thresholds(measured)
     within = F.lit(True)
     for m in MEASURES:
