@@ -6,7 +6,7 @@ similarity asks for are verified on the sets themselves.
 
 Trees are local to blocks: linked documents share one of the first n-grams of each, in an order that is the
 same for all (n-grams of very many documents last, else by hash), as many as similarity leaves room for. Blocks of one document are never formed.
-First, documents of which most such n-grams are shared meet with their sets in the blocks of two of them, and one link to each is
+First, documents of which enough such n-grams are shared meet with their sets in the blocks of two of them, and one link to each is
 enough, so that a large group of near copies becomes a class in linear work. Then blocks that hold more
 than one class give all their pairs that pass the bound and cross classes; those are verified pair by pair.
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ward_analytics.llm import arrays, sharing
+from ward_analytics.llm import arrays, idmap, sharing
 from ward_analytics.llm.graph import components
 from ward_analytics.llm.sharing import OTHER, Chunks, Notes
 from ward_analytics.llm.tables import cut
@@ -34,15 +34,17 @@ N = 5
 PERCENT = 80
 #: N-grams come last in the order if more than one in so many chunks holds them, and more than WIDE chunks do. No more
 #: than WIDE_SHARE times the first n-grams of one chunk can be such, so the tasks can all know them.
-WIDE_SHARE = 16
-WIDE = 64
+WIDE_SHARE = 32
+WIDE = 8
 #: Documents meet in so many blocks with their sets, if at least this share of their first n-grams is shared.
 MEETINGS = 2
-MOSTLY = 0.5
+MOSTLY = 0.3
 #: So many chunks meet at a time; what is left of each meeting goes on to the next.
 MEET_CHUNKS = 16
-#: Size of the bit map of documents that a step asks for.
-MAP_BITS = 26
+#: Members of a class that go on.
+GO_ON = 8
+#: A point's size in bytes at most: it goes along with each n-gram that classes share.
+MOST_GROUPS = 256
 _FANOUT = 16
 _TOP = 255
 
@@ -64,8 +66,9 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def groups(n: int) -> int:
-    """Into how many groups a set of n is hashed: so many that unlike sets differ in enough of them."""
-    return 1 << max(4, math.ceil(math.log2(max(n, 1) / 4)))
+    """Into how many groups a set of n is hashed: as many as n-grams at least, so that the bound lies close above the overlap; of
+    large sets fewer, which still differ in enough of them if they are unlike."""
+    return min(MOST_GROUPS, 1 << max(4, math.ceil(math.log2(1.25 * max(n, 1)))))
 
 
 def point(grams: np.ndarray, n_groups: int) -> np.ndarray:
@@ -133,7 +136,7 @@ def _fold(point: np.ndarray) -> np.ndarray:
 
 
 def join_classes(ids: np.ndarray, sets: list[np.ndarray]) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """Links (by id) that connect what the first found link of each member connects, and one member of each class."""
+    """Links (by id) that connect what the first found link of each member connects, and some members of each class."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets])
     forest = Forest([point(s, groups(len(s))) for s in sets], sizes)
@@ -154,14 +157,23 @@ def join_classes(ids: np.ndarray, sets: list[np.ndarray]) -> tuple[list[tuple[in
                 edges.append((int(ids[i]), int(ids[j])))
                 parent[find(i)] = find(j)
                 break
-    return edges, np.array([i for i in range(n) if parent[i] == i], np.int64)
+    stay: dict[int, list[int]] = {}
+    for i in order.tolist():
+        members = stay.setdefault(find(i), [])
+        if len(members) < GO_ON:
+            members.append(i)
+    return edges, np.array(sorted(i for members in stay.values() for i in members), np.int64)
 
 
 def gram_sets(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
     """The n-gram set of each text, in order."""
+    return [s for some in _sliced_sets(column) for s in some]
+
+
+def _sliced_sets(column: pa.Array | pa.ChunkedArray) -> Iterator[list[np.ndarray]]:
     data, offsets = arrays.text_bytes(column)
-    out: list[np.ndarray] = []
     for a, b in arrays.slices(offsets):
+        out: list[np.ndarray] = []
         part, at = arrays.lower(data[offsets[a] : offsets[b]]), offsets[a : b + 1] - offsets[a]
         starts, ends, first = arrays.spans(part, at)
         names = arrays.names(part, starts, ends)
@@ -171,7 +183,7 @@ def gram_sets(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
                 out.append(np.unique(runs[i : j - N + 1]))
             else:
                 out.append(arrays.windows(names[i:j], j - i, 1 + j - i) if j > i else np.empty(0, np.uint64))
-    return out
+        yield out
 
 
 def _ids(documents: pa.Table) -> np.ndarray:
@@ -205,15 +217,43 @@ def _flat(sets: list[np.ndarray], rows: np.ndarray, owners: np.ndarray) -> tuple
 _FIRSTS = "doc_id long, name long, n_shingles long, prefix binary, counts binary"
 
 
-def _firsts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document: its size, its first n-grams by hash, and its point."""
-    for batch in batches:
-        sets = gram_sets(batch.column(2))
-        yield pa.RecordBatch.from_arrays([
-            batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()),
-            pa.array([_prefix(s).tobytes() for s in sets], pa.binary()),
-            pa.array([point(s, groups(len(s))).tobytes() if len(s) else b"" for s in sets], pa.binary()),
-        ], ["doc_id", "name", "n_shingles", "prefix", "counts"])
+def _firsts_of(texts: DataFrame, wide: np.ndarray, bits: int) -> DataFrame:
+    """A row for each document: its size, its first n-grams in the common order, and its point."""
+    sent = texts.sparkSession.sparkContext.broadcast(wide)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = gram_sets(batch.column(2))
+            firsts = [_prefix(s, sharing.member(_short(s, bits), sent.value)).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(firsts, pa.binary()),
+                pa.array([point(s, groups(len(s))).tobytes() if len(s) else b"" for s in sets], pa.binary()),
+            ], ["doc_id", "name", "n_shingles", "prefix", "counts"])
+
+    return texts.mapInArrow(run, _FIRSTS)
+
+
+_PART = pa.schema([("bucket", pa.int32()), ("body", pa.binary())])
+
+
+def _wide(texts: DataFrame, bits: int, least: int) -> np.ndarray:
+    """N-grams, as buckets know them, that are among the first by hash in more than ``least`` slices of texts."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for sets in _sliced_sets(batch.column(2)):
+                keys = np.unique(np.concatenate([np.empty(0, np.uint64), *map(_prefix, sets)]))
+                rows = [(bucket, sharing._short(keys[a:b])) for bucket, a, b in sharing.buckets(keys, bits)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=_PART)
+
+    def meet(table: pa.Table) -> pa.Table:
+        keys, times = np.unique(sharing._short_keys(table)[0], return_counts=True)
+        bucket = table.column("bucket")[0].as_py()
+        return pa.table([pa.array([bucket], pa.int32()), [(keys[times > least] | np.uint64(bucket) << np.uint64(48)).tobytes()]], schema=_PART)
+
+    found = texts.mapInArrow(send, "bucket int, body binary").groupBy("bucket").applyInArrow(meet, "bucket int, body binary")
+    bodies = [r["body"] for r in found.where(F.octet_length("body") > 0).select("body").collect()]
+    return np.sort(np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(b, np.uint64) for b in bodies)]))
 
 
 def _rows_in_play(table: pa.Table, notes: Notes) -> np.ndarray:
@@ -245,7 +285,7 @@ class _Firsts:
         self.documents = frame.withColumn("chunk", F.pmod(F.coalesce(F.xxhash64("doc_id"), F.lit(0)), F.lit(chunks.n_chunks)))
         self.bits, self.spark = chunks.bits, chunks.spark
 
-    apply, shared, widest, _sent = Chunks.apply, Chunks.shared, Chunks.widest, Chunks._sent
+    apply, shared, _sent = Chunks.apply, Chunks.shared, Chunks._sent
 
 
 def _classes(table: pa.Table, notes: Notes) -> np.ndarray:
@@ -261,7 +301,8 @@ def _classes(table: pa.Table, notes: Notes) -> np.ndarray:
 
 
 def _meetings(bits: int):
-    """Documents most of whose first n-grams are shared, and the blocks they meet in."""
+    """Documents enough of whose first n-grams are shared, and the blocks they meet in: those of the smallest second hashes. Near copies
+    mostly agree on them; by the first hash they would not, since the order moves the common ones of small hash to its end."""
 
     def run(table: pa.Table, notes: Notes) -> pa.Table:
         sets, active = _prefix_sets(table), _rows_in_play(table, notes)
@@ -271,7 +312,8 @@ def _meetings(bits: int):
             hit = sharing.member(sets[i], common)
             if hit.sum() >= max(1, MOSTLY * len(hit)):
                 chosen.append(i)
-                blocks.append(sets[i][hit][:MEETINGS].view(np.int64))
+                shared = sets[i][hit]
+                blocks.append(shared[np.argsort(arrays.mix(shared))[:MEETINGS]].view(np.int64))
         return pa.table({
             "chunk": table.column("chunk").take(pa.array(chosen, pa.int64())), "doc_id": table.column("doc_id").take(pa.array(chosen, pa.int64())),
             "name": table.column("name").take(pa.array(chosen, pa.int64())), "blocks": pa.array(blocks, pa.list_(pa.int64())),
@@ -285,7 +327,7 @@ _MET_SQL = "block long, chunk long, a long, b long, grams binary"
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """Links of a block, and one document of each class with its set."""
+    """Links of a block, and some documents of each class with their sets."""
     rows = table.to_pylist()
     out = [tuple(r.values()) for r in rows if r["grams"] is None]
     here = [r for r in rows if r["grams"] is not None]
@@ -298,7 +340,8 @@ def _meet(table: pa.Table) -> pa.Table:
     return pa.table(list(map(list, zip(*out, strict=True))) or [[]] * 5, schema=_MET)
 
 
-_ROWS = pa.schema([("gram", pa.int64()), ("doc_id", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("counts", pa.binary())])
+_ROWS = pa.schema([("bucket", pa.int32()), ("gram", pa.int64()), ("doc_id", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("counts", pa.binary())])
+_ROWS_SQL = "bucket int, gram long, doc_id long, class long, n long, counts binary"
 
 
 def _crossing_rows(bits: int):
@@ -308,53 +351,59 @@ def _crossing_rows(bits: int):
         sets, active = _prefix_sets(table), _rows_in_play(table, notes)
         classes, ids = _classes(table, notes), _ids(table)
         common = _marked(sets, active, classes, notes, bits)
-        n, counts, rows = table.column("n_shingles").to_pylist(), table.column("counts").to_pylist(), []
-        for i in active.tolist():
-            for gram in sets[i][sharing.member(sets[i], common)].view(np.int64).tolist():
-                rows.append((gram, int(ids[i]), int(classes[i]), n[i], counts[i]))
-        return pa.table(list(map(list, zip(*rows, strict=True))) or [[]] * 5, schema=_ROWS)
+        hits = [sets[i][sharing.member(sets[i], common)] for i in active.tolist()]
+        row = np.repeat(active, [len(h) for h in hits])
+        grams = np.concatenate([np.empty(0, np.uint64), *hits])
+        return pa.table([
+            pa.array((grams >> np.uint64(64 - bits)).astype(np.int32)), pa.array(grams.view(np.int64)), pa.array(ids[row]), pa.array(classes[row]),
+            table.column("n_shingles").take(pa.array(row)), table.column("counts").take(pa.array(row)),
+        ], schema=_ROWS)
 
     return run
 
 
+def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sizes are close enough to link."""
+    return (100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b))
+
+
 def _pairs(table: pa.Table) -> pa.Table:
-    """Pairs of one block that cross classes and pass the bound."""
-    classes, ids = table.column("class").to_numpy(), table.column("doc_id").to_numpy()
-    sizes = table.column("n").to_numpy()
-    found = []
-    if len(np.unique(classes)) > 1:
-        forest = Forest([np.frombuffer(c, np.uint8) for c in table.column("counts").to_pylist()], sizes)
-        for i in range(len(ids)):
+    """Pairs that meet in one of a bucket's blocks, cross classes and pass the bound; small blocks are looked through, others have trees."""
+    order = np.argsort(table.column("gram").to_numpy(), kind="stable")
+    gram, ids, classes, sizes = (table.column(c).to_numpy()[order] for c in ("gram", "doc_id", "class", "n"))
+    counts = table.column("counts").take(pa.array(order)).to_pylist()
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(gram)), bool), gram[1:] != gram[:-1])))
+    times = np.diff(np.concatenate((first, [len(gram)])))
+    small = np.repeat(times <= _FANOUT, times)
+    found = set()
+    for step in range(1, _FANOUT):
+        i = np.flatnonzero((gram[step:] == gram[:-step]) & small[step:] & (classes[step:] != classes[:-step]) & _near(sizes[step:], sizes[:-step]))
+        for x, y in zip(i.tolist(), (i + step).tolist(), strict=True):
+            pair = (int(max(ids[x], ids[y])), int(min(ids[x], ids[y])))
+            if pair not in found:
+                a, b = np.frombuffer(counts[x], np.uint8), np.frombuffer(counts[y], np.uint8)
+                a, b = (_fold(a), b) if len(a) > len(b) else (a, _fold(b)) if len(b) > len(a) else (a, b)
+                if _bound(a, b[None, :])[0] >= least_overlap(int(sizes[x]), int(sizes[y])):
+                    found.add(pair)
+    for start, n in zip(first[times > _FANOUT].tolist(), times[times > _FANOUT].tolist(), strict=True):
+        s = slice(start, start + n)
+        own, kind, size = ids[s], classes[s], sizes[s]
+        if (kind == kind[0]).all():
+            continue
+        forest = Forest([np.frombuffer(c, np.uint8) for c in counts[s]], size)
+        for i in range(n):
             hit = forest.search(i)
-            hit = hit[(classes[hit] != classes[i]) & ((sizes[hit] < sizes[i]) | (ids[hit] < ids[i]))]
-            found += [(int(ids[i]), int(ids[j])) for j in hit]
+            found.update((int(max(own[i], own[j])), int(min(own[i], own[j]))) for j in hit[kind[hit] != kind[i]])
     return pa.table([[a for a, _ in found], [b for _, b in found]], schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
 
-def _bit_map(ids: DataFrame) -> np.ndarray:
-    """A bit for each document asked for, by the hash of its id; as 64-bit words."""
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(2**MAP_BITS))
-    words = (
-        ids.select(bit.alias("bit")).groupBy(F.expr("shiftright(bit, 6)").alias("word"))
-        .agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits")).toPandas()
-    )
-    out = np.zeros(2 ** (MAP_BITS - 6), np.int64)
-    out[words["word"]] = words["bits"]
-    return out.view(np.uint64)
-
-
-def _asked(batch: pa.RecordBatch, words: np.ndarray) -> pa.RecordBatch:
-    bit = batch.column(3).to_numpy()
-    return batch.filter(pa.array((words[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
-
-
 def _sets_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
     """doc_id, name and set of the documents asked for, and of some others."""
-    sent = texts.sparkSession.sparkContext.broadcast(_bit_map(ids))
+    sent = texts.sparkSession.sparkContext.broadcast(idmap.bit_map(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = _asked(batch, sent.value)
+            batch = batch.filter(pa.array(idmap.among(batch.column(3).to_numpy(), sent.value)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([s.tobytes() for s in gram_sets(batch.column(2))], pa.binary())], ["doc_id", "name", "grams"]
             )
@@ -362,39 +411,6 @@ def _sets_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
     return texts.where("doc_id is not null").mapInArrow(run, "doc_id long, name long, grams binary")
 
 
-def _ordered(texts: DataFrame, firsts: DataFrame, wide: np.ndarray, bits: int) -> DataFrame:
-    """The first n-grams in the order that has ``wide`` ones last. Only documents with such a one among their first by hash change."""
-    sent = texts.sparkSession.sparkContext.broadcast(wide)
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            touched = [bool(sharing.member(_short(np.frombuffer(p, np.uint64), bits), sent.value).any()) for p in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(touched, pa.bool_())], [*batch.schema.names, "touched"])
-
-    parted = firsts.mapInArrow(split, _FIRSTS + ", touched boolean")
-    words = texts.sparkSession.sparkContext.broadcast(_bit_map(parted.where("touched and doc_id is not null").select("doc_id")))
-
-    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = _asked(batch, words.value)
-            rows, firsts, sizes, counts = [], [], [], []
-            for i, grams in enumerate(gram_sets(batch.column(2))):
-                late = sharing.member(_short(grams, bits), sent.value)
-                if late[: len(_prefix(grams))].any():
-                    rows.append(i)
-                    firsts.append(_prefix(grams, late).tobytes())
-                    sizes.append(len(grams))
-                    counts.append(point(grams, groups(len(grams))).tobytes())
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(sizes, pa.int64()), pa.array(firsts, pa.binary()), pa.array(counts, pa.binary())],
-                ["doc_id", "name", "n_shingles", "prefix", "counts"],
-            )
-
-    changed = texts.where("doc_id is not null").mapInArrow(again, _FIRSTS)
-    return parted.where("not touched or doc_id is null").drop("touched").unionByName(changed)
-
-
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         same = [linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
@@ -422,14 +438,11 @@ def classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     chunks = Chunks(documents, doc_id, text)
     bits = chunks.bits
     copies, copied = chunks.copies()
-    texts = chunks.documents.select("doc_id", F.xxhash64("text").alias("name"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(2**MAP_BITS)).alias("bit"))
-    table = cut(texts.mapInArrow(_firsts_of, _FIRSTS))
+    texts = chunks.documents.select("doc_id", F.xxhash64("text").alias("name"), "text", idmap.bit("doc_id").alias("bit"))
+    wide = _wide(texts, bits, max(WIDE, chunks.n_chunks // WIDE_SHARE))
+    table = cut(_firsts_of(texts, wide, bits))
     copies, copied = cut(copies), cut(copied)
     firsts = _Firsts(table, chunks)
-    wide = firsts.widest(copies, _first_keys, max(WIDE, chunks.n_chunks // WIDE_SHARE))
-    if len(wide):
-        table = cut(_ordered(texts, table, wide, bits))
-        firsts = _Firsts(table, chunks)
     notes = copies.unionByName(firsts.shared(copies, _first_keys))
     meeting = cut(firsts.apply(notes, _meetings(bits), "chunk long, doc_id long, name long, blocks array<long>"))
     met, far = (
@@ -443,8 +456,8 @@ def classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     links = cut(met.where("grams is null").select("a", "b"))
     known = copies.unionByName(_noted(components(links).select(F.col("node").alias("doc_id"), "component"), ["doc_id", "component"], chunks.n_chunks))
     known = known.unionByName(firsts.shared(known, _class_keys))
-    rows = firsts.apply(known, _crossing_rows(bits), "gram long, doc_id long, class long, n long, counts binary")
-    pairs = cut(rows.groupBy("gram").applyInArrow(_pairs, "a long, b long").distinct())
+    rows = firsts.apply(known, _crossing_rows(bits), _ROWS_SQL)
+    pairs = cut(rows.groupBy("bucket").applyInArrow(_pairs, "a long, b long").distinct())
     sets = _sets_of(texts, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
     verified = (
         pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), "a")

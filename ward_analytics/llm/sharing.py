@@ -96,18 +96,6 @@ class Chunks:
 
         return self._sent(notes, keys_of, False).groupBy("bucket").applyInArrow(meet, NOTES)
 
-    def widest(self, notes: DataFrame, keys_of: Keys, chunks: int) -> np.ndarray:
-        """Keys that more than ``chunks`` chunks hold, as buckets know them: the bucket and 48 bits more. At most all keys by ``chunks``."""
-
-        def meet(table: pa.Table) -> pa.Table:
-            keys, _ = _short_keys(table)
-            keys, times = np.unique(keys, return_counts=True)
-            body = (keys[times > chunks] | np.uint64(table.column("bucket")[0].as_py()) << np.uint64(48)).tobytes()
-            return pa.table([[-1], [WIDE], [0], [body]], schema=_NOTES)
-
-        found = self._sent(notes, keys_of, False).groupBy("bucket").applyInArrow(meet, NOTES).where(F.octet_length("body") > 0)
-        return np.sort(np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(r["body"], np.uint64) for r in found.select("body").collect())]))
-
     def first_owner(self, notes: DataFrame, keys_of: Keys) -> DataFrame:
         """Notes that tell each chunk, for each of its keys, the smallest doc_id that holds it."""
         return self._sent(notes, keys_of, True).groupBy("bucket").applyInArrow(_meet_first, NOTES)
