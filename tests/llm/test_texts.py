@@ -145,6 +145,26 @@ def test_leaks_of_nothing(workers, frame):
     assert decontaminate.find_leaks(frame([(1, ITEM)]), items.where("item_id < 0")).collect() == []
 
 
+def test_a_leak_is_the_best_stretch_that_is_alike_enough(workers, frame):
+    words = [f"w{i}" for i in range(60)]
+    loose = words[:12] + [w if i % 5 in (0, 2, 4) else "x" for i, w in enumerate(words[12:42])]
+    fourth, third = ([w if i % n != 1 else "x" for i, w in enumerate(words)] for n in (4, 3))
+    rows = [(1, " ".join(loose)), (2, " ".join(["y", *fourth])), (3, " ".join(third)), (4, " ".join(words[:12] + ["x"] * 30 + words[42:52]))]
+    items = workers.createDataFrame([(100, " ".join(words))], "item_id long, text string")
+    found = {r.doc_id: r for r in decontaminate.find_leaks(frame(rows), items).collect()}
+    assert sorted(found) == [1, 2, 4]
+    for d, text in rows:
+        equal = [a == b for a, b in zip(text.split()[d == 2 :], words, strict=False)]
+        stretches = [(-sum(equal[i:j]), i, j - i) for i in range(len(equal)) for j in range(i + 1, len(equal) + 1) if 4 * sum(equal[i:j]) >= 3 * (j - i)]
+        best = [s for s in stretches if s[0] == min(stretches)[0]]
+        if d in found:
+            r = found[d]
+            ends = equal[r.item_start], equal[r.item_start + r.n_words - 1]
+            assert all(ends) and r.doc_start - r.item_start == (d == 2) and (-r.n_matches, r.item_start, r.n_words) in best
+        else:
+            assert all(-n < 10 for n, _, _ in best)
+
+
 @pytest.mark.parametrize("every", [3, 4, 5, 6])
 def test_masks_survive_regular_substitutions(every):
     words = [f"w{i}" for i in range(40)]
