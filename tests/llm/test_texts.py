@@ -176,6 +176,34 @@ def test_masks_survive_regular_substitutions(every):
         assert len(index.line_ups(arrays.names(data, starts, ends), first)[0])
 
 
+def test_masks_survive_any_substitutions_that_leave_a_leak():
+    """A longer stretch has a part of 14 to 27 words that is a leak by itself."""
+    for n in range(10, 28):
+        for gone in range(n - 9):
+            if n - gone < decontaminate.LEAST_SHARE * n:
+                break
+            places = np.array(list(itertools.combinations(range(1, n - 1), gone)), np.int64).reshape(-1, gone) if gone else np.zeros((1, 0), np.int64)
+            kept = (1 << n) - 1 - (1 << places).sum(axis=1)
+            met = np.zeros(len(kept), bool)
+            for mask in decontaminate.MASKS:
+                bits = int(mask, 2)
+                for shift in range(n - len(mask) + 1):
+                    met |= kept & (bits << shift) == bits << shift
+            assert met.all(), (n, gone)
+
+
+def test_leaks_with_random_substitutions(workers, frame):
+    rng, rows, items = random.Random(7), [], []
+    for d in range(300):
+        n = rng.randrange(13, 31)
+        words, gone = [f"w{d}x{i}" for i in range(n)], set(rng.sample(range(1, n - 1), n // 4))
+        items.append((d, " ".join(words)))
+        rows.append((d, " ".join(["a", "b", *("x" if i in gone else w for i, w in enumerate(words)), "c"])))
+    found = decontaminate.find_leaks(frame(rows), workers.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(d, d) for d in range(300)]
+    assert all((r.doc_start, r.item_start, r.n_matches) == (2, 0, sum(w != "x" for w in rows[r.doc_id][1].split()) - 3) for r in found)
+
+
 PAGE = """<html><head><title>T</title></head><body class="has-sidebar"><header><h1>Site</h1><p>Welcome to the site of the best people
 in the whole of the world.</p></header><div class="cookie-notice">We use cookies &amp; more</div><main><div class="breadcrumbs"><a href=/>Home</a></div>
 <article class="post"><header class="article-header"><h1>Real Title</h1><p class=byline>By Bob</p></header><p>First para with <a href="x">a link</a>
