@@ -55,6 +55,24 @@ def test_bytes_equal_brute_force(frame, monkeypatch, wide):
     assert sum(w[2] for w in want) > 500
 
 
+def test_rows_of_no_id_or_of_one_id_lie_apart(frame, monkeypatch):
+    monkeypatch.setattr(sharing, "CHUNK_BYTES", 1000)
+    rows = [(None if i < 200 else 7 if i < 400 else i, " ".join(f"w{i % 190}x{j}" for j in range(15))) for i in range(600)]
+    chunks = sharing.Chunks(frame(rows))
+    size = "chunk long, doc_id long, n long"
+
+    def count(table, notes):
+        n = table.num_rows
+        return table.select(["chunk", "doc_id"]).append_column("n", [[n] * n])
+
+    dealt = chunks.apply(chunks.no_notes(), count, size).collect()
+    assert len(dealt) == 400 and max(r.n for r in dealt) < 40
+    got = recompression.remove_repeats(frame(rows)).select("doc_id", "n_words", "n_removed").collect()
+    units = [(d, brute.words(x)) for d, x in rows]
+    want = [(d, len(w), sum(gone)) for (d, w), gone in zip(units, brute.repeats(units, 13), strict=True)]
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key) and sum(w[2] for w in want) > 100
+
+
 def test_empty_table(frame):
     none = frame([(1, "x")]).where("doc_id < 0")
     assert recompression.remove_repeats(none).collect() == []

@@ -282,7 +282,7 @@ class _Firsts:
     """The rows of ``_firsts_of`` by chunk, with the same steps as ``Chunks``."""
 
     def __init__(self, frame: DataFrame, chunks: Chunks):
-        self.documents = frame.withColumn("chunk", F.pmod(F.coalesce(F.xxhash64("doc_id"), F.lit(0)), F.lit(chunks.n_chunks)))
+        self.documents = frame.withColumn("chunk", sharing.chunk_of(F.col("name"), chunks.n_chunks))
         self.bits, self.spark = chunks.bits, chunks.spark
 
     apply, shared, _sent = Chunks.apply, Chunks.shared, Chunks._sent
@@ -417,11 +417,11 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(same, pa.bool_()))
 
 
-def _noted(rows: DataFrame, values: list[str], n_chunks: int) -> DataFrame:
-    """Longs as one note of each chunk; rows: doc_id and the values."""
+def _noted(rows: DataFrame, values: list[str]) -> DataFrame:
+    """Longs as one note of each chunk; rows: chunk and the values."""
     body = F.concat(*[F.lpad(F.hex(v), 16, "0") for v in values])
     return (
-        rows.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(n_chunks)).alias("chunk"))
+        rows.groupBy("chunk")
         .agg(F.unhex(F.array_join(F.collect_list(body), "")).alias("body"))
         .select("chunk", F.lit(OTHER).alias("kind"), F.lit(0).alias("bucket"), "body")
     )
@@ -454,7 +454,9 @@ def classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         met = met.select("block", F.floor(F.col("chunk") / MEET_CHUNKS).cast("long").alias("chunk"), "a", "b", "grams")
         met = met.groupBy("block", "chunk").applyInArrow(_meet, _MET_SQL)
     links = cut(met.where("grams is null").select("a", "b"))
-    known = copies.unionByName(_noted(components(links).select(F.col("node").alias("doc_id"), "component"), ["doc_id", "component"], chunks.n_chunks))
+    places = firsts.documents.where("doc_id is not null").select("doc_id", "chunk").distinct()  # an id may be in several chunks
+    placed = components(links).select(F.col("node").alias("doc_id"), "component").join(places, "doc_id")
+    known = copies.unionByName(_noted(placed, ["doc_id", "component"]))
     known = known.unionByName(firsts.shared(known, _class_keys))
     rows = firsts.apply(known, _crossing_rows(bits), _ROWS_SQL)
     pairs = cut(rows.groupBy("bucket").applyInArrow(_pairs, "a long, b long").distinct())

@@ -197,4 +197,4 @@ def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
             "kept_text": pa.array(texts, pa.binary()).cast(pa.string()), "rest": table.column("rest"),
         })
 
-    return chunks.apply(notes, finish, f"doc_id long, n_words long, n_removed long, kept_text string, rest {chunks.rest_type}")
+    return chunks.apply_to_all(notes, finish, f"doc_id long, n_words long, n_removed long, kept_text string, rest {chunks.rest_type}")

@@ -1,6 +1,6 @@
 """Which keys do documents share? Documents in chunks, keys as packed arrays, answers sent back to the chunks.
 
-A chunk is the documents whose ids hash alike, a few MB of text; it is dealt out by one shuffle, which every later step
+A chunk is the documents whose ids and texts hash alike, a few MB of text; it is dealt out by one shuffle, which every later step
 reads again. Each step sends the keys of a chunk, each once, as one sorted array per bucket of keys; what a bucket finds goes back as one
 array per chunk in the same order. So a key that a third of all documents hold is one entry per chunk,
 and no step holds more than a chunk or a bucket. Answers are notes: rows of (chunk, kind, bucket, body).
@@ -28,6 +28,11 @@ COPY, SHARED, FIRST, OTHER, WIDE = range(5)
 Keys = Callable[[pa.Table, "Notes"], tuple[np.ndarray, np.ndarray]]
 
 
+def chunk_of(name: Column, n_chunks: int) -> Column:
+    """The chunk of a row by its doc_id and the name of its text, so that rows of one repeated id lie apart."""
+    return F.pmod(F.xxhash64(F.col("doc_id"), name), F.lit(n_chunks))
+
+
 class Notes:
     """The notes of one chunk."""
 
@@ -53,13 +58,12 @@ class Chunks:
         self.n_chunks = max(1, math.ceil(self.size / CHUNK_BYTES))
         self.bits = max(3, math.ceil(math.log2(max(1, self.size / BUCKET_BYTES))))
         self.spark = documents.sparkSession
-        key = F.coalesce(F.xxhash64(F.col(doc_id)), F.lit(0))
-        self.documents = documents.select(
-            F.pmod(key, F.lit(self.n_chunks)).alias("chunk"),
+        own = documents.select(
             F.col(doc_id).cast("long").alias("doc_id"),
             F.col(text).alias("text"),
             F.struct(*[F.col(c) for c in rest or [doc_id]]).alias("rest"),
         )
+        self.documents = own.select(chunk_of(F.xxhash64("text"), self.n_chunks).alias("chunk"), "*")
         self.rest_type = self.documents.schema["rest"].dataType.simpleString()
 
     def no_notes(self) -> DataFrame:
@@ -81,12 +85,22 @@ class Chunks:
         return notes, copies.select("doc_id", "first")
 
     def apply(self, notes: DataFrame, work: Callable[[pa.Table, Notes], pa.Table], schema: str) -> DataFrame:
-        """Each chunk with its notes."""
+        """Each chunk with its notes, without the rows that have no doc_id."""
 
         def run(documents: pa.Table, found: pa.Table) -> pa.Table:
             return work(documents, Notes(found))
 
-        return self.documents.groupBy("chunk").cogroup(notes.toDF("chunk", "kind", "bucket", "body").groupBy("chunk")).applyInArrow(run, schema)
+        dealt = self.documents.where("doc_id is not null").groupBy("chunk")
+        return dealt.cogroup(notes.toDF("chunk", "kind", "bucket", "body").groupBy("chunk")).applyInArrow(run, schema)
+
+    def apply_to_all(self, notes: DataFrame, work: Callable[[pa.Table, Notes], pa.Table], schema: str) -> DataFrame:
+        """Each chunk with its notes, and the rows without doc_id where they are, without notes."""
+
+        def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield from work(pa.Table.from_batches([batch]), Notes(_NOTES.empty_table())).combine_chunks().to_batches()
+
+        return self.apply(notes, work, schema).unionByName(self.documents.where("doc_id is null").mapInArrow(alone, schema))
 
     def shared(self, notes: DataFrame, keys_of: Keys, wide: int = 1 << 62) -> DataFrame:
         """Notes that tell each chunk which of its keys documents with different ids hold, and which of those more than ``wide`` chunks hold."""

@@ -343,6 +343,6 @@ def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
             "spans": pa.array(spans, pa.list_(pa.int64())), "rest": table.column("rest"),
         })
 
-    return chunks.apply(
+    return chunks.apply_to_all(
         notes, finish, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<long>, rest {chunks.rest_type}"
     )
