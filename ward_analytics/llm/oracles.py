@@ -83,6 +83,63 @@ SELECT words.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base
 FROM words LEFT JOIN base USING (doc_id) LEFT JOIN base_labels USING (doc_id) LEFT JOIN labels USING (doc_id)
 LEFT JOIN (SELECT doc_id, max(share) AS share FROM met GROUP BY 1) USING (doc_id)"""
 
+#: CRC-32 of an ASCII text: its bytes one after another, each followed by eight steps of one bit.
+CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({text}, ''),
+  lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) WHEN crc % 2 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END))"""
+
+
+def _leaf(text: str) -> str:
+    fields = "".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-') || " for c in ("doc_id", "source", "lang", "n_chars", text))
+    return f"sha256({fields}'')"
+
+
+MERKLE = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, source, {_leaf("text")} AS leaf,
+    CASE WHEN {CRC32.format(text="CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf("text")} END AS changed,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place
+  FROM documents),
+nodes AS (
+  SELECT source, 0 AS level, place, leaf AS digest, count(*) OVER (PARTITION BY source) AS n FROM leaves
+  UNION ALL
+  SELECT source, level + 1, place // 3, sha256(string_agg(digest, '' ORDER BY place)), (any_value(n) + 2) // 3
+  FROM nodes WHERE n > 1 GROUP BY source, level, place // 3),
+subroots AS (
+  SELECT source, level AS height, digest, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place FROM nodes WHERE n = 1),
+top AS (
+  SELECT 0 AS level, place, digest, count(*) OVER () AS n FROM subroots
+  UNION ALL
+  SELECT level + 1, place // 3, sha256(string_agg(digest, '' ORDER BY place)), (any_value(n) + 2) // 3
+  FROM top WHERE n > 1 GROUP BY level, place // 3),
+runs AS (
+  SELECT a.source, a.level, a.place, coalesce(string_agg(b.digest, '' ORDER BY b.place) FILTER (b.place < a.place), '') AS l,
+    coalesce(string_agg(b.digest, '' ORDER BY b.place) FILTER (b.place > a.place), '') AS r
+  FROM nodes a JOIN nodes b ON a.source IS NOT DISTINCT FROM b.source AND a.level = b.level AND a.place // 3 = b.place // 3
+  WHERE a.n > 1 GROUP BY 1, 2, 3),
+top_runs AS (
+  SELECT a.level, a.place, coalesce(string_agg(b.digest, '' ORDER BY b.place) FILTER (b.place < a.place), '') AS l,
+    coalesce(string_agg(b.digest, '' ORDER BY b.place) FILTER (b.place > a.place), '') AS r
+  FROM top a JOIN top b ON a.level = b.level AND a.place // 3 = b.place // 3 WHERE a.n > 1 GROUP BY 1, 2),
+powers AS (SELECT range AS level, pow(3, range)::BIGINT AS width FROM range(25)),
+steps AS (
+  SELECT doc_id, runs.level, l, r FROM leaves JOIN powers ON true
+    JOIN runs ON runs.source IS NOT DISTINCT FROM leaves.source AND runs.level = powers.level AND runs.place = leaves.place // width
+  UNION ALL
+  SELECT doc_id, height + top_runs.level, l, r FROM leaves JOIN subroots ON subroots.source IS NOT DISTINCT FROM leaves.source
+    JOIN powers ON true JOIN top_runs ON top_runs.level = powers.level AND top_runs.place = subroots.place // width),
+folded AS (
+  SELECT doc_id, 0 AS level, changed AS digest FROM leaves
+  UNION ALL
+  SELECT f.doc_id, f.level + 1, sha256(l || digest || r) FROM folded f JOIN steps USING (doc_id, level)),
+last AS (SELECT doc_id, arg_max(digest, level) AS folded_root FROM folded GROUP BY 1),
+proofs AS (SELECT doc_id, string_agg(l || r, '' ORDER BY level) AS siblings FROM steps GROUP BY 1)
+SELECT doc_id, leaf, subroots.digest AS subroot, top.digest AS root, sha256(coalesce(siblings, '')) AS proof_sha256, folded_root,
+  folded_root = top.digest AS verified
+FROM leaves JOIN subroots ON subroots.source IS NOT DISTINCT FROM leaves.source JOIN top ON top.n = 1
+  JOIN last USING (doc_id) LEFT JOIN proofs USING (doc_id)"""
+
 SQL = {
+    "op13_merkle_manifest": MERKLE,
     "op2_ngram_join": NGRAM_JOIN, "op3_suffix_dedup": SUFFIX_DEDUP, "op4_licenses": LICENSES, "op8_substring_dedup": SUBSTRING_DEDUP,
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ward_analytics.llm import decontaminate, html_text, langid, licenses, ngram_join, oracles, packing, quality, recompression, suffix_dedup, toxicity
+from ward_analytics.llm import decontaminate, html_text, langid, licenses, merkle, ngram_join, oracles, packing, quality, recompression, suffix_dedup, toxicity
 from ward_analytics.llm.tables import held_out, load, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,3 +80,19 @@ def op5_quality(spark: SparkSession, d: str) -> DataFrame:
 @query
 def op4_licenses(spark: SparkSession, d: str) -> DataFrame:
     return licenses.scan(load(spark, d, "documents"))
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """Every row's proof. Every second row is tampered with (line feeds deleted): its own leaf changes, the siblings are the original ones."""
+    documents = load(spark, d, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    changed = F.when(tampered & F.col("text").contains("\n"), merkle.leaf(text=F.replace("text", F.lit("\n"), F.lit(""))))
+    manifest = merkle.build(documents, {"changed": changed})
+    folded = merkle.fold(F.coalesce("changed", "digest"))
+    root = F.lit(manifest.root).cast("string")
+    proofs = merkle.prove(manifest).select(
+        "doc_id", F.col("digest").alias("leaf"), "subroot", root.alias("root"), merkle.siblings_digest().alias("proof_sha256"),
+        folded.alias("folded_root"),
+    )
+    return proofs.withColumn("verified", F.col("folded_root") == F.col("root"))
