@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ward_analytics.llm import decontaminate, html_text, langid, licenses, merkle, ngram_join, oracles, packing, quality, recompression, suffix_dedup, toxicity
+from ward_analytics.llm import conversations, decontaminate, html_text, langid, licenses, merkle, ngram_join, oracles, packing, quality, recompression, sharding, suffix_dedup, toxicity
 from ward_analytics.llm.tables import held_out, load, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,3 +96,14 @@ def op13_merkle_manifest(spark: SparkSession, d: str) -> DataFrame:
         folded.alias("folded_root"),
     )
     return proofs.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query
+def op12_sharding(spark: SparkSession, d: str) -> DataFrame:
+    return sharding.shard(load(spark, d, "documents"))
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, d: str) -> DataFrame:
+    rows = load(spark, d, "conversations")
+    return conversations.repair(conversations.damage(rows), known=rows)
