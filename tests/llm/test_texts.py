@@ -53,26 +53,54 @@ def segmentations(word, pieces):
                 yield (word[:n], *rest)
 
 
+def lattice(*words, opens=True):
+    data = np.frombuffer(b"".join(words), np.uint8)
+    ends = np.cumsum([len(w) for w in words])
+    return langid.Lattice(data, ends - [len(w) for w in words], ends, np.full(len(words), opens), PIECES)
+
+
 def test_likelihood_sums_all_segmentations():
-    names, order, n = langid.vocabulary(PIECES)
-    chance = np.random.RandomState(0).dirichlet(np.ones(n) * 0.1, 2).T + 1e-6
-    for text in ("house", "été", "q"):
-        data = np.frombuffer(text.encode(), np.uint8)
-        place = np.array([0]), np.array([len(data)])
-        lattice = langid.Lattice(data, *place, PIECES)
-        byte_strings = [text.encode()[i:j] for i in range(len(data)) for j in range(i + 1, len(data) + 1)]
-        known = {}
-        for s in {*byte_strings, *(b" " + s for s in byte_strings), b" "}:
-            name = langid._string_names([s])[0]
-            at = int(np.searchsorted(names, name))
-            if at < n and names[at] == name:
-                known[s] = int(order[at])
-        total = sum(np.prod([chance[known[p]] for p in way], axis=0) for way in segmentations(b" " + text.encode(), known))
-        assert np.allclose(np.exp(lattice.log_likelihood(chance)[0]), total)
-        expected = lattice.expected(chance, np.array([1]), np.array([2.0]))
-        weights = [np.prod([chance[known[p], 1] for p in way]) for way in segmentations(b" " + text.encode(), known)]
-        pieces = [len(way) for way in segmentations(b" " + text.encode(), known)]
-        assert math.isclose(expected.sum(), 2 * np.dot(weights, pieces) / sum(weights))
+    pieces = {p: i for i, p in enumerate(langid.vocabulary(PIECES))}
+    chance = np.random.RandomState(0).dirichlet(np.ones(len(pieces)) * 0.1, 5).T + 1e-6
+    lifted = langid.lifted(chance, PIECES)
+    for opens, text in itertools.product((True, False), ("house", "été", "q", "schaftlich")):
+        word = (b" " if opens else b"") + text.encode()
+        ways = [[pieces[p] for p in way] for way in segmentations(word, pieces)]
+        found = lattice(text.encode(), opens=opens)
+        assert np.allclose(np.exp(found.log_likelihood(lifted)[0]), sum(np.prod(chance[way], axis=0) for way in ways))
+        _, times, likelihood = found.expected(lifted, np.array([1]), np.array([2.0]))
+        weights = [np.prod(chance[way, 1]) for way in ways]
+        assert math.isclose(times.sum(), 2 * np.dot(weights, [len(way) for way in ways]) / sum(weights))
+        assert math.isclose(likelihood, 2 * math.log(sum(weights)))
+
+
+def test_every_piece_of_the_vocabulary_is_found():
+    pieces = langid.vocabulary(PIECES)
+    for opens in (True, False):
+        mine = [(i, p[1:] if opens else p) for i, p in enumerate(pieces) if p.startswith(b" ") == opens and len(p) > opens]
+        found = lattice(*(p for _, p in mine), opens=opens)
+        whole = {}
+        for end, words, which in found.edges[0]:
+            whole.update({int(w): int(k) for w, k in zip(words, which, strict=True) if found.size[w] == end})
+        assert [whole[k] for k in np.argsort(found.order)] == [i for i, _ in mine]
+
+
+def test_long_runs_are_cut_between_characters():
+    text = "é" * 40 + " " + "日本語" * 30 + " " + "x" * 130 + " ab"
+    (_, _, part, starts, ends, _, opens) = next(langid.letter_words(pa.array([text])))
+    parts = [part[a:b].tobytes().decode() for a, b in zip(starts, ends, strict=True)]
+    assert max(len(p.encode()) for p in parts) <= langid.WORD_BYTES and "".join(parts) == text.replace(" ", "")
+    assert [i for i, o in enumerate(opens) if o] == [0, 2, parts.index("x" * 45), len(parts) - 1]
+    assert np.isfinite(lattice(b"\xff" * 48).log_likelihood(langid.lifted(np.full((len(langid.vocabulary(PIECES)), 2), 1e-8), PIECES))).all()
+
+
+def test_learning_settles_and_counts_all_words(workers):
+    words = langid.count_words(labelled(workers).where("lang is not null and text is not null"), ["de", "en", "fr"])
+    times = {(r.word, r.language): r.times for r in words.collect()}
+    whole = sum(len(x.split()) for r in labelled(workers).where("lang is not null").collect() for x in [r.text or ""])
+    assert sum(times.values()) == whole
+    once, often = (langid.learn(labelled(workers), PIECES, rounds)[1] for rounds in (1, langid.ROUNDS))
+    assert np.abs(once - often).max() > 0 and np.allclose(often.sum(axis=0), 1)
 
 
 def toxic_rows(spark, n=300):

@@ -3,7 +3,8 @@
 Each language is a probability for each piece of a fixed public vocabulary. A word's likelihood is the
 sum over all its segmentations into pieces, found by a forward pass; a text's is the product over its words. The
 probabilities are learned by expectation maximisation: a forward and a backward pass give the expected
-number of each piece, over all labelled texts. Passes run over the different words of a slice at once.
+number of each piece. One pass over the texts counts the words of each language; the rounds run over the different words, until
+the likelihood settles. Passes take a block of words of like length at once, so their memory depends on no text.
 """
 
 from __future__ import annotations
@@ -19,18 +20,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ward_analytics.llm import arrays
+from ward_analytics.llm.tables import cut
 
-#: Longest piece taken from the vocabulary, in bytes, the mark of a word's start not counted.
-LONGEST = 12
-ROUNDS = 1
+#: The likelihood has settled when a round raises it by less than this, in nats a byte; no more rounds than these are run.
+SETTLED, ROUNDS = 2e-3, 12
 #: Texts whose words are looked at together: the more, the fewer words are seen twice.
 SLICE_BYTES = 8 << 20
-#: Longer runs of letters are read as several words of this many bytes, each with all its segmentations.
+#: Longer runs of letters are read as several words of at most this many bytes, cut between characters, each with all its segmentations.
 WORD_BYTES = 48
+#: Words, and languages, whose segmentations are summed at once.
+WORDS, LANGUAGES = 16384, 4
 #: Share of each language's probability that all pieces have in common.
 SMOOTH = 1e-3
 #: Nats a letter byte costs outside of all languages: as if each of 30 were equally likely.
 BACKGROUND = float(np.log(30))
+#: Chances are kept times e to this power for each byte, so that a word of many rare pieces stays above the smallest double.
+LIFT = 5.0
 
 _LETTER = np.zeros(256, bool)
 _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
@@ -38,12 +43,9 @@ _LETTER[0x80:] = True
 
 
 @lru_cache(maxsize=2)
-def vocabulary(path: str) -> tuple[np.ndarray, np.ndarray, int]:
-    """Names of the pieces in order, the piece of each name, and the number of pieces.
-
-    Pieces are byte strings; one that opens a word begins with a blank. Single bytes are pieces, too, so
-    every word has a segmentation.
-    """
+def vocabulary(path: str) -> list[bytes]:
+    """The pieces in order, as byte strings; one that opens a word begins with a blank. Single bytes are pieces, too, so every word has a
+    segmentation."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -51,189 +53,240 @@ def vocabulary(path: str) -> tuple[np.ndarray, np.ndarray, int]:
     for i in range(model.get_piece_size()):
         if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)):
             piece = model.id_to_piece(i).replace("▁", " ").lower().encode()
-            if 0 < len(piece.lstrip(b" ")) <= LONGEST and b" " not in piece[1:] and piece != b" ":
+            if piece.lstrip(b" ") and b" " not in piece[1:]:
                 found.add(piece)
-    pieces = sorted(found)
-    name = _string_names(pieces)
-    order = np.argsort(name)
-    return name[order], order, len(pieces)
-
-
-def _string_names(strings: list[bytes]) -> np.ndarray:
-    data = np.frombuffer(b"".join(strings), np.uint8)
-    ends = np.cumsum([len(s) for s in strings])
-    return _names(_prefix(data), ends - [len(s) for s in strings], ends)
-
-
-_BYTE_VALUE = arrays._BYTE_VALUE
-_FACTOR = arrays.powers(64, 0xD6E8FEB86659FD93)
-
-
-def _prefix(data: np.ndarray) -> np.ndarray:
-    return _BYTE_VALUE[data]
+    return sorted(found)
+
+
+class Trie:
+    """The prefixes of all pieces as states. Steps are looked up by the exact pair of state and byte, in small open tables: what finds its slot
+    taken in one goes to the next."""
+
+    def __init__(self, pieces: list[bytes]):
+        prefixes = sorted({p[:i] for p in pieces for i in range(1, len(p) + 1)})
+        state = {p: i for i, p in enumerate(prefixes)}
+        self.root = np.array([state[bytes([b])] for b in range(256)], np.int32)
+        self.piece = np.full(len(prefixes), -1, np.int32)
+        self.piece[[state[p] for p in pieces]] = np.arange(len(pieces))
+        self.size = np.array([len(p) for p in pieces])
+        steps = np.array([(state[p[:-1]] << 8 | p[-1], state[p]) for p in prefixes if len(p) > 1], np.int64).reshape(-1, 2)
+        self.bits = max(8, int(4 * len(steps)).bit_length())
+        self.tables: list[tuple[int, np.ndarray, np.ndarray]] = []
+        while len(steps):
+            factor = int(arrays.mix(np.array([len(self.tables) + 1], np.uint64))[0]) | 1
+            slot = self._slot(steps[:, 0], factor)
+            _, taken = np.unique(slot, return_index=True)
+            known, to = np.full(2**self.bits, -1, np.int64), np.full(2**self.bits, -1, np.int32)
+            known[slot[taken]], to[slot[taken]] = steps[taken, 0], steps[taken, 1]
+            self.tables.append((factor, known, to))
+            steps = np.delete(steps, taken, axis=0)
+
+    def _slot(self, key: np.ndarray, factor: int) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(factor)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def step(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The next state of each, -1 where no piece goes on."""
+        key = state.astype(np.int64) << 8 | byte
+        out = np.full(len(key), -1, np.int32)
+        for factor, known, to in self.tables:
+            slot = self._slot(key, factor)
+            out = np.where(known[slot] == key, to[slot], out)
+        return out
 
 
-def _names(value: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(starts), np.uint64)
-    for i in range(int((ends - starts).max(initial=0))):
-        there = np.flatnonzero(starts + i < ends)
-        out[there] += value[starts[there] + i] * _FACTOR[i]
-    return arrays.mix(out)
+@lru_cache(maxsize=2)
+def trie(path: str) -> Trie:
+    return Trie(vocabulary(path))
 
 
 class Lattice:
-    """All segmentations of a batch of words, one column for each position; words are in order of length."""
+    """All segmentations of a block of words."""
 
-    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, path: str):
-        names, pieces, self.n_pieces = vocabulary(path)
-        size = ends - starts + 1  # a blank opens each word
+    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, opens: np.ndarray, path: str):
+        """opens: whether a blank goes before, as before the first part of each word."""
+        pieces = trie(path)
+        opens = opens.astype(np.int64)
+        size = ends - starts + opens
         self.order = np.argsort(-size, kind="stable")
-        size, starts = size[self.order], starts[self.order]
-        self.size, self.n = size, len(size)
-        self.width = int(size.max(initial=0))
-        table, known = _table(path)
-        text = np.zeros((self.n, self.width + LONGEST + 1), np.uint8)
-        text[:, 0] = 0x20
-        for i in range(1, self.width):
-            m = int(np.searchsorted(-size, -i, side="left"))  # words longer than i
-            text[:m, i] = data[starts[:m] + i - 1]
-        value = _BYTE_VALUE[text]
-        #: For an end position and a length: the words, by number from the longest, and the pieces.
-        self.edges: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in range(self.width + 1)]
+        self.size, begins = size[self.order], (starts - opens)[self.order]
+        self.n, self.width = len(size), int(size.max(initial=0))
+        text = np.full((self.n, self.width), 0x20, np.uint8)
+        for i in range(self.width):
+            there = np.arange(self._longer(i))
+            if i == 0:
+                there = np.flatnonzero(opens[self.order] == 0)
+            text[there, i] = data[begins[there] + i]
+        #: From each position: the end, the words, by number from the longest, and the pieces.
+        self.edges: list[list[tuple[int, np.ndarray, np.ndarray]]] = []
         for begin in range(self.width):
-            name = np.zeros(self.n, np.uint64)
-            for length in range(1, min(LONGEST + (begin == 0), self.width - begin) + 1):
-                m = int(np.searchsorted(-size, -(begin + length), side="right"))  # words that reach as far
-                if not m:
-                    break
-                name = name[:m] + value[:m, begin + length - 1] * _FACTOR[length - 1]
-                full = arrays.mix(name)
-                slot = table[(full & np.uint64(len(table) - 1)).astype(np.int64)]
-                hit = np.flatnonzero(slot >= 0)
-                hit = hit[known[slot[hit]] == full[hit]]
+            words = np.arange(self._longer(begin))
+            state, end, found = pieces.root[text[words, begin]], begin + 1, []
+            while len(words):
+                piece = pieces.piece[state]
+                hit = np.flatnonzero(piece >= 0)
                 if len(hit):
-                    self.edges[begin + length].append((begin, hit, pieces[slot[hit]]))
-        self._names = names
+                    found.append((end, words[hit], piece[hit]))
+                more = int(np.searchsorted(words, self._longer(end)))
+                words, state = words[:more], state[:more]
+                if not len(words):
+                    break
+                state = pieces.step(state, text[words, end])
+                alive = np.flatnonzero(state >= 0)
+                words, state, end = words[alive], state[alive], end + 1
+            self.edges.append(found)
 
-    def forward(self, chance: np.ndarray) -> np.ndarray:
-        """alpha[position, word, language]."""
-        alpha = np.zeros((self.width + 1, self.n, chance.shape[1]))
-        alpha[0] = 1
-        for end in range(1, self.width + 1):
-            for begin, words, pieces in self.edges[end]:
-                alpha[end, words] += alpha[begin, words] * chance[pieces]
-        return alpha
+    def _longer(self, size: int) -> int:
+        """How many words have more bytes than this."""
+        return int(np.searchsorted(-self.size, -size, side="left"))
 
-    def total(self, alpha: np.ndarray) -> np.ndarray:
-        return alpha[self.size, np.arange(self.n)]
+    def log_likelihood(self, chance: np.ndarray) -> np.ndarray:
+        """Of each word in each language; chance as ``lifted``."""
+        out = np.empty((self.n, chance.shape[1]))
+        for k in range(0, chance.shape[1], LANGUAGES):
+            some = np.ascontiguousarray(chance[:, k : k + LANGUAGES])
+            alpha = np.zeros((self.width + 1, self.n, some.shape[1]))
+            alpha[0] = 1
+            for begin, found in enumerate(self.edges):
+                for end, words, pieces in found:
+                    alpha[end, words] += alpha[begin, words] * some[pieces]
+            total = alpha[self.size, np.arange(self.n)]
+            out[self.order, k : k + LANGUAGES] = np.log(np.maximum(total, 1e-300)) - LIFT * self.size[:, None]
+        return out
 
-    def expected(self, chance: np.ndarray, language: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Expected number of each piece in each language; of each word its language, and how often it occurs there."""
+    def expected(self, chance: np.ndarray, language: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Places (piece times languages plus language) and expected numbers of pieces, and the log-likelihood, given the language of each word and how often
+        it occurs there; chance as ``lifted``."""
         language, weight = language[self.order], weight[self.order]
         n_languages, chance = chance.shape[1], chance.ravel()
-        at = [[(begin, words, pieces.astype(np.int64) * n_languages + language[words]) for begin, words, pieces in e] for e in self.edges]
+        at = [[(end, words, pieces.astype(np.int64) * n_languages + language[words]) for end, words, pieces in found] for found in self.edges]
         alpha = np.zeros((self.width + 1, self.n))
         alpha[0] = 1
-        for end in range(1, self.width + 1):
-            for begin, words, places in at[end]:
+        for begin, found in enumerate(at):
+            for end, words, places in found:
                 alpha[end, words] += alpha[begin, words] * chance[places]
+        total = np.maximum(alpha[self.size, np.arange(self.n)], 1e-300)
         beta = np.zeros_like(alpha)
-        beta[self.size, np.arange(self.n)] = weight / alpha[self.size, np.arange(self.n)]
-        found = np.zeros(len(chance))
-        for end in range(self.width, 0, -1):
-            for begin, words, places in at[end]:
+        beta[self.size, np.arange(self.n)] = weight / total
+        all_places, times = [np.empty(0, np.int64)], [np.empty(0)]
+        for begin in range(self.width - 1, -1, -1):
+            for end, words, places in at[begin]:
                 after = beta[end, words] * chance[places]
                 beta[begin, words] += after
-                np.add.at(found, places, alpha[begin, words] * after)
-        return found.reshape(-1, n_languages)
+                all_places.append(places)
+                times.append(alpha[begin, words] * after)
+        return np.concatenate(all_places), np.concatenate(times), float((weight * (np.log(total) - LIFT * self.size)).sum())
 
-    def log_likelihood(self, chance: np.ndarray) -> np.ndarray:
-        out = np.empty((self.n, chance.shape[1]))
-        out[self.order] = np.log(np.maximum(self.total(self.forward(chance)), 1e-300))
-        return out
 
+def lifted(chance: np.ndarray, path: str) -> np.ndarray:
+    return chance * np.exp(LIFT * trie(path).size)[:, None]
 
-@lru_cache(maxsize=2)
-def _table(path: str) -> tuple[np.ndarray, np.ndarray]:
-    """An open table from the low bits of a name to its place among the sorted names, grown until no two names share a slot."""
-    names = vocabulary(path)[0]
-    bits = 20
-    while True:
-        slot = (names & np.uint64(2**bits - 1)).astype(np.int64)
-        if len(np.unique(slot)) == len(names) or bits == 24:
-            break
-        bits += 1
-    table = np.full(2**bits, -1, np.int32)
-    table[slot] = np.arange(len(names))
-    return table, names
+
+def _blocks(size: np.ndarray) -> Iterator[np.ndarray]:
+    """Words by length, WORDS at a time."""
+    order = np.argsort(size, kind="stable")
+    for i in range(0, len(order), WORDS):
+        yield order[i : i + WORDS]
 
 
-def letter_words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each slice of texts: its rows, the lower-case bytes, starts, ends and text of its words of letters."""
+def letter_words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each slice of texts: its rows, the lower-case bytes, starts, ends and text of its words of letters, and whether each opens a run of letters."""
     data, offsets = arrays.text_bytes(pc.utf8_lower(column.cast(pa.large_string())))
     for a, b in arrays.slices(offsets, SLICE_BYTES):
         part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         starts, ends, first = arrays.spans(part, at, _LETTER)
-        of = arrays.owner(first)
-        if len(starts) and int((ends - starts).max()) >= WORD_BYTES:
-            cuts = -(-(ends - starts) // (WORD_BYTES - 1))
+        of, opens = arrays.owner(first), np.ones(len(starts), bool)
+        if len(starts) and int((ends - starts).max()) > WORD_BYTES:
+            step = WORD_BYTES - 3
+            cuts = -(-(ends - starts) // step)
             number = np.arange(int(cuts.sum())) - np.repeat(np.cumsum(cuts) - cuts, cuts)
-            starts, of, ends = np.repeat(starts, cuts) + number * (WORD_BYTES - 1), np.repeat(of, cuts), np.repeat(ends, cuts)
-            ends = np.minimum(ends, starts + WORD_BYTES - 1)
-        yield a, b, part, starts, ends, of
+            last, runs_end = number == np.repeat(cuts, cuts) - 1, np.repeat(ends, cuts)
+            starts = np.repeat(starts, cuts) + number * step
+            for _ in range(3):  # back to the start of a character, which is at most three bytes away
+                starts -= (number > 0) & (part[starts] & 0xC0 == 0x80)
+            ends = np.where(last, runs_end, np.append(starts[1:], 0))
+            of, opens = np.repeat(of, cuts), number == 0
+        yield a, b, part, starts, ends, of, opens
 
 
-def _distinct(part: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
+def _distinct(part: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each word its number among the different ones (of its kind), and where each of those occurs first."""
-    number, _ = pd.factorize(arrays.names(part, starts, ends) + np.uint64(1) * np.asarray(kind).astype(np.uint64))
+    number, _ = pd.factorize(arrays.names(part, starts, ends) + kind.astype(np.uint64))
     first = np.empty(int(number.max(initial=-1)) + 1, np.int64)
     first[number[::-1]] = np.arange(len(number))[::-1]
     return number, first
 
 
+def count_words(labelled: DataFrame, languages: list[str]) -> DataFrame:
+    """word, opens, language (its place in ``languages``) and times, over all rows of (text, lang)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang = np.searchsorted(languages, batch.column("lang").to_pylist())
+            for a, _, part, starts, ends, of, opens in letter_words(batch.column("text")):
+                if not len(starts):
+                    continue
+                number, first = _distinct(part, starts, ends, 2 * lang[a + of] + opens)
+                times = np.bincount(number)
+                for i in range(0, len(first), 4 * WORDS):
+                    some = first[i : i + 4 * WORDS]
+                    text = [part[x:y].tobytes() for x, y in zip(starts[some], ends[some], strict=True)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(text, pa.binary()).cast(pa.string()), pa.array(opens[some]), pa.array(lang[a + of[some]], pa.int32()), pa.array(times[i : i + 4 * WORDS], pa.int64())],
+                        ["word", "opens", "language", "times"],
+                    )
+
+    found = labelled.mapInArrow(count, "word string, opens boolean, language int, times long")
+    return found.groupBy("word", "opens", "language").agg(F.sum("times").alias("times"))
+
+
 def learn(labelled: DataFrame, path: str, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
     """Languages and the chance of each piece in each, from all rows of (text, lang) with both.
 
-    What reaches the driver is a number for each language and piece of the fixed vocabulary.
+    What reaches the driver is a number for each language and piece of the fixed vocabulary, and the names of the languages.
     """
     labelled = labelled.select("text", "lang").where("text is not null and lang is not null")
     languages = sorted(r[0] for r in labelled.select("lang").distinct().collect())
-    n_pieces = vocabulary(path)[2]
+    n_pieces = len(vocabulary(path))
     chance = np.full((n_pieces, max(len(languages), 1)), 1.0 / n_pieces)
     if not languages:
         return languages, chance
-    spark = labelled.sparkSession
+    words = cut(count_words(labelled, languages))
+    spark, before = labelled.sparkSession, None
     for _ in range(rounds):
-        sent = spark.sparkContext.broadcast(chance)
+        sent = spark.sparkContext.broadcast(lifted(chance, path))
 
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found = np.zeros_like(sent.value)
+        def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found, gain, size = np.zeros(sent.value.size), 0.0, 0
             for batch in batches:
-                lang = np.searchsorted(languages, batch.column("lang").to_pylist())
-                for a, _, part, starts, ends, of in letter_words(batch.column("text")):
-                    if not len(starts):
-                        continue
-                    number, first = _distinct(part, starts, ends, lang[a + of])
-                    weight = np.bincount(number).astype(float)
-                    found += Lattice(part, starts[first], ends[first], path).expected(sent.value, lang[a + of[first]], weight)
-            piece, language = np.nonzero(found)
+                data, offsets = arrays.text_bytes(batch.column("word"))
+                opens = batch.column("opens").to_numpy(zero_copy_only=False)
+                language, times = arrays.ints(batch.column("language")), arrays.ints(batch.column("times")).astype(float)
+                size += int((np.diff(offsets) * times).sum())
+                for some in _blocks(np.diff(offsets)):
+                    lattice = Lattice(data, offsets[some], offsets[some + 1], opens[some], path)
+                    places, expected, likelihood = lattice.expected(sent.value, language[some], times[some])
+                    np.add.at(found, places, expected)
+                    gain += likelihood
+            there = np.flatnonzero(found)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(piece, pa.int32()), pa.array(language, pa.int32()), pa.array(found[piece, language])],
-                ["piece", "language", "times"],
+                [pa.array(np.append(there, [-1, -2]), pa.int64()), pa.array(np.append(found[there], [gain, size]))], ["place", "times"]
             )
 
-        rows = (
-            labelled.mapInArrow(count, "piece int, language int, times double")
-            .groupBy("piece", "language").agg(F.sum("times").alias("times")).toPandas()
-        )
-        times = np.zeros_like(chance)
-        times[rows["piece"], rows["language"]] = rows["times"]
+        rows = words.mapInArrow(expect, "place long, times double").groupBy("place").agg(F.sum("times").alias("times")).toPandas()
+        summed = dict(zip(rows["place"], rows["times"], strict=True))
+        likelihood = summed.pop(-1, 0.0) / max(summed.pop(-2, 0.0), 1)
+        times = np.zeros(chance.size)
+        times[list(summed)] = list(summed.values())
+        times = times.reshape(chance.shape)
         chance = times / np.maximum(times.sum(axis=0), 1e-9)
         chance = (1 - SMOOTH) * chance + SMOOTH * (chance.mean(axis=1, keepdims=True) / 2 + 0.5 / n_pieces)
+        if before is not None and likelihood - before < SETTLED:
+            break
+        before = likelihood
     return languages, chance
 
 
-def identify(documents: DataFrame, languages: list[str], chance: np.ndarray, path: str, keep: list[str]) -> DataFrame:
+def identify(documents: DataFrame, languages: list[str], chance: np.ndarray, path: str, keep: list[str], text: str = "text") -> DataFrame:
     """Columns ``keep`` and, for each row, lang_pred, score (0 to 1) and nats_a_letter.
 
     The score is the chance of the best language against the others and against no language at all, where
@@ -241,25 +294,31 @@ def identify(documents: DataFrame, languages: list[str], chance: np.ndarray, pat
     every text if no language has been learned. A letter is what Unicode calls one; words are runs of ASCII letters
     and non-ASCII bytes in lower case. Ties go to the language that comes first by name. Rows are
     independent: repeated rows get equal results, extra columns don't matter, an empty table gives an empty table.
+    ``text`` names the column to read; ``a.b`` is the field b of the kept column a, which isn't sent twice.
     """
     spark = documents.sparkSession
-    sent = spark.sparkContext.broadcast(chance)
+    sent = spark.sparkContext.broadcast(lifted(chance, path))
     schema = documents.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("nats_a_letter", "double")
+    outer, _, field = text.partition(".")
+    inside = keep.index(outer) if field else -1
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column(batch.num_columns - 1)
+            texts = pc.struct_field(batch.column(inside), field) if field else batch.column(batch.num_columns - 1)
             n = batch.num_rows
             total, letters = np.zeros((n, sent.value.shape[1])), np.zeros(n)
-            for a, b, part, starts, ends, of in letter_words(text):
+            for a, b, part, starts, ends, of, opens in letter_words(texts):
                 if not len(starts) or not languages:
                     continue
-                number, first = _distinct(part, starts, ends)
-                word = Lattice(part, starts[first], ends[first], path).log_likelihood(sent.value)
+                number, first = _distinct(part, starts, ends, opens)
+                word = np.empty((len(first), total.shape[1]))
+                for some in _blocks((ends - starts)[first]):
+                    at = first[some]
+                    word[some] = Lattice(part, starts[at], ends[at], opens[at], path).log_likelihood(sent.value)
                 for k in range(total.shape[1]):
                     total[a:b, k] += np.bincount(of, word[number, k], minlength=b - a)
                 letters[a:b] += np.bincount(of, ends - starts, minlength=b - a)
-            real = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+            real = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
             real = real & bool(languages) & (letters > 0)
             best = total.argmax(axis=1)
             top = total[np.arange(n), best]
@@ -274,4 +333,5 @@ def identify(documents: DataFrame, languages: list[str], chance: np.ndarray, pat
                 schema.names,
             )
 
-    return documents.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col("text").alias("text")).mapInArrow(score, schema)
+    sent_columns = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)] + ([] if field else [F.col(text).alias("text")])
+    return documents.select(*sent_columns).mapInArrow(score, schema)
