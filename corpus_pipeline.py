@@ -24,7 +24,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     pieces = public_tokenizers.path("piece_bpe_32k.model")
     languages, chance = langid.learn(docs.where(~held_out()), pieces)
-    found = langid.identify(docs.select(F.struct(*docs.columns).alias("row"), "text"), languages, chance, pieces, ["row"])
+    found = langid.identify(docs.select(F.struct(*docs.columns).alias("row")), languages, chance, pieces, ["row"], text="row.text")
     return found.where((F.col("lang_pred") != "und") & (F.col("nats_a_letter") <= WORST_NATS)).select("row.*")
 
 
