@@ -1,6 +1,8 @@
 """License scans and quality rules against brute force, and that their plans hold no Python."""
 
 import collections
+import math
+import random
 import re
 
 import brute
@@ -67,3 +69,74 @@ def test_quality(workers):
     assert all(kept[i] for i in range(80)) and not kept[200] and not kept[202] and not kept[205]
     assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
     assert quality.judge(df.where("doc_id < 0")).collect() == []
+
+
+def measured(text):
+    words, lines = brute.words(text), [x for x in (text or "").split("\n") if brute.words(x)]
+    times = collections.Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+    covered = {j for i in range(len(words) - 7) if times[tuple(words[i : i + 8])] > 1 for j in range(i, i + 8)}
+    n = max(len(words), 1)
+    counts = {"n_symbols": (len(re.findall(r"[#*$%&|<>]", text or "")), n, 1), "n_dup_lines": (len(lines) - len(set(lines)), max(len(lines), 1), 1), "n_repeat_words": (len(covered), n, 8)}
+    return len(words), counts, sum(map(len, words)) / n
+
+
+def far_by_brute_force(rows):
+    """The measures of each row that are far from its group, from exact quartiles."""
+    every = [(lang, source, *measured(text)) for _, text, lang, source in rows]
+
+    def quartiles(some):
+        ordered = {m: sorted(r[3][m][0] / r[3][m][1] for r in some) for m in quality.COUNTED}
+        ordered |= {"n_words": sorted(r[2] for r in some), "chars_a_word": sorted(r[4] for r in some)}
+        return {m: [v[math.ceil(q * len(v)) - 1] for q in (0.25, 0.5, 0.75)] for m, v in ordered.items()}, len(some)
+
+    def mix(own, wider):
+        (mine, n), share = own, own[1] / (own[1] + quality.PRIOR)
+        return {m: [share * a + (1 - share) * b for a, b in zip(mine[m], wider[m], strict=True)] for m in mine}
+
+    whole = quartiles(every)[0]
+    out = []
+    for lang, source, n, counts, mean in every:
+        language = mix(quartiles([r for r in every if r[0] == lang]), whole)
+        q = mix(quartiles([r for r in every if r[:2] == (lang, source)]), language)
+        far = []
+        for m, (count, size, one) in counts.items():
+            _, median, high = q[m]
+            if count > size * (median + 8 * (high - median) / 0.6745) + 8 * one * math.sqrt(size * median / one + 1):
+                far.append(m)
+        low, median, high = q["chars_a_word"]
+        spread = (high - median if mean > median else median - low) / 0.6745
+        if abs(mean - median) > 8 * (spread * math.sqrt(max(q["n_words"][1] / max(n, 1), 1)) + 1 / math.sqrt(max(n, 1))):
+            far.append("chars_a_word")
+        out.append(",".join(far))
+    return out
+
+
+def adaptive_rows():
+    """Groups of plain texts, and in each rows that are far in one measure alone."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("etaoinsh") for _ in range(rng.randint(3, 8)))
+    plain = lambda n: " ".join(word() for _ in range(n))
+    rows = []
+    for lang, source, n in (("a", "x", 90), ("a", "y", 4), ("b", "x", 60), (None, "x", 30), ("b", None, 1)):
+        for _ in range(n):
+            rows.append("\n".join(plain(20) for _ in range(10)) if lang == "a" else plain(rng.randint(120, 300)))
+            rows[-1] = (rows[-1], lang, source)
+    stutter = plain(12)
+    odd = {
+        "n_symbols": plain(200) + " $$$ ### *** %%%", "n_dup_lines": "\n".join([plain(40), *["ab cd"] * 12, plain(120)]),
+        "n_repeat_words": " ".join([plain(200), *[f"{stutter} {word()}" for _ in range(6)], plain(200)]),
+        "chars_a_word": " ".join(["abcdefghijklmnop"] * 0 + [f"x{i}" * 9 for i in range(200)]), "low": " ".join(chr(97 + i % 26) for i in range(26)) + " " + " ".join(f"{i}" for i in range(10, 200)),
+    }
+    rows += [(text, lang, source) for text in odd.values() for lang, source in (("a", "x"), ("b", "x"), ("a", "y"))]
+    return [(i, *r) for i, r in enumerate(rows)]
+
+
+def test_each_measure_alone_drops_what_base_rules_keep(workers):
+    rows = adaptive_rows()
+    df = workers.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    found = {r.doc_id: r for r in quality.judge(df).collect()}
+    want = far_by_brute_force(rows)
+    assert [found[i].far for i in range(len(rows))] == want
+    alone = {found[i].far for i in range(len(rows)) if not found[i].base_failed and not found[i].kept}
+    assert {"n_symbols", "n_dup_lines", "n_repeat_words", "chars_a_word"} <= alone
+    assert all(found[i].kept for i in range(len(rows) - 15)) and not any(found[i].kept for i in range(len(rows) - 15, len(rows) - 1, 3))
