@@ -43,7 +43,14 @@ def test_entry_runs(spark):
 BANNED = ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "InPandas", "InArrow")
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"stream_scores", "score_table"}))
+#: What these return is read back from a table or a state that the query wrote; to plan them is to run them.
+WRITTEN = {
+    "stream_scores", "score_table", "stream_late", "live_newest", "accounted_scores", "late_readings", "live_assessments", "csv_replay",
+    "scores_published", "gate_refused",
+}
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - WRITTEN))
 def test_plan_has_no_cross_join_and_no_python(spark, name):
     plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     assert not [word for word in BANNED if word in plan]

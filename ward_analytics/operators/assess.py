@@ -34,7 +34,7 @@ from ward_analytics.functions.text import (
     profile_context,
     unique_ignoring_case,
 )
-from ward_analytics.operators.latest import at_end, last_hours, risk_text, with_key
+from ward_analytics.operators.latest import at_end, last_hours, with_key, with_risk
 from ward_analytics.operators.serving import to_celsius
 
 
@@ -78,14 +78,15 @@ def period_summary(history: DataFrame) -> DataFrame:
     ]
     found = with_key(rows).groupBy("patient_id").agg(
         F.count(F.lit(1)).alias("n_rows"),
+        F.min("_key").alias("first__key"),
+        F.max("_key").alias("last__key"),
         *at_end(ends, F.min_by, "first_"),
         *at_end(ends, F.max_by, "last_"),
         *spread,
     )
-    risk = lambda side: risk_text(F.col(f"{side}_risk_level"), F.col(f"{side}_news2_score"))
-    row = lambda side: F.struct(
-        *((risk(side) if c == "risk_level" else F.col(f"{side}_{c}")).alias(c) for c in ends)
-    ).alias(side)
+    for side in ("first", "last"):
+        found = with_risk(found, rows, f"{side}__key", f"{side}_risk_level")
+    row = lambda side: F.struct(*(F.col(f"{side}_{c}").alias(c) for c in ends)).alias(side)
     kept = [c for c in found.columns if not c.startswith(("first_", "last_"))]
     return found.select(*kept, row("first"), row("last"))
 
@@ -116,13 +117,20 @@ def recent_celsius(scores: DataFrame, as_of: Column | datetime | str, hours: int
 
 def trends(history: DataFrame) -> DataFrame:
     """Trend of every vital between the first and last row of each patient."""
-    summary = period_summary(history).withColumns(_trend_columns())
-    return _by_vital(summary, trend="{v}_trend")
+    return trends_of(period_summary(history))
+
+
+def trends_of(summary: DataFrame) -> DataFrame:
+    return _by_vital(summary.withColumns(_trend_columns()), trend="{v}_trend")
 
 
 def vital_coverage(history: DataFrame) -> DataFrame:
     """Number of values per patient and vital; a vital without any has the status ``No data``."""
-    long = _by_vital(period_summary(history), n_values="{v}_values")
+    return vital_coverage_of(period_summary(history))
+
+
+def vital_coverage_of(summary: DataFrame) -> DataFrame:
+    long = _by_vital(summary, n_values="{v}_values")
     return long.withColumn("status", F.when(F.col("n_values") == 0, NO_DATA_TEXT))
 
 
@@ -139,8 +147,11 @@ def _domains() -> dict[str, Column]:
 
 def axis_domain(history: DataFrame) -> DataFrame:
     """Chart range per patient and vital with data."""
-    summary = period_summary(history).withColumns(_domains())
-    long = _by_vital(summary, y_min="{v}_y_min", y_max="{v}_y_max")
+    return axis_domain_of(period_summary(history))
+
+
+def axis_domain_of(summary: DataFrame) -> DataFrame:
+    long = _by_vital(summary.withColumns(_domains()), y_min="{v}_y_min", y_max="{v}_y_max")
     return long.filter(F.col("y_min").isNotNull())
 
 
@@ -227,7 +238,11 @@ def patient_assessments(
 ) -> DataFrame:
     """One row per patient with rows in the look-back: the newest score, ``n_rows``, the period
     columns, and ``assessments``, an array with an entry for each vital of the newest row."""
-    summary = period_summary(recent_celsius(scores, as_of, hours))
+    return assess_summary(period_summary(recent_celsius(scores, as_of, hours)), patients)
+
+
+def assess_summary(summary: DataFrame, patients: DataFrame | None) -> DataFrame:
+    """The same from a period summary, wherever it comes from."""
     if patients is None:
         summary = summary.withColumn("context", F.lit(""))
     else:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ward_analytics.catalogue import NO_SCORE_TEXT
@@ -68,3 +71,38 @@ def check_summary(checked: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_checks"),
         F.count_if(F.col("verdict") == "FAIL").alias("n_failures"),
     )
+
+
+class CheckFailed(Exception):
+    """Rows that fail a check kept a table from being written; ``counts`` has the number of rows and of failures by check."""
+
+    def __init__(self, counts: Mapping[str, int]):
+        self.counts = dict(counts)
+        failed = ", ".join(f"{name}: {n}" for name, n in self.counts.items() if n and name != "n_rows")
+        super().__init__(f"of {self.counts['n_rows']} rows fail {failed}")
+
+
+def gated_write(df: DataFrame, path: str, failing: Mapping[str, Column]) -> dict[str, int]:
+    """Write a table at a new path unless a row fails a check (a condition that marks bad rows; null marks none); the counts.
+
+    Checks are observed by the write itself, so all takes one job over one pass. The rows go to a folder beside the path, which becomes the table when no
+    row failed, and is removed when one did; then CheckFailed is raised and nothing is left at the path.
+    """
+    metrics = [F.count(F.lit(1)).alias("n_rows"), *(F.count_if(condition).alias(name) for name, condition in failing.items())]
+    seen = Observation(f"gate-{uuid.uuid4().hex}")
+    spark = df.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    target, staged = hadoop(path.rstrip("/")), hadoop(f"{path.rstrip('/')}._{uuid.uuid4().hex}")
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(target):
+        raise FileExistsError(path)
+    try:
+        df.observe(seen, *metrics).write.parquet(staged.toString())
+        counts = {name: int(n or 0) for name, n in seen.get.items()}
+        if any(n for name, n in counts.items() if name != "n_rows"):
+            raise CheckFailed(counts)
+        if not files.rename(staged, target):
+            raise OSError(f"{staged} could not be moved to {path}")
+    finally:
+        files.delete(staged, True)
+    return counts

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ward_analytics.catalogue import RISK_BOUNDS, TOP_RISK
-from ward_analytics.functions.numeric import at_time, risk_level
+from ward_analytics.functions.numeric import at_time
 
 #: Newest first; a window that was written twice resolves to its higher score.
 NEWEST = ("window_start", "news2_score")
@@ -34,9 +34,22 @@ def with_key(scores: DataFrame) -> DataFrame:
     return scores.withColumns({"_key": time_key(), **coded})
 
 
-def risk_text(code: Column, score: Column) -> Column:
-    """The risk behind the number; another text than the known ones is read off the score."""
-    return F.when(code > 0, F.get(F.array(*map(F.lit, _KNOWN_RISKS)), (code - 1).cast("int"))).when(code == 0, risk_level(score))
+def unknown_risks(scores: DataFrame) -> DataFrame:
+    """Risk texts that ``with_key`` has no number for, one for each patient and key. Of scores that were just computed Catalyst finds this
+    empty while it plans; of a stored table it is one more pass over the rows whose risk is another text."""
+    other = scores.where(F.find_in_set("risk_level", F.lit(",".join(_KNOWN_RISKS))) == 0)
+    return other.select("patient_id", time_key().alias("_key"), "risk_level").groupBy("patient_id", "_key").agg(F.min("risk_level").alias("_risk"))
+
+
+def with_risk(found: DataFrame, scores: DataFrame, key: str, code: str) -> DataFrame:
+    """The risk text behind the number in column ``code``; of a text without a number the one that the scores hold at that patient and key. The rows
+    without a patient, which no score table holds, lose such a text."""
+    other = unknown_risks(scores).select(F.col("patient_id").alias("_patient"), F.col("_key").alias("_at"), "_risk")
+    same = (F.col("patient_id") == F.col("_patient")) & (F.col(key) == F.col("_at"))
+    known = F.get(F.array(*map(F.lit, _KNOWN_RISKS)), (F.col(code) - 1).cast("int"))
+    joined = found.join(other, same, "left")
+    text = F.when(F.col(code) > 0, known).when(F.col(code) == 0, F.col("_risk"))
+    return joined.withColumn(code, text).drop("_patient", "_at", "_risk")
 
 
 def at_end(columns: list[str], pick: Callable[..., Column], prefix: str = "") -> list[Column]:
@@ -53,9 +66,9 @@ def latest_scores(scores: DataFrame) -> DataFrame:
     One hash aggregation: a row per patient and task reaches the shuffle, however many rows a patient has.
     """
     rest = [c for c in scores.columns if c != "patient_id"]
-    newest = with_key(scores).groupBy("patient_id").agg(*at_end(rest, F.max_by))
+    newest = with_key(scores).groupBy("patient_id").agg(F.max("_key").alias("_newest"), *at_end(rest, F.max_by))
     if "risk_level" in rest:
-        newest = newest.withColumn("risk_level", risk_text(F.col("risk_level"), F.col("news2_score")))
+        newest = with_risk(newest, scores, "_newest", "risk_level")
     return newest.select(*scores.columns)
 
 

@@ -324,6 +324,17 @@ narrated AS (
     LEFT JOIN cause_lists USING (patient_id))"""
 
 PERIOD = (*DAILY, CATALOGUE, HISTORY)
+CUT_PERIOD = (*FIVE_MINUTES, CATALOGUE, HISTORY.replace("720 HOUR", "500 HOUR"))
+
+# The watermark after all events, and closed windows of what three runs accept.
+WATERMARK = "(SELECT max(ts) FROM events) - INTERVAL 1 MINUTE"
+ACCEPTED = (
+    LATE_READINGS, _wide("5 minutes"), _scored().replace("scores AS", "every_score AS"),
+    f"scores AS (SELECT * FROM every_score WHERE window_start + INTERVAL 5 MINUTE <= {WATERMARK})",
+)
+# Readings of the last run whose window the watermark of the two before it had closed.
+LATE_WATERMARK = """(SELECT max(ts) FROM events
+  WHERE ts < TIMESTAMP '2024-01-30' AND NOT (ts < TIMESTAMP '2024-01-16' AND event_id % 10 = 0)) - INTERVAL 1 MINUTE"""
 EXPLAINED = (*PERIOD, PATIENTS, CONTEXTS, LADDER, CAUSE_LIST, ASSESSED)
 REPORTS = (*EXPLAINED, NARRATED)
 
@@ -407,6 +418,12 @@ PROMPT = f"""SELECT patient_id, {_sql(PROMPT_ROLE)} || 'Patient background: '
   || coalesce(risk_level, 'UNKNOWN') || '. ' || {_sql(PROMPT_QUESTION)} AS prompt"""
 
 
+INSERTED = """SELECT patient_id, full_name, room_number FROM patients UNION ALL
+SELECT CAST(l_partkey AS INTEGER), 'Arrival ' || l_orderkey, NULL FROM lineitem
+WHERE l_partkey NOT IN (SELECT patient_id FROM patients)
+QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) = 1"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "window_vitals": _with(
@@ -438,6 +455,63 @@ def oracle_sql() -> dict[str, str]:
             then="SELECT * FROM scores WHERE window_start + INTERVAL 5 MINUTE "
             "<= (SELECT max(ts) FROM events) - INTERVAL 1 MINUTE",
         ),
+        "live_newest": _with(*ACCEPTED, NEWEST, then="SELECT * FROM newest"),
+        "accounted_scores": _with(*ACCEPTED, then="SELECT * FROM scores"),
+        "late_readings": _with(
+            READINGS.replace("SELECT user_id", "SELECT event_id, user_id"),
+            then="SELECT CAST(patient_id AS VARCHAR) AS patient_id, event_time, vital_sign, value, "
+            "time_bucket(INTERVAL 5 MINUTE, event_time) AS window_start, "
+            "(epoch_us(limits.w) // 1000 * 1000 - epoch_us(event_time)) / CAST(1000000 AS DOUBLE) AS late_by "
+            f"FROM readings, (SELECT {LATE_WATERMARK} AS w) limits WHERE event_time < TIMESTAMP '2024-01-16' "
+            "AND event_id % 10 = 0 AND time_bucket(INTERVAL 5 MINUTE, event_time) + INTERVAL 5 MINUTE <= limits.w",
+        ),
+        "live_assessments": _with(
+            *ACCEPTED, CATALOGUE, HISTORY.replace(f"{AS_OF} - INTERVAL 720 HOUR", f"{WATERMARK} - INTERVAL 6 HOUR"),
+            PATIENTS, CONTEXTS, LADDER, CAUSE_LIST, ASSESSED,
+            then="SELECT patient_id, vital_order, vital_sign, label, last_value AS value, score, "
+            "severity, problem, detail, trend, causes FROM explained",
+        ),
+        "csv_replay": _with(READINGS, then=RAW_READINGS),
+        "scores_published": _with(*FIVE_MINUTES, then=f"SELECT *, {AS_OF} AS created_at FROM scores"),
+        "scores_by_filter": _with(*FIVE_MINUTES, then="SELECT * FROM scores WHERE patient_id IN (1, 2, 3, 5, 8, 13)"),
+        "gated_scores": _with(*FIVE_MINUTES, then="SELECT * FROM scores"),
+        "gate_refused": _with(
+            *MILD, NEWEST, EXPECTATIONS, SCENARIOS,
+            then="SELECT count(*) AS n_checks, count(*) FILTER (WHERE verdict = 'FAIL') AS n_failures, "
+            "count(*) FILTER (WHERE verdict = 'FAIL') = 0 AS kept FROM checked",
+        ),
+        "stored_insert": _with(PATIENTS, then=INSERTED),
+        "stored_backfill": _with(
+            PATIENTS,
+            then="SELECT patient_id, coalesce(room_number, 'R-' || first_order) AS room_number "
+            "FROM patients LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS first_order FROM orders "
+            "WHERE o_custkey // 100 % 2 = 0 GROUP BY 1) ON o_custkey = patient_id",
+        ),
+        "stored_update": _with(
+            PATIENTS,
+            then="SELECT patient_id, full_name, "
+            "CASE WHEN u.o_custkey IS NULL THEN home_address ELSE 'Ward ' || u.o_orderkey END "
+            "AS home_address, CASE WHEN u.o_custkey IS NULL THEN occupation "
+            "WHEN u.o_orderstatus <> 'O' THEN u.o_orderpriority END AS occupation "
+            "FROM patients LEFT JOIN (SELECT * FROM orders WHERE o_custkey // 100 % 2 = 0 QUALIFY row_number() OVER "
+            "(PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1) u ON u.o_custkey = patient_id",
+        ),
+        "arrivals_repeated": "SELECT CAST(o_custkey AS INTEGER) AS patient_id, count(*) AS n_arrived, "
+        "bool_or(o_custkey % 3 = 0 AND o_custkey IN (SELECT c_custkey FROM customer)) AS in_table FROM orders "
+        "GROUP BY o_custkey HAVING count(*) > 1 OR bool_or(o_custkey % 3 = 0 AND o_custkey IN (SELECT c_custkey FROM customer))",
+        "partial_trend": _with(*CUT_PERIOD, then="SELECT patient_id, vital_order, vital_sign, trend FROM trended"),
+        "partial_axis_domain": _with(
+            *CUT_PERIOD, then="SELECT patient_id, vital_order, vital_sign, y_min, y_max FROM trended WHERE n_values > 0"
+        ),
+        "partial_coverage": _with(
+            *CUT_PERIOD,
+            then="SELECT patient_id, vital_order, vital_sign, n_values, CASE n_values WHEN 0 THEN 'No data' END AS status FROM trended",
+        ),
+        "bucketed_assessments": _with(
+            *EXPLAINED,
+            then="SELECT patient_id, vital_order, vital_sign, label, last_value AS value, score, "
+            "severity, problem, detail, trend, causes FROM explained",
+        ),
         "score_table": _with(
             *FIVE_MINUTES, then=f"SELECT *, {AS_OF} AS created_at FROM scores"
         ),
@@ -457,13 +531,7 @@ def oracle_sql() -> dict[str, str]:
             "room_number, CAST(NULL AS VARCHAR) AS home_address, CAST(NULL AS VARCHAR) AS "
             "occupation) FROM patients)",
         ),
-        "insert_absent": _with(
-            PATIENTS,
-            then="SELECT patient_id, full_name, room_number FROM patients UNION ALL "
-            "SELECT CAST(l_partkey AS INTEGER), 'Arrival ' || l_orderkey, NULL FROM lineitem "
-            "WHERE l_partkey NOT IN (SELECT patient_id FROM patients) "
-            "QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) = 1",
-        ),
+        "insert_absent": _with(PATIENTS, then=INSERTED),
         "backfill_null": _with(
             PATIENTS,
             then="SELECT patient_id, coalesce(room_number, 'R-' || first_order) AS room_number "

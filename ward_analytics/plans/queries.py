@@ -9,16 +9,16 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ward_analytics.operators import assess, checks, latest, narrative, scoring, serving, tables
+from ward_analytics.operators import assess, checks, latest, narrative, partials, scoring, serving, stored, tables
 from ward_analytics.functions.numeric import age_years
 from ward_analytics.functions.text import has_term, profile_context
 from ward_analytics.schemas import PATIENTS
 from ward_analytics.session import work_folder
 from ward_analytics.sources import adapter, files, messages
-from ward_analytics.streaming import score_stream
+from ward_analytics.streaming import live, published, score_stream
 
 AS_OF = "2024-01-31 00:00:00"
 LOOK_BACK = 720
@@ -171,25 +171,79 @@ def stream_scores(spark, d):
     return files.read_scores(spark, f"{folder}/scores").drop("created_at", "window_date")
 
 
-@query
-def stream_late(spark, d):
-    """The score stream in three runs over one checkpoint: the first half of ``events`` but for a tenth, the second half but for
+def _three_runs(spark: SparkSession, d: str, folder: str, run: Callable[[DataFrame], object]) -> None:
+    """``events`` as messages in three parts, each followed by a run: the first half but for a tenth, the second half but for
     its last day, and then that day with the tenth that was held back, whose windows the watermark has closed."""
-    folder = work_folder(spark, "late")
     events, held = _events(spark, d), F.col("event_id") % 10 == 0
     half, day = (F.lit(t).cast("timestamp_ntz") for t in ("2024-01-16 00:00:00", "2024-01-30 00:00:00"))
     early, late = F.col("ts") < half, F.col("ts") >= day
     for number, part in enumerate((early & ~held, ~early & ~late, early & held | late)):
         arriving = messages.encode_messages(adapter.raw_readings(events.filter(part)))
         arriving.write.parquet(f"{folder}/in/part={number}")
-        source = spark.readStream.schema("key binary, value binary").parquet(f"{folder}/in/part=*")
-        run = score_stream.start_score_sink(
-            score_stream.score_stream(source), f"{folder}/scores", f"{folder}/checkpoint", trigger={"availableNow": True}
-        )
-        run.awaitTermination()
+        run(spark.readStream.schema("key binary, value binary").parquet(f"{folder}/in/part=*")).awaitTermination()
+
+
+@query
+def stream_late(spark, d):
+    """The score stream in three runs over one checkpoint, the last with readings whose windows are closed."""
+    folder = work_folder(spark, "late")
+    _three_runs(spark, d, folder, lambda source: score_stream.start_score_sink(
+        score_stream.score_stream(source), f"{folder}/scores", f"{folder}/checkpoint", trigger={"availableNow": True}
+    ))
     return files.read_scores(spark, f"{folder}/scores").drop("created_at", "window_date")
 
 
+@query
+def live_newest(spark, d):
+    """The live table of newest scores after three runs, read from the state of the stream."""
+    folder = work_folder(spark, "newest")
+    _three_runs(spark, d, folder, lambda source: live.start_changes(
+        live.newest_changes(score_stream.score_stream(source)), f"{folder}/changes", f"{folder}/checkpoint"
+    ))
+    return live.newest_scores(spark, f"{folder}/checkpoint")
+
+
+def _accounted(spark: SparkSession, d: str) -> str:
+    folder = work_folder(spark, "accounted")
+    _three_runs(spark, d, folder, lambda source: live.start_accounted(
+        live.windows_and_late(source), f"{folder}/out", f"{folder}/checkpoint"
+    ))
+    return f"{folder}/out"
+
+
+@query
+def accounted_scores(spark, d):
+    """Scores of the windows that the accounting stream closed in three runs."""
+    return live.accounted_scores(spark, _accounted(spark, d))
+
+
+@query
+def late_readings(spark, d):
+    """The readings that came too late, with their window and by how much."""
+    return live.late_readings(spark, _accounted(spark, d))
+
+
+@query
+def live_assessments(spark, d):
+    """Assessments of the six hours before the watermark, after three runs of a stream whose look-back ages."""
+    folder = work_folder(spark, "look-back")
+    _three_runs(spark, d, folder, lambda source: live.start_changes(
+        live.look_back_changes(score_stream.score_stream(source)), f"{folder}/changes", f"{folder}/checkpoint"
+    ))
+    rows = assess.assess_summary(live.look_back_summary(spark, f"{folder}/changes"), _patients(spark, d))
+    return rows.select("patient_id", F.inline("assessments"))
+
+
+@query
+def csv_replay(spark, d):
+    """Readings written as CSV, replayed as a stream file after file."""
+    folder = work_folder(spark, "replay")
+    files.write_vitals_csv(adapter.raw_readings(_events(spark, d)).repartition(4), f"{folder}/csv")
+    run = files.replay_vitals_csv(spark, f"{folder}/csv").writeStream.format("parquet").option("path", f"{folder}/out")
+    run.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
 @query
 def score_table(spark, d):
     """The score table written whole, and read back from its date folders."""
@@ -217,6 +271,52 @@ def score_table_compacted(spark, d):
     return files.read_scores(spark, folder).drop("window_date")
 
 
+@query
+def scores_published(spark, d):
+    """The score table from three batches, of which dates are merged and published in the catalogue, some of them twice."""
+    folder = work_folder(spark, "published") + "/table"
+    name = f"published_{uuid.uuid4().hex}"
+    for number in range(3):
+        if number == 2:
+            published.publish_before(spark, name, folder, "2024-01-16")
+        part = _scores(spark, d).filter(F.col("patient_id") % 3 == number)
+        score_stream.write_scores_batch(part, number, folder, as_of=AS_OF)
+    published.publish_before(spark, name, folder, "2024-01-08")
+    published.vacuum(spark, name, folder)
+    return published.read_published(spark, name, folder).drop("window_date")
+
+
+@query
+def scores_by_filter(spark, d):
+    """A lookup of a few patients in files that go by time, where Bloom filters tell which row groups to read."""
+    folder = work_folder(spark, "filtered") + "/table"
+    score_stream.write_score_table(_scores(spark, d), folder, as_of=AS_OF, by_time=True, **score_stream.lookup_options(1000))
+    wanted = files.read_scores(spark, folder).where(F.col("patient_id").isin(1, 2, 3, 5, 8, 13))
+    return wanted.drop("created_at", "window_date")
+
+
+@query
+def gated_scores(spark, d):
+    """Scores written behind a gate that all rows pass."""
+    path = work_folder(spark, "gated") + "/scores"
+    bad = {"no_key": F.col("patient_id").isNull() | F.col("window_start").isNull(), "no_score": ~F.col("news2_score").between(0, 20)}
+    checks.gated_write(_scores(spark, d), path, bad)
+    return files.read_table(spark, path)
+
+
+@query
+def gate_refused(spark, d):
+    """What the gate counts when checks of scenarios fail, and whether it leaves a table."""
+    path = work_folder(spark, "refused") + "/checked"
+    checked = checks.scenario_check(_mild(spark, d), _expectations(spark, d))
+    try:
+        counts = checks.gated_write(checked, path, {"n_failures": F.col("verdict") == "FAIL"})
+    except checks.CheckFailed as failed:
+        counts = failed.counts
+    kept = score_stream.table_there(spark, path)
+    return spark.createDataFrame([(counts["n_rows"], counts["n_failures"], kept)], "n_checks long, n_failures long, kept boolean")
+
+
 @query
 def scores_by_key(spark, d):
     """A managed table that is created, filled and read for a few patients; the condition goes to its scan."""
@@ -276,6 +376,58 @@ def keyed_update(spark, d):
     )
 
 
+def _stored_update(spark: SparkSession, df: DataFrame, updates: DataFrame, change: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """The table by key range, with the ranges that updates touch replaced."""
+    path = work_folder(spark, "ranges") + "/table"
+    stored.write_by_range(df, path, "patient_id", 100)
+    stored.update_ranges(spark, path, updates, "patient_id", change, 100)
+    return stored.read_by_range(spark, path)
+
+
+def _orders(spark: SparkSession, d: str, *columns: Column) -> DataFrame:
+    """Updates of every patient whose number lies in an even hundred."""
+    patient = F.col("o_custkey").cast("int")
+    wanted = adapter.load(spark, d, "orders").where(F.floor(patient / 100) % 2 == 0)
+    return wanted.select(patient.alias("patient_id"), "o_orderkey", *columns)
+
+
+@query
+def stored_insert(spark, d):
+    line = adapter.load(spark, d, "lineitem")
+    name = F.concat(F.lit("Arrival "), F.col("l_orderkey").cast("string")).alias("full_name")
+    arrivals = line.select(F.col("l_partkey").cast("int").alias("patient_id"), name, "l_orderkey", "l_linenumber")
+    insert = lambda table, rows: tables.insert_absent(table, rows, "patient_id", ["l_orderkey", "l_linenumber"])
+    return _stored_update(spark, _patients(spark, d).select("patient_id", "full_name", "room_number"), arrivals, insert)
+
+
+@query
+def stored_backfill(spark, d):
+    updates = _orders(spark, d, F.concat(F.lit("R-"), F.col("o_orderkey").cast("string")).alias("room_number"))
+    fill = lambda table, rows: tables.backfill(table, rows, "patient_id", "room_number", "o_orderkey")
+    return _stored_update(spark, _patients(spark, d).select("patient_id", "room_number"), updates, fill)
+
+
+@query
+def stored_update(spark, d):
+    updates = _orders(
+        spark, d, F.concat(F.lit("Ward "), F.col("o_orderkey").cast("string")).alias("home_address"),
+        F.when(F.col("o_orderstatus") != "O", F.col("o_orderpriority")).alias("occupation"),
+    )
+    update = lambda table, rows: tables.overwrite_columns(table, rows, "patient_id", ["home_address", "occupation"], "o_orderkey")
+    return _stored_update(spark, _patients(spark, d).select("patient_id", "full_name", "home_address", "occupation"), updates, update)
+
+
+@query
+def arrivals_repeated(spark, d):
+    """Customers of orders against a stored filter of the customers of every third number: who is there already, and who comes more than once."""
+    table = _patients(spark, d).select("patient_id").where("patient_id % 3 = 0")
+    bits = stored.filter_bits(table.count())
+    path = work_folder(spark, "filter")
+    stored.key_filter(table, ["patient_id"], bits).write.parquet(path)
+    arrivals = adapter.load(spark, d, "orders").select(F.col("o_custkey").cast("int").alias("patient_id"))
+    return stored.repeated_keys(arrivals, table, spark.read.parquet(path), ["patient_id"], bits)
+
+
 @query
 def quarantine_invalid(spark, d):
     """Readings above a level come from devices without a patient number; their rows are marked."""
@@ -475,6 +627,43 @@ def vital_cards(spark, d):
     return assess.vital_cards(_assessed(spark, d))
 
 
+CUT_LOOK_BACK = 500
+
+
+def _partial_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Daily partials stored in two steps, and a look-back that begins within a day."""
+    path = work_folder(spark, "partials")
+    scores = _scores(spark, d)
+    later = F.col("patient_id") % 4 == 0
+    partials.write_partials(partials.daily_partials(scores.where(~later)), path)
+    partials.add_scores(spark, path, scores.where(later))
+    return partials.look_back(partials.read_partials(spark, path), scores, AS_OF, CUT_LOOK_BACK)
+
+
+@query
+def partial_trend(spark, d):
+    return assess.trends_of(_partial_summary(spark, d))
+
+
+@query
+def partial_axis_domain(spark, d):
+    return assess.axis_domain_of(_partial_summary(spark, d))
+
+
+@query
+def partial_coverage(spark, d):
+    return assess.vital_coverage_of(_partial_summary(spark, d))
+
+
+@query
+def bucketed_assessments(spark, d):
+    """Assessments from score and patient tables in buckets by patient: neither side moves."""
+    names = [f"{kind}_{uuid.uuid4().hex}" for kind in ("scores", "patients")]
+    for name, df in zip(names, (_daily(spark, d), _patients(spark, d)), strict=True):
+        stored.write_bucketed(df, name, "patient_id", 8)
+    return assess.assessments(spark.table(names[0]), spark.table(names[1]), AS_OF, LOOK_BACK)
+
+
 # Reports -----------------------------------------------------------------------------------------
 
 

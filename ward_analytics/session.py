@@ -15,6 +15,8 @@ BASE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    # Tables bucketed by patient join by patient and more without moving rows.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     # No call-site lookup for each column expression: it doubles the time to declare a query.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.streaming.stateStore.providerClass":

@@ -49,11 +49,20 @@ def _stored(scores: DataFrame, batch_id: int, as_of: Column | datetime | str | N
     )
 
 
-def _write(stored: DataFrame, path: str) -> None:
+def lookup_options(patients: int, row_group_bytes: int | None = None) -> dict[str, str]:
+    """Options of a Parquet write that keep a Bloom filter of the patients with each row group: a lookup by patient reads only groups that may hold them,
+    also where a group's range of ids spans all. ``patients``: different ones that a row group may hold."""
+    options = {"parquet.bloom.filter.enabled#patient_id": "true", "parquet.bloom.filter.expected.ndv#patient_id": str(patients)}
+    # A column with a dictionary gets no filter, for the dictionary serves as one.
+    options["parquet.enable.dictionary#patient_id"] = "false"
+    return options if row_group_bytes is None else {**options, "parquet.block.size": str(row_group_bytes)}
+
+
+def _write(stored: DataFrame, path: str, order: tuple[str, ...] = ("patient_id", "window_start"), **options: str) -> None:
     """One write, sorted inside files, so that a lookup by patient skips most row groups. Folders that are written anew are replaced, others stay."""
     (
-        stored.sortWithinPartitions(*LAYOUT, "patient_id", "window_start")
-        .write.option("partitionOverwriteMode", "dynamic").mode("overwrite")
+        stored.sortWithinPartitions(*LAYOUT, *order)
+        .write.options(**options).option("partitionOverwriteMode", "dynamic").mode("overwrite")
         .partitionBy(*LAYOUT).parquet(path)
     )
 
@@ -81,10 +90,17 @@ def write_scores_batch(
 
 
 def write_score_table(
-    scores: DataFrame, path: str, batch_id: int = 0, as_of: Column | datetime | str | None = None
+    scores: DataFrame,
+    path: str,
+    batch_id: int = 0,
+    as_of: Column | datetime | str | None = None,
+    by_time: bool = False,
+    **options: str,
 ) -> None:
-    """Write a whole table of scores in the layout of the sink. Tasks are dealt dates by size, a large date to several."""
-    _write(_stored(scores, batch_id, as_of).hint("rebalance", "window_date"), path)
+    """Write a whole table of scores in the layout of the sink. Tasks are dealt dates by size, a large date to several. Rows of a file go by patient, or
+    with ``by_time`` by time, for look-backs within a date; then ``lookup_options`` among the options serve lookups by patient."""
+    order = ("window_start", "patient_id") if by_time else ("patient_id", "window_start")
+    _write(_stored(scores, batch_id, as_of).hint("rebalance", "window_date"), path, order, **options)
 
 
 def start_score_sink(
@@ -127,6 +143,11 @@ def compact_scores(spark: SparkSession, path: str, before: date | str) -> list[s
     return dates
 
 
+def table_there(spark: SparkSession, path: str) -> bool:
+    """Whether anything lies at a path."""
+    return _Files(spark, path).there(".")
+
+
 class _Files:
     """Folders of a table, on whatever file system it lies."""
 
