@@ -44,7 +44,7 @@ def accepted(spark, tmp_path):
     return st.read_scores(spark, f"{tmp_path}/plain").drop("created_at", "window_date")
 
 
-@pytest.mark.parametrize("parts", [((0, 8),), ((0, 3), (3, 6), (6, 8)), tuple((i, i + 1) for i in range(8))])
+@pytest.mark.parametrize("parts", [((0, 3), (3, 6), (6, 8)), ((0, 1), (1, 8))])
 def test_the_live_table_is_the_newest_row_of_what_was_accepted(spark, tmp_path, parts):
     def start(arriving):
         return live.start_changes(live.newest_changes(st.score_stream(arriving)), f"{tmp_path}/changes", f"{tmp_path}/cp")
@@ -82,7 +82,7 @@ def test_nan_counts_as_the_highest_value():
     assert live._above(nan, 1.0) and not live._above(1.0, nan) and not live._above(nan, nan) and live._above(2.0, 1.0)
 
 
-@pytest.mark.parametrize("parts", [((0, 8),), ((0, 3), (3, 6), (6, 8))])
+@pytest.mark.parametrize("parts", [((0, 3), (3, 6), (6, 8))])
 def test_the_look_back_ages(spark, tmp_path, parts):
     def start(arriving):
         changes = live.look_back_changes(st.score_stream(arriving), hours=1)
@@ -102,8 +102,9 @@ def test_a_repeated_batch_replaces_itself(spark, tmp_path):
     late = live.windows_and_late(source(spark, tmp_path / "in"))
     live.start_accounted(late, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     before = rows(live.accounted_scores(spark, f"{tmp_path}/out"))
-    commits = sorted((tmp_path / "cp" / "commits").glob("[0-9]*"))
-    commits[-1].unlink()  # as if the job had died before it could note the batch
+    commit = sorted((tmp_path / "cp" / "commits").glob("[0-9]*"))[-1]
+    commit.unlink()  # as if the job had died before it could note the batch
+    commit.with_name(f".{commit.name}.crc").unlink()
     live.start_accounted(live.windows_and_late(source(spark, tmp_path / "in")), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     assert rows(live.accounted_scores(spark, f"{tmp_path}/out")) == before
 
