@@ -24,8 +24,8 @@ from ward_analytics.llm.tables import cut
 
 #: The likelihood has settled when a round raises it by less than this, in nats a byte; no more rounds than these are run.
 SETTLED, ROUNDS = 2e-3, 12
-#: Texts whose words are looked at together: the more, the fewer words are seen twice.
-SLICE_BYTES = 8 << 20
+#: Texts whose words are looked at together: the more, the fewer words are seen twice, and the more memory a worker takes (some 25 bytes a byte).
+SLICE_BYTES = 2 << 20
 #: Longer runs of letters are read as several words of at most this many bytes, cut between characters, each with all its segmentations.
 WORD_BYTES = 48
 #: Words, and languages, whose segmentations are summed at once.
@@ -190,9 +190,9 @@ def _blocks(size: np.ndarray) -> Iterator[np.ndarray]:
 
 def letter_words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each slice of texts: its rows, the lower-case bytes, starts, ends and text of its words of letters, and whether each opens a run of letters."""
-    data, offsets = arrays.text_bytes(pc.utf8_lower(column.cast(pa.large_string())))
-    for a, b in arrays.slices(offsets, SLICE_BYTES):
-        part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    for a, b in arrays.slices(np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), SLICE_BYTES):
+        part, at = arrays.text_bytes(pc.utf8_lower(column.slice(a, b - a).cast(pa.large_string())))
         starts, ends, first = arrays.spans(part, at, _LETTER)
         of, opens = arrays.owner(first), np.ones(len(starts), bool)
         if len(starts) and int((ends - starts).max()) > WORD_BYTES:
