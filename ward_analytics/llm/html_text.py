@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -52,9 +53,12 @@ STOP_HIGH = 0.2
 LINKS = 0.33
 ARTICLE_LINKS = 0.5
 
+# What has been read is never given back (possessive quantifiers), a tag ends at the next "<" at the latest, and a quote that nothing closes is a
+# character like others, so the time grows with the page and not with its square.
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s>/]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
-    r"|<[!?/][^>]*(?:>|\Z)|(?P<text>[^<]+|<)",
+    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>{RAW})\b[^<>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s<>/]*+)(?P<attributes>(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|(?=<)|\Z)"
+    r"|<[!?/][^>]*+(?:>|\Z)|(?P<text>[^<]++|<)",
     re.IGNORECASE | re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -75,10 +79,59 @@ class Block:
 @dataclass
 class _Element:
     tag: str
-    furniture: bool
-    article: bool
-    header: bool
-    link: bool
+    furniture: bool = False
+    article: bool = False
+    header: bool = False
+    link: bool = False
+    in_heading: bool = False
+    in_furniture: bool = False
+    #: Of a block: the open inline elements inside it, by tag.
+    inline: Counter = field(default_factory=Counter)
+
+
+class _Stack:
+    """Open elements. Each end tag takes away what it closes, or is known to close nothing without a look at the stack."""
+
+    def __init__(self) -> None:
+        self.elements = [_Element("")]
+        self.blocks = [0]
+        self.open = Counter()
+
+    @property
+    def top(self) -> _Element:
+        return self.elements[-1]
+
+    @property
+    def block(self) -> _Element:
+        return self.elements[self.blocks[-1]]
+
+    def push(self, element: _Element) -> None:
+        if element.tag in BLOCKS:
+            self.blocks.append(len(self.elements))
+            self.open[element.tag] += 1
+        else:
+            self.block.inline[element.tag] += 1
+        self.elements.append(element)
+
+    def _pop(self) -> str:
+        element = self.elements.pop()
+        if element.tag in BLOCKS:
+            self.blocks.pop()
+            self.open[element.tag] -= 1
+        else:
+            self.block.inline[element.tag] -= 1
+        return element.tag
+
+    def close_block(self) -> None:
+        """The innermost block and what is open inside."""
+        while self._pop() not in BLOCKS:
+            pass
+
+    def close(self, tag: str) -> None:
+        """An end tag; that of an inline element closes no block."""
+        if (self.open if tag in BLOCKS else self.block.inline)[tag] > 0:
+            while self._pop() != tag:
+                pass
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -97,16 +150,12 @@ def _named_furniture(attributes: dict[str, str]) -> bool:
 
 def blocks(page: str) -> list[Block]:
     """Blocks of text outside of furniture, in page order."""
-    found, stack, now = [], [_Element("", False, False, False, False)], None
-
-    def close(upto: int) -> None:
-        del stack[upto:]
-
+    found, stack, now = [], _Stack(), None
     for m in _TOKEN.finditer(page):
         text = m["text"]
         if text is not None:
-            top = stack[-1]
-            if top.furniture or top.header and not any(e.tag in HEADINGS for e in stack):
+            top = stack.top
+            if top.furniture or top.header and not top.in_heading:
                 continue
             if now is None:
                 now = Block(top.article)
@@ -123,33 +172,22 @@ def blocks(page: str) -> list[Block]:
         elif tag == "br" and now is not None:
             now.pieces.append(" ")
         if m["end"]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    close(i)
-                    break
-                if tag not in BLOCKS and stack[i].tag in BLOCKS:  # a stray inline end tag closes no block
-                    break
+            stack.close(tag)
             continue
-        if tag in BLOCKS:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p" or stack[i].tag == tag and tag in ("li", "dt", "dd", "td", "th", "tr", "option"):
-                    close(i)
-                    break
-                if stack[i].tag in BLOCKS:
-                    break
+        if tag in BLOCKS and (stack.block.tag == "p" or stack.block.tag == tag and tag in ("li", "dt", "dd", "td", "th", "tr", "option")):
+            stack.close_block()
         if tag in VOID or m["attributes"].rstrip().endswith("/") and tag not in BLOCKS:
             continue
-        top, attributes = stack[-1], _attributes(m["attributes"]) if m["attributes"] else {}
+        top, attributes = stack.top, _attributes(m["attributes"]) if m["attributes"] else {}
         hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or bool(_HIDDEN.search(attributes.get("style", "")))
         named = tag not in ("html", "body") and bool(attributes) and _named_furniture(attributes)
         opens = (tag in ("article", "main") or attributes.get("role") == "main" or attributes.get("itemprop") == "articleBody") and not named
-        inside = any(e.tag in FURNITURE for e in stack)
-        furniture = hidden or tag in FURNITURE or (top.furniture and not (opens and not inside)) or named and not opens
+        furniture = hidden or tag in FURNITURE or (top.furniture and not (opens and not top.in_furniture)) or named and not opens
         header = (top.header and not opens) or tag == "header"
         article = top.article or opens and not furniture
         if named and top.article and not hidden and attributes.get("role", "") not in ROLES and "header" in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower():
             furniture, header = top.furniture, True  # the head of the article itself: its headings stay
-        stack.append(_Element(tag, furniture, article, header, top.link or tag == "a"))
+        stack.push(_Element(tag, furniture, article, header, top.link or tag == "a", top.in_heading or tag in HEADINGS, top.in_furniture or tag in FURNITURE))
     for block in found:
         block.text = _SPACE.sub(" ", html.unescape("".join(block.pieces))).strip()
     return [b for b in found if b.text]
