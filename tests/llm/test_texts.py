@@ -2,11 +2,15 @@
 
 import itertools
 import math
+import os
 import random
+import re
+import time
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from ward_analytics.llm import arrays, decontaminate, html_text, langid, tables, toxicity
@@ -260,3 +264,100 @@ def test_pages(workers):
     assert found[1, "u"] == ("Some text é", 11) and found[1, None] == ("", 0) and found[None, "v"][1] == 239_999
     assert html_text.extract(pages.where("page_id > 5")).collect() == []
     assert len(list(itertools.chain(html_text.blocks(PAGE)))) > 5
+
+
+STORY = "The house was old and it had been empty for many years, but the people of the village said that there was a light in it. " * 3
+
+
+def plain_label(size, linked, stops, article):
+    """The first pass by the rules as written down."""
+    if linked > (0.5 if article else 0.33):
+        return False
+    if article:
+        return True if size >= 25 else None
+    if size < 70:
+        return False if linked else None
+    if stops >= 0.2:
+        return True if size > 200 else None
+    return None if stops >= 0.12 or linked == 0 else False
+
+
+def plain_classify(found):
+    """Both passes, block by block, with a look at all other blocks for the neighbours."""
+    share = lambda b: len(" ".join("".join(b.links).split())) / len(b.text)
+    labels = [plain_label(len(b.text), share(b), html_text.stop_density(b.text), b.article) for b in found]
+    if True not in labels:
+        labels = [True if x is None and share(b) == 0 and len(b.text) > 200 else x for b, x in zip(found, labels)]
+    inside = sum(len(b.text) for b, x in zip(found, labels) if b.article and x is not False)
+    if any(b.article for b in found) and inside >= sum(len(b.text) for b, x in zip(found, labels) if not b.article and x):
+        labels, found = [x for b, x in zip(found, labels) if b.article], [b for b in found if b.article]
+    out = []
+    for i, (b, label) in enumerate(zip(found, labels)):
+        behind = [j for j in range(i) if labels[j] is not None]
+        ahead = [j for j in range(i + 1, len(found)) if labels[j] is not None]
+        if label is None:
+            near = [*behind[-1:], *ahead[:1]]
+            if len(near) < 2:
+                label = labels[near[0]] if near else True
+            elif labels[near[0]] == labels[near[1]]:
+                label = labels[near[0]]
+            elif b.article or html_text.stop_density(b.text) >= 0.2:
+                label = True
+            else:
+                label = labels[near[0]] if i - near[0] < near[1] - i else labels[near[1]] if near[1] - i < i - near[0] else False
+        if label:
+            out.append(b.text)
+    return out
+
+
+def test_passes_equal_a_plain_version():
+    rng = random.Random(11)
+    kinds = [STORY, "Short one.", "Menu", "numbers 12 34 56 words without any stops " * 6, "the cat and the dog in the house " * 3, "x" * 90]
+    for _ in range(400):
+        parts = []
+        for _ in range(rng.randint(1, 9)):
+            text = rng.choice(kinds)
+            if rng.random() < 0.4:
+                at = rng.randint(0, len(text))
+                text = f"{text[:at]}<a href=x>{text[at:]}</a>"
+            parts.append(f"<article><p>{text}</p></article>" if rng.random() < 0.2 else f"<div>{text}</div>")
+        page = "".join(parts)
+        found = html_text.blocks(page)
+        assert [b.text for b in html_text.classify(html_text.blocks(page))] == plain_classify(found)
+
+
+def test_a_teaser_in_an_article_does_not_hide_the_story():
+    page = f"<body><nav><a href=x>Home</a></nav><div><p>{STORY}</p><p>{STORY}</p></div><article><p>Read this too, it is a good one.</p></article></body>"
+    assert html_text.main_text(page).count(STORY.strip()) == 2
+    assert html_text.main_text(f"<article><p>{STORY}</p></article><div>All rights are with the owner of the site.</div>") == STORY.strip()
+
+
+def test_names_inside_an_article_do_not_empty_it():
+    for name in ("ad-hoc", "social", "comment"):
+        assert html_text.main_text(f'<article><div class="{name}"><p>{STORY}</p></div></article>') == STORY.strip()
+    assert html_text.main_text(f'<article><p>{STORY}</p><div class="social">Share it with all of your friends.</div></article>') == STORY.strip()
+    assert html_text.main_text('<div class="ad">Buy it now, it is good for you.</div>') == ""
+
+
+def test_languages_without_known_stop_words():
+    italian = "Il gatto nero dormiva sopra il tetto della casa mentre pioveva forte e nessuno degli abitanti riusciva a vederlo. " * 3
+    japanese = "昔々あるところにおじいさんとおばあさんが住んでいました。" * 12
+    for story in (italian, japanese):
+        page = f"<ul><li><a href=x>Uno</a><li><a href=y>Due</a></ul><div><p>{story}</p><p>{story}</p></div><div><a href=z>{'altro ' * 20}</a></div>"
+        assert html_text.main_text(page) == f"{story.strip()}\n{story.strip()}"
+
+
+@pytest.mark.parametrize("probe", [
+    "<a " * 100_000 + '"', "<div>" * 60_000 + "</p>" * 60_000, "<b>" * 50_000 + "<hr>" * 50_000, "<script " * 60_000, "<a '" * 100_000 + '"',
+    "<b>" * 50_000 + "</i>" * 50_000, "<i><div>" * 40_000 + "</i>" * 40_000, "&amp;" * 200_000, "<!-- " * 100_000, "<p>" + "a " * 500_000,
+])
+def test_long_pages_of_odd_markup_take_seconds(probe):
+    began = time.process_time()
+    html_text.main_text(probe)
+    assert time.process_time() - began < 15
+
+
+@pytest.mark.skipif(not os.path.isfile("/root/testdata/sf0.01/pages.parquet"), reason="no test tables")
+def test_pages_read_the_same_without_the_mark_of_the_article():
+    for page in pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"]).column(0).to_pylist():
+        assert html_text.main_text(re.sub("</?article[^>]*>", "", page or "")) == html_text.main_text(page)

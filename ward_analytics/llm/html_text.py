@@ -2,8 +2,8 @@
 
 A page is cut into blocks at block-level tags. Menus, forms, adverts and the like go by what their elements are called. The first
 pass decides on the other blocks by length, link density and the density of stop words; short and doubtful ones stay open. In the
-second, an open block takes the label of its nearest decided neighbours. Where a page marks its article, only blocks inside count, and
-lack of stop words doesn't speak against them.
+second, an open block takes the label of its nearest decided neighbours. Where a page marks its article, only blocks inside count, unless
+the first pass finds more text outside.
 """
 
 from __future__ import annotations
@@ -148,8 +148,8 @@ def _named_furniture(attributes: dict[str, str]) -> bool:
     return False
 
 
-def blocks(page: str) -> list[Block]:
-    """Blocks of text outside of furniture, in page order."""
+def blocks(page: str, names_inside: bool = True) -> list[Block]:
+    """Blocks of text outside of furniture, in page order. ``names_inside``: whether classes and ids mark furniture within an article, too."""
     found, stack, now = [], _Stack(), None
     for m in _TOKEN.finditer(page):
         text = m["text"]
@@ -180,7 +180,7 @@ def blocks(page: str) -> list[Block]:
             continue
         top, attributes = stack.top, _attributes(m["attributes"]) if m["attributes"] else {}
         hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or bool(_HIDDEN.search(attributes.get("style", "")))
-        named = tag not in ("html", "body") and bool(attributes) and _named_furniture(attributes)
+        named = tag not in ("html", "body") and bool(attributes) and (names_inside or not top.article) and _named_furniture(attributes)
         opens = (tag in ("article", "main") or attributes.get("role") == "main" or attributes.get("itemprop") == "articleBody") and not named
         furniture = hidden or tag in FURNITURE or (top.furniture and not (opens and not top.in_furniture)) or named and not opens
         header = (top.header and not opens) or tag == "header"
@@ -211,16 +211,21 @@ def _decide(block: Block) -> bool | None:
     stops = stop_density(block.text)
     if stops >= STOP_HIGH:
         return True if size > LONG else None
-    if stops >= STOP_LOW:
-        return None
-    return False
+    # Without links a lack of stop words proves nothing: the text may be a table, or in another language than theirs.
+    return None if stops >= STOP_LOW or not linked else False
 
 
 def classify(found: list[Block]) -> list[Block]:
-    """The blocks of the main text. Labels are set by both passes."""
-    if any(b.article for b in found):
-        found = [b for b in found if b.article]
+    """The blocks of the main text. Labels are set by both passes. Blocks outside of a marked article count where the first pass finds more
+    text among them than inside, for then the mark is that of a teaser."""
     first = [_decide(b) for b in found]
+    if not any(first):  # no stop words that are known here: long blocks without links are text in any language
+        first = [True if label is None and not b.links and len(b.text) > LONG else label for b, label in zip(found, first, strict=True)]
+    inside = sum(len(b.text) for b, label in zip(found, first, strict=True) if b.article and label is not False)
+    outside = sum(len(b.text) for b, label in zip(found, first, strict=True) if not b.article and label)
+    if any(b.article for b in found) and inside >= outside:
+        first = [label for b, label in zip(found, first, strict=True) if b.article]
+        found = [b for b in found if b.article]
     known = [i for i, label in enumerate(first) if label is not None]
     before, after = -1, 0
     for i, block in enumerate(found):
@@ -245,7 +250,9 @@ def classify(found: list[Block]) -> list[Block]:
 
 
 def main_text(page: str | None) -> str:
-    return "\n".join(b.text for b in classify(blocks(page or "")))
+    """A marked article that would be empty is read once more without regard to the names inside: they can't mean furniture there."""
+    kept = classify(blocks(page or "")) or [b for b in classify(blocks(page or "", names_inside=False)) if b.article]
+    return "\n".join(b.text for b in kept)
 
 
 def extract(pages: DataFrame, page: str = "html", keep: list[str] | None = None) -> DataFrame:
