@@ -168,13 +168,24 @@ def test_leaks(workers, frame):
     assert by[7].n_matches == 12 and by[2].n_matches == 14
     kept = decontaminate.drop_leaking(frame(rows), items)
     assert kept.columns == ["doc_id", "text", "chunk", "n_words", "score"]
-    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 3, 4, 5, 8]
+    assert sorted((r.doc_id or 0) for r in kept.collect()) == [3, 4, 5, 8]  # the leaking row without an id goes, too
+    shared = decontaminate.drop_leaking(frame([(1, ITEM), (1, "clean"), (None, "clean"), (None, ITEM), (2, None)]), items)
+    assert sorted((r.doc_id or 0, r.text or "") for r in shared.collect()) == [(0, "clean"), (1, "clean"), (2, "")]
 
 
 def test_leaks_of_nothing(workers, frame):
     items = workers.createDataFrame([(100, ITEM)], "item_id long, text string")
     assert decontaminate.find_leaks(frame([(1, ITEM)]).where("doc_id < 0"), items).collect() == []
     assert decontaminate.find_leaks(frame([(1, ITEM)]), items.where("item_id < 0")).collect() == []
+    assert decontaminate.drop_leaking(frame([(1, ITEM)]).where("doc_id < 0"), items).collect() == []
+    assert [r.doc_id for r in decontaminate.drop_leaking(frame([(1, ITEM)]), items.where("item_id < 0")).collect()] == [1]
+
+
+def test_several_blocks_of_items_drop_what_one_does(workers, frame, monkeypatch):
+    items = workers.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(20))) for i in range(6)], "item_id long, text string")
+    rows = [(i, f"before {r.text} after" if i % 2 else "nothing here") for i, r in enumerate(items.collect())]
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 40)
+    assert sorted(r.doc_id for r in decontaminate.drop_leaking(frame(rows), items).collect()) == [0, 2, 4]
 
 
 def test_a_leak_is_the_best_stretch_that_is_alike_enough(workers, frame):

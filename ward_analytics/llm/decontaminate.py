@@ -18,8 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ward_analytics.llm import arrays, idmap
-from ward_analytics.llm.tables import cut
+from ward_analytics.llm import arrays
 
 #: Fixed: six counting positions each. Every stretch of at least LEAST_MATCHES agreements and LEAST_SHARE of its words holds one of them: each
 #: pattern of up to 27 words was tried (a longer one has a half that is alike enough, too). A seed only proposes: 11011011 survives
@@ -114,6 +113,22 @@ def _blocks(benchmark: DataFrame, item_id: str) -> Iterator[Index]:
         yield Index([r["item_id"] for r in rows], [r["text"] for r in rows])
 
 
+def _leaks(block: Index, texts: pa.Array) -> dict[tuple[int, int], tuple[int, int, int, int]]:
+    """The best leak of each row and item."""
+    data, offsets = arrays.text_bytes(pc.utf8_lower(texts.cast(pa.large_string())))
+    best: dict[tuple[int, int], tuple] = {}
+    for a, b in arrays.slices(offsets):
+        part = data[offsets[a] : offsets[b]]
+        starts, ends, first = arrays.spans(part, offsets[a : b + 1] - offsets[a], _WORD)
+        names = arrays.names(part, starts, ends)
+        for row, item, at in zip(*(x.tolist() for x in block.line_ups(names, first)), strict=True):
+            leak = block.verify(names, int(first[row]), int(first[row + 1]), item, at)
+            known = best.get((a + row, item))
+            if leak and (known is None or (-leak[3], leak[0]) < (-known[3], known[0])):
+                best[a + row, item] = leak
+    return best
+
+
 def find_leaks(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id") -> DataFrame:
     """A row for each document row and benchmark item it holds a stretch of: doc_id, item_id, doc_start, item_start, n_words, n_matches, similarity.
 
@@ -134,17 +149,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             block: Index = sent.value
             for batch in batches:
-                data, offsets = arrays.text_bytes(pc.utf8_lower(batch.column(1).cast(pa.large_string())))
-                best: dict[tuple[int, int], tuple] = {}
-                for a, b in arrays.slices(offsets):
-                    part = data[offsets[a] : offsets[b]]
-                    starts, ends, first = arrays.spans(part, offsets[a : b + 1] - offsets[a], _WORD)
-                    names = arrays.names(part, starts, ends)
-                    for row, item, at in zip(*(x.tolist() for x in block.line_ups(names, first)), strict=True):
-                        leak = block.verify(names, int(first[row]), int(first[row + 1]), item, at)
-                        known = best.get((a + row, item))
-                        if leak and (known is None or (-leak[3], leak[0]) < (-known[3], known[0])):
-                            best[a + row, item] = leak
+                best = _leaks(block, batch.column(1))
                 rows = sorted(best)
                 size = np.diff(block.first)
                 yield pa.RecordBatch.from_arrays(
@@ -163,7 +168,19 @@ def _arrow(kind: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}.get(kind, pa.string())
 
 
-def drop_leaking(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id") -> DataFrame:
-    """The documents whose id has no leak; those without an id are kept, since nothing tells them apart."""
-    leaking = cut(find_leaks(documents, benchmark, doc_id, item_id).select("doc_id").where("doc_id is not null").distinct())
-    return idmap.without(documents, leaking, doc_id)
+def drop_leaking(documents: DataFrame, benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """The rows that hold no leak, each judged by its own text whatever its id: one without an id goes if it leaks, and one that shares its id with a
+    leaking row stays. An empty benchmark keeps all rows. What one block of items leaves is searched for the next."""
+    spark = documents.sparkSession
+    rows = documents.select(F.struct(*documents.columns).alias("row"))
+    for index in _blocks(benchmark, item_id):
+        sent = spark.sparkContext.broadcast(index)
+
+        def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                stays = np.ones(batch.num_rows, bool)
+                stays[[row for row, _ in _leaks(sent.value, pc.struct_field(batch.column(0), text))]] = False
+                yield batch.filter(pa.array(stays))
+
+        rows = rows.mapInArrow(clean, rows.schema)
+    return rows.select("row.*")
