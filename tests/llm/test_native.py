@@ -24,9 +24,15 @@ def expected(text):
         here = [i for i in range(len(words)) if words[i : i + len(parts)] == parts]
         starts += here
         base |= {label} if here else set()
-    for line in low.split("\n"):
-        found = set(WORD.findall(line))
-        more |= {label for label, t in licenses.TEMPLATES.items() if len(found & set(t.split())) >= licenses.least_words(len(set(t.split())))}
+    for block in re.split(r"\n[\t\x0b\x0c\r ]*\n", low):
+        found = WORD.findall(block)
+        beside = set(zip(found, found[1:]))
+        for label, notice in licenses.TEMPLATES.items():
+            t = notice.split()
+            pairs = set(zip(t, t[1:]))
+            own = set(t) - {w for k, x in licenses.TEMPLATES.items() if k != label for w in x.split()}
+            if 2 * len(own & set(found)) >= len(own) and len(set(found) & set(t)) >= licenses.least_words(len(set(t))) and 2 * len(beside & pairs) >= len(pairs):
+                more.add(label)
     return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | more))
 
 
@@ -40,6 +46,30 @@ def test_licenses(frame):
     assert licenses.scan(df.where("doc_id < 0")).collect() == []
 
 
+MIT = """Permission is hereby granted, free of charge, to any person
+obtaining a copy of this software and associated documentation
+files (the "Software"), to deal in the Software without restriction"""
+BSD = """Redistribution and use in source and binary forms, with or
+    without modification, are permitted provided that the
+    following conditions are met:"""
+GPL = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License."""
+APACHE = """ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at"""
+
+
+def test_wrapped_notices_are_found_and_common_words_are_not(frame):
+    common = " ".join(sorted({w for t in licenses.TEMPLATES.values() for w in t.split()}))
+    texts = [MIT, BSD, GPL, APACHE, f"code\n\n{MIT}\n \t\nmore code", common, MIT.replace("granted,", "granted\n\n"), "\n\n\n\n", f"x\r\n\r\n{BSD}\r\n\r\ny"]
+    rows = list(enumerate(texts))
+    found = {r.doc_id: r for r in licenses.scan(frame(rows)).collect()}
+    assert [found[d].labels for d, _ in rows] == [expected(x)[-1] for _, x in rows]
+    assert [found[d].labels.split(",") for d in (0, 1, 2, 3)] == [["mit-notice"], ["bsd"], ["gpl", "gpl-3.0", "gpl-notice"], ["apache", "apache-2.0", "apache-notice"]]
+    assert found[0].score == found[4].score == 1.0 and found[5].labels == "" and found[5].score == 0.0 and found[8].labels == "bsd"
+
+
 def test_prefixes_miss_no_block():
     for n in range(1, 40):
         assert licenses.prefix_size(n) + licenses.least_words(n) == n + 1

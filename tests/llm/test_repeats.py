@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import brute
-from ward_analytics.llm import recompression, sharing, suffix_dedup
+from ward_analytics.llm import ngram_join, recompression, sharing, suffix_dedup
 
 
 def corpus(seed, n, alphabet, sizes, glue):
@@ -132,3 +132,22 @@ def test_groups_are_the_maximal_repeats(seed):
 def test_intervals():
     assert sorted(suffix_dedup.intervals([0, 1, 3, 2, 0], 5)) == [(0, 0, 4), (1, 0, 3), (2, 1, 3), (3, 1, 2)]
     assert list(suffix_dedup.intervals([0, 4, 4], 3)) == [(4, 0, 2), (0, 0, 2)] or list(suffix_dedup.intervals([0, 4, 4], 3))[0] == (4, 0, 2)
+
+
+def thue_morse(k):
+    """Two words of 2**k letters whose polynomials are equal modulo 2**64 for every base, from k = 10 on."""
+    a, b = "a", "b"
+    for _ in range(k):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_of_equal_polynomials_are_told_apart(frame):
+    for k in (6, 7, 10, 11):
+        a, b = thue_morse(k)
+        rest = [f"w{i}" for i in range(12)]
+        rows = [(1, " ".join([a, *rest])), (2, " ".join([b, *rest])), (3, " ".join([a, *rest]))]
+        removed = {r.doc_id: r.n_removed for r in recompression.remove_repeats(frame(rows)).collect()}
+        assert removed == {1: 0, 2: 0, 3: 13}
+        short = [(1, f"{a} x"), (2, f"{b} x"), (3, f"{a} x")]
+        assert {r.doc_id: r.component_id for r in ngram_join.classes(frame(short)).collect()} == {1: 1, 2: 2, 3: 1}

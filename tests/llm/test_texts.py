@@ -136,7 +136,7 @@ def test_toxicity_without_labels(workers, frame):
     assert [r.score < 0.01 for r in toxicity.score(frame([(1, "x")]), model, ["doc_id"]).collect()] == [True]
 
 
-def test_chances_of_a_history_sum_to_one():
+def test_grams_know_their_suffix_and_history():
     texts = pa.array(["aab aac abb", "aab ccc", "abc abc abd"])
     grams, ordinary, toxics = (np.concatenate(x) for x in zip(*toxicity.count_words(texts, np.array([0, 1, 1])), strict=True))
     names, where = np.unique(grams, return_inverse=True)

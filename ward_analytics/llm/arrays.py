@@ -6,6 +6,7 @@ batch has; a single text longer than that makes a slice of its own.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -13,9 +14,27 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+
+
+def _give_memory_back() -> None:
+    """Arrays of a few MB and more go back to the system when they are freed, where the C library can be told so; else a worker that is used again
+    keeps the most it ever took."""
+    mmap_threshold, trim_threshold = -3, -1  # fixed values of mallopt
+    try:
+        set_option = ctypes.CDLL(None).mallopt
+    except (OSError, AttributeError):
+        return
+    set_option(mmap_threshold, 4 << 20)
+    set_option(trim_threshold, 16 << 20)
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
+_give_memory_back()
+
 SLICE_BYTES = 4 << 20
-#: Words longer than this are named by their digest instead of the polynomial.
-LONG_WORD = 4096
+#: Words longer than this are named by their digest instead of the polynomial: modulo a power of two, words of some thousand bytes
+#: can be made that have equal polynomials for every base.
+LONG_WORD = 64
 
 _WORD_BYTE = np.ones(256, dtype=bool)
 _WORD_BYTE[[0x20, *range(0x09, 0x0E)]] = False

@@ -1,9 +1,11 @@
 """License scans by an exact set-similarity join. Native functions only.
 
-Each line of a text is a block, a set of words; each license notice is a template. A block meets a template if it holds at
-least a given share of the template's words. Words are ordered by how many blocks hold them, rarest first, over the whole table, so a
+Each paragraph of a text is a block, a set of words, so a notice that is wrapped over lines lies in one; each license notice is a template. A block
+meets a template if it holds at least a given share of the template's words, and a share of its pairs of neighbouring words side by
+side, which common words in any other order don't, and of the words that no other template has. Words are ordered by how many blocks hold them, rarest first, over the whole table, so a
 block that meets a template holds one of the few rarest words of it (prefix filter), has enough words (length
-filter), and enough words of the template from the one that was found on (positional filter). What is left is verified on the sets.
+filter), and enough words of the template from the one that was found on (positional filter). What is left is verified on the sets, then on the
+text.
 
 Templates are a small fixed table; blocks never meet one another. The base rules, phrases that stand in a text word by word, are native, too.
 """
@@ -19,6 +21,12 @@ SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 #: Share of a template's words that a block must hold.
 CONTAINED_PERCENT = 75
+#: Share of a template's pairs of neighbouring words that must be neighbours in the block.
+ORDERED_PERCENT = 50
+#: Share of the words that a template has and no other one, so that notices which differ by a name alone are told apart.
+OWN_PERCENT = 50
+#: What parts paragraphs.
+BLANK_LINE = "\n[\x09\x0B\x0C\x0D\x20]*\n"
 
 # Phrases with their labels, and notices as licenses word them.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -56,13 +64,25 @@ def _template_words() -> dict[str, list[str]]:
     return {label: sorted(set(text.split())) for label, text in TEMPLATES.items()}
 
 
+def pairs_of(text: str) -> list[str]:
+    """Neighbouring words of a template, each pair once, as they stand in a text whose words are set apart by blanks."""
+    words = text.split()
+    return sorted({f" {a} {b} " for a, b in zip(words, words[1:])})
+
+
+def own_words(label: str) -> list[str]:
+    """The words of a template that no other template has."""
+    every = _template_words()
+    return sorted(set(every[label]) - {w for other, words in every.items() if other != label for w in words})
+
+
 def _blocks(keyed: DataFrame) -> DataFrame:
-    """A row for each line that holds words of templates: row key, those words, and how many different words it has in all."""
+    """A row for each paragraph that holds words of templates: row key, its text, those words, and how many different words it has in all."""
     known = sorted({w for words in _template_words().values() for w in words})
-    line = F.explode(F.split(F.col("low"), "\n"))
-    lines = keyed.select("doc_id", "name", line.alias("line")).select("doc_id", "name", F.array_distinct(words_of(F.col("line"))).alias("words"))
-    return lines.select(
-        "doc_id", "name", F.size("words").alias("n"), F.array_intersect("words", F.array(*map(F.lit, known))).alias("words")
+    block = F.explode(F.split(F.col("low"), BLANK_LINE))
+    blocks = keyed.select("doc_id", "name", block.alias("block")).withColumn("words", F.array_distinct(words_of(F.col("block"))))
+    return blocks.select(
+        "doc_id", "name", "block", F.size("words").alias("n"), F.array_intersect("words", F.array(*map(F.lit, known))).alias("words")
     ).where(F.size("words") > 0)
 
 
@@ -75,14 +95,15 @@ def least_words(n: int) -> int:
     return -(-CONTAINED_PERCENT * n // 100)
 
 
-def _prefixes(spark: SparkSession, blocks: DataFrame) -> DataFrame:
-    """A row for each word of the prefix of each template, with the template's words in order; ordered by the blocks that hold them."""
+def _prefixes(spark: SparkSession, blocks: DataFrame) -> list[tuple[str, int, str, list[str], list[str], list[str]]]:
+    """For each word of the prefix of each template: its place, the label, the template's words in order, by the blocks that hold them, its pairs and its
+    own words."""
     held = {r["word"]: r["n"] for r in blocks.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
     rows = []
     for label, words in _template_words().items():
         ordered = sorted(words, key=lambda w: (held.get(w, 0), w))
-        rows += [(ordered[i], i, label, ordered) for i in range(prefix_size(len(ordered)))]
-    return spark.createDataFrame(rows, "word string, place int, label string, template array<string>")
+        rows += [(ordered[i], i, label, ordered, pairs_of(TEMPLATES[label]), own_words(label)) for i in range(prefix_size(len(ordered)))]
+    return rows
 
 
 def meetings(keyed: DataFrame) -> DataFrame:
@@ -90,16 +111,25 @@ def meetings(keyed: DataFrame) -> DataFrame:
 
     keyed: doc_id, name (of the text) and low (the text in lower case).
     """
+    spark = keyed.sparkSession
     blocks = _blocks(keyed)
+    prefixes = _prefixes(spark, blocks)
+    table = spark.createDataFrame(prefixes, "word string, place int, label string, template array<string>, pairs array<string>, own array<string>")
+    first = F.lit(sorted({word for word, *_ in prefixes}))
     least = F.floor((F.size("template") * CONTAINED_PERCENT + 99) / 100)
     found = (
-        blocks.select("doc_id", "name", "n", "words", F.explode("words").alias("word"))
-        .join(F.broadcast(_prefixes(keyed.sparkSession, blocks)), "word")
+        blocks.withColumn("hits", F.array_intersect("words", first)).where(F.size("hits") > 0)
+        .select("doc_id", "name", "block", "n", "words", F.explode("hits").alias("word"))
+        .join(F.broadcast(table), "word")
         .where(F.col("n") >= least)  # length
         .where(F.size(F.array_intersect("words", F.expr("slice(template, place + 1, size(template))"))) + F.col("place") >= least)  # position
+        .withColumn("held", F.size(F.array_intersect("words", "template"))).where(F.col("held") >= least)
+        .where(100 * F.size(F.array_intersect("words", "own")) >= OWN_PERCENT * F.size("own"))
     )
-    share = F.size(F.array_intersect("words", "template")) / F.size("template")
-    return found.withColumn("share", share).where(F.size(F.array_intersect("words", "template")) >= least).groupBy("doc_id", "name", "label").agg(F.max("share").alias("share"))
+    plain = F.concat(F.lit(" "), F.array_join(words_of(F.col("block")), " "), F.lit(" "))
+    beside = F.size(F.filter("pairs", lambda p: F.contains(F.col("plain"), p)))
+    ordered = found.withColumn("plain", plain).where(100 * beside >= ORDERED_PERCENT * F.size("pairs"))
+    return ordered.groupBy("doc_id", "name", "label").agg(F.max(F.col("held") / F.size("template")).alias("share"))
 
 
 def _starts(words: Column, phrase: str) -> Column:
@@ -117,8 +147,9 @@ def scan(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     """A row for each row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Words are runs of characters other than ASCII ones that are no letter or digit, A-Z read as a-z. n_base counts the places of all phrases,
-    first_word and last_word are the smallest and largest place a phrase starts at, else null. labels adds the templates that a line
-    meets. The score is 1 with a phrase, else the largest share of a template that a line holds, else 0.
+    first_word and last_word are the smallest and largest place a phrase starts at, else null. labels adds the templates that a paragraph
+    meets; paragraphs end at lines without any character but white space. The score is 1 with a phrase, else the largest share of a template that
+    a paragraph which meets it holds, else 0.
     A null text is empty. Repeated rows get equal results, also if doc_id is null; other columns don't matter; an empty table gives an
     empty table.
     """

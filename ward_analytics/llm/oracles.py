@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ward_analytics.llm.licenses import CONTAINED_PERCENT, PHRASES, TEMPLATES
+from ward_analytics.llm.licenses import CONTAINED_PERCENT, ORDERED_PERCENT, OWN_PERCENT, PHRASES, TEMPLATES
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LOW = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
@@ -59,7 +59,13 @@ def _values(name: str, columns: str, rows: list[tuple[str, ...]]) -> str:
 LICENSES = f"""
 WITH {_values("phrases", "phrase, label", list(PHRASES.items()))},
 {_values("notices", "notice_label, notice", [(k, v) for k, v in TEMPLATES.items()])},
-templates AS (SELECT notice_label, list_distinct(string_split(notice, ' ')) AS t FROM notices),
+templates AS (
+  SELECT notice_label, list_distinct(t) AS t, list_distinct(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS p
+  FROM (SELECT notice_label, string_split(notice, ' ') AS t FROM notices)),
+template_words AS (SELECT notice_label, unnest(t) AS word FROM templates),
+own_words AS (
+  SELECT notice_label, list(word) AS own FROM template_words
+  WHERE word IN (SELECT word FROM template_words GROUP BY 1 HAVING count(*) = 1) GROUP BY 1),
 words AS (SELECT doc_id, regexp_extract_all({LOW}, '{LICENSE_WORDS}') AS w FROM documents),
 places AS (
   SELECT doc_id, label, i FROM (
@@ -68,11 +74,12 @@ places AS (
   WHERE w[i:i + len(p) - 1] = p),
 base AS (SELECT doc_id, count(*) AS n, min(i) - 1 AS lo, max(i) - 1 AS hi FROM places GROUP BY 1),
 blocks AS (
-  SELECT doc_id, list_distinct(regexp_extract_all(line, '{LICENSE_WORDS}')) AS b
-  FROM (SELECT doc_id, unnest(string_split({LOW}, chr(10))) AS line FROM documents)),
+  SELECT doc_id, list_distinct(w) AS b, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS bp
+  FROM (SELECT doc_id, regexp_extract_all(unnest(string_split_regex({LOW}, '\n[\x09\x0B\x0C\x0D\x20]*\n')), '{LICENSE_WORDS}') AS w FROM documents)),
 met AS (
-  SELECT doc_id, notice_label AS label, max(len(list_intersect(b, t)) / len(t)) AS share
-  FROM blocks, templates WHERE 100 * len(list_intersect(b, t)) >= {CONTAINED_PERCENT} * len(t) GROUP BY 1, 2),
+  SELECT doc_id, notice_label AS label, max(len(list_intersect(b, t)) / len(t)) AS share FROM blocks, templates LEFT JOIN own_words USING (notice_label)
+  WHERE 100 * len(list_intersect(b, coalesce(own, []))) >= {OWN_PERCENT} * len(coalesce(own, [])) AND 100 * len(list_intersect(b, t)) >= {CONTAINED_PERCENT} * len(t) AND 100 * len(list_intersect(bp, p)) >= {ORDERED_PERCENT} * len(p)
+  GROUP BY 1, 2),
 base_labels AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS l FROM places GROUP BY 1),
 labels AS (
   SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS l
