@@ -7,10 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from ward_analytics.operators import scoring, tables
+from ward_analytics.operators.scoring import score_readings
 from ward_analytics.operators.latest import last_hours
 from ward_analytics.schemas import PATIENTS, READING, SCORES, required
 from ward_analytics.session import work_folder
-from ward_analytics.sources import files, kafka, messages
+from ward_analytics.sources import adapter, files, kafka, messages
 from ward_analytics.streaming.score_stream import write_scores_batch
 
 
@@ -168,3 +169,19 @@ def test_work_folder_uses_the_shared_setting(spark):
     shared = spark.conf.get("spark.checkpoint.dir")
     a, b = work_folder(spark, "x"), work_folder(spark, "x")
     assert a != b and a.startswith(f"{shared}/x-")
+
+
+def test_a_renamed_column_is_refused(spark, tmp_path):
+    spark.range(3).select(F.col("id").alias("event"), F.lit(1.0).alias("value")).write.parquet(f"{tmp_path}/events.parquet")
+    with pytest.raises(ValueError, match="lacks event_id, ts, user_id, event_type, props"):
+        adapter.load(spark, str(tmp_path), "events")
+
+
+def test_scores_need_a_session_in_utc(spark):
+    readings = spark.createDataFrame([(1, "spo2", 95.0)], "patient_id int, vital_sign string, value double").withColumn("event_time", F.current_timestamp())
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Paris")
+    try:
+        with pytest.raises(ValueError, match="must be UTC"):
+            score_readings(readings)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

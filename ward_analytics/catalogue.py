@@ -222,6 +222,10 @@ VITALS_TABLE_HEAD = (
     "-----|----|----|------|-----|----------|-------|-----",
 )
 NONE_DOCUMENTED = "none documented"
+PROMPT_BACKGROUND = "Patient background: "
+PROMPT_YEARS, PROMPT_NO_AGE, PROMPT_NO_SEX = " years old", "age unknown", "unknown"
+PROMPT_SCORE = "\nCurrent NEWS2 score: "
+PROMPT_NO_RISK = "UNKNOWN"
 PROMPT_ROLE = "You are a clinical decision support AI helping ICU doctors. "
 PROMPT_QUESTION = (
     "In 2-3 sentences, explain what might be happening clinically "

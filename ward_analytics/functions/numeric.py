@@ -74,16 +74,16 @@ def round_binary(c: Column, digits: int) -> Column:
     """
     scale = 10**digits
     ties = [Fraction(2 * k + 1, 2 * scale) for k in range(scale)]
-    at_tie = [Fraction(float(t)) > t or (Fraction(float(t)) == t and k % 2 == 1) for k, t in enumerate(ties)]
+    at_tie = "".join("1" if Fraction(float(t)) > t or (Fraction(float(t)) == t and k % 2 == 1) else "0" for k, t in enumerate(ties))
     size = F.abs(c)
     whole = F.floor(size)
     fraction = size - whole
     step = F.least(F.floor(fraction * scale), F.lit(scale - 1)).cast("int")
-    tie = F.get(F.array(*(F.lit(float(t)) for t in ties)), step)
-    up = (fraction > tie) | ((fraction == tie) & F.get(F.array(*map(F.lit, at_tie)), step))
+    tie = (step * 2 + 1) / F.lit(2.0 * scale)  # divided exactly, so the double next to the tie point
+    up = (fraction > tie) | ((fraction == tie) & (F.substring(F.lit(at_tie), step + 1, F.lit(1)) == "1"))
     rounded = (whole * scale + step + up.cast("int")) / F.lit(float(scale))
     exact = F.isnan(c) | (size >= 2.0**53 / scale)  # no decimals left to round
-    return F.when(c.isNull() | exact, c).otherwise(F.when(c < 0, -rounded).otherwise(rounded))
+    return F.when(c.isNull() | exact, c).otherwise(F.when(c < 0, -1.0).otherwise(1.0) * rounded)
 
 
 def f_to_c(c: Column) -> Column:

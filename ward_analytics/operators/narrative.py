@@ -14,9 +14,15 @@ from ward_analytics.catalogue import (
     NO_PROBLEMS_TEXT,
     NO_VITALS_TEXT,
     NONE_DOCUMENTED,
+    PROMPT_BACKGROUND,
+    PROMPT_NO_AGE,
+    PROMPT_NO_RISK,
+    PROMPT_NO_SEX,
     PROMPT_QUESTION,
     PROMPT_ROLE,
+    PROMPT_SCORE,
     PROMPT_VITALS,
+    PROMPT_YEARS,
     VITALS_TABLE_HEAD,
 )
 from ward_analytics.functions.numeric import age_years, f_to_c
@@ -195,20 +201,20 @@ def _prompts(joined: DataFrame, as_of: datetime | str, hours: int) -> DataFrame:
         F.nullif(F.array_join(c, ", "), F.lit("")), F.lit(NONE_DOCUMENTED)
     )
     prompt = F.concat(
-        F.lit(PROMPT_ROLE + "Patient background: "),
-        F.coalesce(F.concat(age.cast("string"), F.lit(" years old")), F.lit("age unknown")),
+        F.lit(PROMPT_ROLE + PROMPT_BACKGROUND),
+        F.coalesce(F.concat(age.cast("string"), F.lit(PROMPT_YEARS)), F.lit(PROMPT_NO_AGE)),
         F.lit(", "),
-        F.coalesce(F.nullif("sex", F.lit("")), F.lit("unknown")),
+        F.coalesce(F.nullif("sex", F.lit("")), F.lit(PROMPT_NO_SEX)),
         F.lit(", "),
         documented("past_medical_conditions"),
         F.lit(", "),
         documented("current_medications"),
         F.lit(PROMPT_VITALS.format(hours=hours)),
         F.coalesce("vitals_table", F.lit(NO_VITALS_TEXT.format(hours=hours))),
-        F.lit("\nCurrent NEWS2 score: "),
+        F.lit(PROMPT_SCORE),
         F.coalesce(F.col("news2_score").cast("string"), F.lit(DASH)),
         F.lit(" - "),
-        F.upper(F.coalesce("risk_level", F.lit("UNKNOWN"))),
+        F.upper(F.coalesce("risk_level", F.lit(PROMPT_NO_RISK))),
         F.lit(". " + PROMPT_QUESTION),
     )
     return joined.select("patient_id", prompt.alias("prompt"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ward_analytics.catalogue import VITALS
 from ward_analytics.functions.numeric import f_to_c, risk_level, score_vital
+from ward_analytics.session import require_utc
 
 
 def window_vitals(
@@ -34,8 +35,9 @@ def score_windows(
     """Score rows of ``window_vitals``.
 
     The bands for temperature are in °C; ``temperature_unit="F"`` converts for the score (the
-    stored value stays). A patient id that is no integer becomes null, for ``split_valid`` to find.
+    stored value stays). Window times lose their zone, so the session must be in UTC. A patient id that is no integer becomes null, for ``split_valid`` to find.
     """
+    require_utc(wide.sparkSession)
     if temperature_unit not in ("as_is", "F"):
         raise ValueError(f"temperature_unit must be 'as_is' or 'F', not {temperature_unit!r}")
     points = []

@@ -5,8 +5,11 @@ Values have two decimals, as bedside devices send them (cut, not rounded).
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ward_analytics.functions.numeric import band_column
 
@@ -36,8 +39,19 @@ EVENT_VITALS = {
 }
 
 
+@lru_cache(maxsize=256)
+def _check_columns(session: str, path: str, table: str) -> None:
+    """A fixed schema would read a renamed column as null; each table's own names are looked at once a session."""
+    there = SparkSession.active().read.parquet(path).columns
+    missing = [c for c in StructType.fromDDL(TABLES[table]).names if c not in there]
+    if missing:
+        raise ValueError(f"{path} lacks {', '.join(missing)}")
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.schema(TABLES[table]).parquet(f"{sf_dir}/{table}.parquet")
+    path = f"{sf_dir}/{table}.parquet"
+    _check_columns(spark.sparkContext.applicationId, path, table)
+    return spark.read.schema(TABLES[table]).parquet(path)
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
