@@ -1,8 +1,10 @@
 """Keyed state: live table, accounted late readings, look-backs that age, and restarts between any two files."""
 
 import datetime as dt
+from random import Random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from test_streaming import FILES, drop_files, message
@@ -114,3 +116,87 @@ def test_times_are_kept_to_the_microsecond(spark, tmp_path):
     live.start_accounted(live.windows_and_late(source(spark, tmp_path / "in")), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     (late,) = live.late_readings(spark, f"{tmp_path}/out").collect()
     assert late.event_time == dt.datetime(2024, 1, 1, 0, 1, 2, 345) and late.late_by == pytest.approx(1077.999655)
+
+
+class Handle:
+    """State and timers of one patient in memory, with a count of the calls."""
+
+    def __init__(self):
+        self.calls, self.held, self.timers = 0, {}, set()
+
+    def getMapState(self, name, key, value):  # noqa: N802
+        return self
+
+    def _called(self, result=None):
+        self.calls += 1
+        return result
+
+    def getValue(self, key):  # noqa: N802
+        return self._called(self.held.get(key))
+
+    def containsKey(self, key):  # noqa: N802
+        return self._called(key in self.held)
+
+    def updateValue(self, key, value):  # noqa: N802
+        self._called(self.held.update({key: value}))
+
+    def removeKey(self, key):  # noqa: N802
+        self._called(self.held.pop(key, None))
+
+    def registerTimer(self, at):  # noqa: N802
+        self._called(self.timers.add(at))
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.watermark
+
+    def getExpiryTimeInMs(self):  # noqa: N802
+        return self.expiry
+
+    def batch(self, processor, readings, watermark):
+        self.watermark = watermark
+        given = (Row(at=at * 1000, vital_sign=v, value=x) for at, v, x in readings)
+        out = list(processor.handleInputRows(("1",), given, self))
+        for self.expiry in sorted(t for t in self.timers if t <= watermark):
+            out += processor.handleExpiredTimer(("1",), self, self)
+            self.timers.discard(self.expiry)
+        return out
+
+
+def processor(block, most):
+    made, handle = live.WindowsAndLate(1000), Handle()
+    made.BLOCK, made.MOST = block, most
+    made.init(handle)
+    return made, handle
+
+
+@pytest.mark.parametrize("block, most", [(1, 1), (4, 3), (4, 1000), (4096, 1 << 18)])
+def test_blocks_give_each_window_once_whatever_comes_between(block, most):
+    random = Random(block * most)
+    made, handle = processor(block, most)
+    best, late, closed, late_seen, watermark = {}, [], {}, [], 0
+    for number in range(40):
+        readings = [(random.randrange(max(0, watermark - 4000), watermark + 20000), "spo2", random.choice([None, float(i)])) for i in range(30)]
+        for at, _, x in readings:
+            start = at // 1000 * 1000
+            if start + 1000 <= watermark:
+                late.append(at * 1000)
+            else:
+                best[start] = max((v for v in (best.get(start), x) if v is not None), default=None)
+        for r in handle.batch(made, readings, watermark):
+            if r.kind == "late":
+                late_seen.append(r.at)
+            else:
+                assert r.start // 1000 not in closed and r.start // 1000 + 1000 <= watermark
+                closed[r.start // 1000] = r.spo2
+        assert closed == {s: x for s, x in best.items() if s + 1000 <= watermark}
+        watermark += random.choice([0, 999, 1000, 7500, 30000])
+    assert late_seen == late and late
+    handle.batch(made, [], 10**9)
+    assert not handle.held and not handle.timers
+
+
+def test_state_is_called_by_block_and_not_by_reading():
+    made, handle = processor(live.WindowsAndLate.BLOCK, live.WindowsAndLate.MOST)
+    handle.batch(made, [(i * 1000 + j, "spo2", 90.0) for i in range(500) for j in range(3)], 0)
+    out = handle.batch(made, [], 10**6)
+    assert len(out) == 500 and handle.calls <= 5
