@@ -58,6 +58,18 @@ def test_updates_leave_other_ranges_alone(spark, tmp_path):
     assert stored.update_ranges(spark, path, new.where("id is null"), "id", insert, 10) == []
 
 
+def test_small_ranges_are_dealt_to_all_tasks(spark, tmp_path):
+    """Each folder costs the same, however few its bytes are; rows without a key are dealt, too."""
+    path = f"{tmp_path}/table"
+    table = spark.range(0, 4000, 1, 4).select(F.when(F.col("id") % 4 > 0, F.col("id")).cast("int").alias("id"), F.col("id").alias("n"))
+    stored.write_by_range(table, path, "id", 100)
+    written = [f.split(os.sep)[-2:] for f in stamps(path)]
+    assert len({folder for folder, _ in written}) == 41
+    assert len({file.split("-")[1] for folder, file in written if folder != "key_range=__HIVE_DEFAULT_PARTITION__"}) >= 4
+    assert len([1 for folder, _ in written if folder == "key_range=__HIVE_DEFAULT_PARTITION__"]) >= 2
+    assert rows(stored.read_by_range(spark, path)) == rows(table)
+
+
 def test_buckets_join_without_moving_rows(spark):
     table = scores(spark)
     profiles = spark.createDataFrame([(i, ["COPD"], None, ["Thiazide"]) for i in range(1, 12)], "patient_id int, past_medical_conditions array<string>, medical_history string, current_medications array<string>")

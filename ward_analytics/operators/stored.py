@@ -17,9 +17,15 @@ def key_range(key: str, size: int = RANGE) -> Column:
 
 
 def write_by_range(df: DataFrame, path: str, key: str, size: int = RANGE) -> None:
-    """A folder per range of an integer key. Ranges that are written anew are replaced, others keep their files."""
+    """A folder per range of an integer key. Ranges that are written anew are replaced, others keep their files.
+
+    A small folder costs its opening and closing, whatever it holds: ranges are dealt to tasks by number, where a deal by bytes gives all folders of
+    a small table to one task. Rows without a key share a folder but not a task."""
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    nowhere = F.when(F.col(key).isNull(), F.spark_partition_id())
     (
-        df.withColumn(RANGE_COLUMN, key_range(key, size)).hint("rebalance", RANGE_COLUMN).sortWithinPartitions(RANGE_COLUMN, key)
+        df.withColumn(RANGE_COLUMN, key_range(key, size)).repartition(tasks, RANGE_COLUMN, nowhere).sortWithinPartitions(RANGE_COLUMN, key)
         .write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(RANGE_COLUMN).parquet(path)
     )
 
