@@ -61,3 +61,15 @@ def test_breeding_never_gets_worse():
     start = packing.evolve(lengths, [], 7, generations=0, capacity=1000)
     bred = packing.evolve(lengths, start, 8, generations=30, capacity=1000)
     assert packing._fitness(lengths, bred[0], 1000) >= packing._fitness(lengths, start[0], 1000)
+
+
+def test_breeding_saves_bins_that_best_fit_leaves():
+    """Two islands of two epochs, as a shard has them, of lengths for which best fit takes a bin too many."""
+    for seed in (0, 3, 5):
+        lengths = np.random.default_rng(seed).integers(20, 60, 3000)
+        least = -(-int(lengths.sum()) // 1000)
+        founded = packing.evolve(lengths, [], 1, generations=0, capacity=1000)
+        assert packing._fitness(lengths, founded[0], 1000)[0] < -least
+        islands = [packing.evolve(lengths, [], 1 + i, capacity=1000) for i in range(packing.ISLANDS)]
+        bred = [packing.evolve(lengths, [*own, other[0]], 9 + i, capacity=1000) for i, (own, other) in enumerate(zip(islands, islands[::-1], strict=True))]
+        assert max(packing._fitness(lengths, p[0], 1000) for p in bred)[0] == -least
