@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import brute
@@ -151,3 +152,49 @@ def test_words_of_equal_polynomials_are_told_apart(frame):
         assert removed == {1: 0, 2: 0, 3: 13}
         short = [(1, f"{a} x"), (2, f"{b} x"), (3, f"{a} x")]
         assert {r.doc_id: r.component_id for r in ngram_join.classes(frame(short)).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def plain_anchors(docs):
+    """Each chosen suffix with its windows, by a look at every window alone."""
+    found, done = {}, 0
+    for doc in docs:
+        names = suffix_dedup._grams(np.frombuffer(doc, np.uint8), suffix_dedup.SEED)
+        for i in range(len(doc) - suffix_dedup.WIDTH + 1):
+            best = min(range(i, i + suffix_dedup.SIDE + 1), key=lambda j: (int(names[j]) >> 32, j))
+            found.setdefault((done + best, doc[best : best + suffix_dedup.SEED]), []).append(done + i)
+        done += len(doc)
+    return found
+
+
+@pytest.mark.parametrize("block", [1, 7, 64, 1 << 14])
+def test_windows_choose_alike_whatever_the_block(monkeypatch, block):
+    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+    rng = random.Random(8)
+    passage = bytes(rng.randrange(97, 100) for _ in range(200))
+    docs = [b"", b"a" * 130, passage, b"", b"x" * 49, b"b" * 50, passage[60:160] + b"zz", b"c", passage[:49] + b"\n" + passage, b""]
+    part, offsets = np.frombuffer(b"".join(docs), np.uint8), np.cumsum([0, *map(len, docs)])
+    place, first, count, names = suffix_dedup.anchors(part, offsets)
+    got = [(p, list(range(f, f + n))) for p, f, n in zip(place.tolist(), first.tolist(), count.tolist(), strict=True)]
+    want = plain_anchors(docs)
+    assert got == sorted((p, windows) for (p, _), windows in want.items())
+    assert len(set(names.tolist())) == len({seed for _, seed in want})
+    starts = np.sort(np.concatenate([np.arange(f, f + n) for f, n in zip(first, count, strict=True)]))
+    assert np.array_equal(suffix_dedup._window_grams(part, starts), suffix_dedup._grams(part, suffix_dedup.WIDTH)[starts])
+    assert not any(len(x) for x in suffix_dedup.anchors(part[:20], np.array([0, 20])))
+
+
+def test_buckets_get_like_numbers_of_suffixes():
+    """The chosen names are the smallest of many: by their highest bits nearly all would meet in the first bucket."""
+    text = np.random.RandomState(3).randint(97, 123, 200_000).astype(np.uint8).tobytes().decode()
+    documents = pa.table({"doc_id": pa.array([1], pa.int64()), "text": [text]})
+    _, names, _ = suffix_dedup._suffixes(documents, sharing.Notes(sharing._NOTES.empty_table()))
+    sizes = [b - a for _, a, b in sharing.buckets(np.unique(names), 3)]
+    assert len(sizes) == 8 and max(sizes) < 1.3 * min(sizes)
+
+
+def test_texts_are_read_three_times(frame, monkeypatch):
+    """Once for what is shared, once for contexts and windows together, once for the rows."""
+    calls, apply = [], sharing.Chunks.apply
+    monkeypatch.setattr(sharing.Chunks, "apply", lambda *args: calls.append(1) or apply(*args))
+    suffix_dedup.remove_repeats(frame([(1, "ab" * 40), (2, "ab" * 40 + "c")])).collect()
+    assert len(calls) == 3

@@ -21,13 +21,15 @@ import zstandard
 from pyspark.sql import DataFrame
 
 from ward_analytics.llm import arrays, sharing
-from ward_analytics.llm.sharing import OTHER, Chunks, Notes
+from ward_analytics.llm.sharing import FIRST, OTHER, Chunks, Notes
 
 WIDTH = 50
 SEED = 24
 SIDE = WIDTH - SEED
 #: Suffixes of which so many chunks hold different contexts meet by whole windows, which chunks reduce to one row each.
 WIDE = 4096
+#: Names are taken of so many windows at a time: arrays of this size stay in a core's cache.
+BLOCK = 1 << 14
 _BASE = np.uint64(arrays._BASE)
 _RECORD = 2 * SIDE + 2
 _WEIGHTS = arrays.powers(_RECORD, 0xC2B2AE3D27D4EB4F)
@@ -62,32 +64,58 @@ def _grams(part: np.ndarray, width: int) -> np.ndarray:
     return arrays.mix(out[:n])
 
 
-def anchors(part: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows inside one document (their starts), the chosen suffix of each, and the suffixes' names by position."""
-    starts = np.flatnonzero(arrays.inside_one(offsets, WIDTH, len(part)))
-    if not len(starts):
-        return starts, starts, np.empty(0, np.uint64)
-    names = _grams(part, SEED)
-    low = names & np.uint64(0xFFFFFFFF00000000) | np.arange(len(names), dtype=np.uint64)
-    reach = 1
-    while 2 * reach <= SIDE + 1:
-        low = np.minimum(low[:-reach], low[reach:])
-        reach *= 2
-    rest = SIDE + 1 - reach
-    if rest:
-        low = np.minimum(low[:-rest], low[rest:])
-    return starts, (low[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64), names
+def _pieces(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The bytes of each block of windows, and where they start."""
+    return ((x, part[x : x + BLOCK + WIDTH - 1]) for x in range(0, len(part) - WIDTH + 1, BLOCK))
+
+
+def anchors(part: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The suffixes chosen by windows inside one document, in order: start, first window, number of windows, name.
+
+    The windows that choose a suffix follow one another. Chosen are the smallest names; they are mixed once more, so that buckets get
+    like numbers of them.
+    """
+    found = [(np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)]
+    for x, piece in _pieces(part):
+        a, b = np.searchsorted(offsets, x, side="right") - 1, np.searchsorted(offsets, x + len(piece))
+        starts = np.flatnonzero(arrays.inside_one(np.clip(offsets[a : b + 1] - x, 0, len(piece)), WIDTH, len(piece)))
+        names = _grams(piece, SEED)
+        low = names & np.uint64(0xFFFFFFFF00000000) | np.arange(len(names), dtype=np.uint64)
+        reach = 1
+        while 2 * reach <= SIDE + 1:
+            low = np.minimum(low[:-reach], low[reach:])
+            reach *= 2
+        rest = SIDE + 1 - reach
+        if rest:
+            low = np.minimum(low[:-rest], low[rest:])
+        chosen = (low[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        step = _steps(chosen)
+        found.append((x + chosen[step], x + starts[step], np.diff(step, append=len(chosen)), arrays.mix(names[chosen[step]])))
+    place, first, count, names = map(np.concatenate, zip(*found, strict=True))
+    step = _steps(place)
+    return place[step], first[step], np.add.reduceat(count, step) if len(step) else count, names[step]
+
+
+def _window_grams(part: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Names of the windows at ``starts``, which ascend."""
+    found = [np.empty(0, np.uint64)]
+    for x, piece in _pieces(part):
+        a, b = np.searchsorted(starts, (x, x + BLOCK))
+        if a < b:
+            found.append(_grams(piece, WIDTH)[starts[a:b] - x])
+    return np.concatenate(found)
 
 
 def _slices(documents: pa.Table, notes: Notes) -> Iterator[tuple]:
-    """Rows, bytes, offsets, windows, chosen suffixes and names of each slice of a chunk; copies and rows without id have no windows."""
+    """Rows, bytes, offsets, and the chosen suffixes with their rows of each slice of a chunk; copies and rows without id have none."""
     data, offsets = arrays.text_bytes(documents.column("text"))
     skip = sharing.is_copy(documents, notes) | documents.column("doc_id").combine_chunks().is_null().to_numpy(zero_copy_only=False)
     for a, b in arrays.slices(offsets):
         part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-        starts, chosen, names = anchors(part, at)
-        keep = ~skip[a:b][np.searchsorted(at, starts, side="right") - 1]
-        yield a, b, part, at, starts[keep], chosen[keep], names
+        place, first, count, names = anchors(part, at)
+        row = a + np.searchsorted(at, place, side="right") - 1
+        keep = ~skip[row]
+        yield a, b, part, at, place[keep], first[keep], count[keep], names[keep], row[keep]
 
 
 def _ids(documents: pa.Table) -> np.ndarray:
@@ -102,23 +130,21 @@ def _steps(values: np.ndarray) -> np.ndarray:
 def _suffixes(documents: pa.Table, notes: Notes) -> tuple[list, np.ndarray, np.ndarray]:
     """Of each slice its chosen suffixes; and the names and owners of all of them."""
     ids, found, keys, owners = _ids(documents), [], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-    for a, b, part, at, starts, chosen, names in _slices(documents, notes):
-        place = chosen[_steps(chosen)]
-        row = a + np.searchsorted(at, place, side="right") - 1
-        found.append((a, b, part, at, starts, chosen, place, row))
-        keys.append(names[place])
+    for a, b, part, at, place, first, count, names, row in _slices(documents, notes):
+        found.append((a, b, part, at, place, first, count, row))
+        keys.append(names)
         owners.append(ids[row])
     return found, np.concatenate(keys), np.concatenate(owners)
 
 
 def _records(part: np.ndarray, at: np.ndarray, place: np.ndarray, row: np.ndarray) -> np.ndarray:
     """Left context (backwards), right context, and the length of both, of suffixes; row: within the slice."""
-    out = np.zeros((len(place), _RECORD), np.uint8)
+    out = np.empty((len(place), _RECORD), np.uint8)
     left, right = np.minimum(place - at[row], SIDE), np.minimum(at[row + 1] - place - SEED, SIDE)
     step = np.arange(SIDE)
-    last = max(len(part) - 1, 0)
-    out[:, :SIDE] = np.where(step < left[:, None], part[np.maximum(place[:, None] - 1 - step, 0)], 0)
-    out[:, SIDE:-2] = np.where(step < right[:, None], part[np.minimum(place[:, None] + SEED + step, last)], 0)
+    around = np.lib.stride_tricks.sliding_window_view(np.pad(part, SIDE), SIDE)
+    out[:, :SIDE] = around[place, ::-1] * (step < left[:, None])
+    out[:, SIDE:-2] = around[place + SEED + SIDE] * (step < right[:, None])
     out[:, -2], out[:, -1] = left, right
     return out
 
@@ -128,19 +154,21 @@ class _Entries:
 
     def __init__(self, documents: pa.Table, notes: Notes, bits: int):
         self.slices, names, owners = _suffixes(documents, notes)
-        common = sharing.shared_keys(names, owners, notes, bits)
-        wide = _wide_keys(names, owners, notes, bits)
+        order = np.argsort(names, kind="stable")
+        first = _steps(names[order])
+        times = np.diff(first, append=len(names))
+        common, wide = np.empty(len(names), bool), np.empty(len(names), bool)
+        for kind, told in ((sharing.SHARED, common), (sharing.WIDE, wide)):
+            told[order] = np.repeat(_told(names[order[first]], notes.bodies(kind), bits), times)
         self.hit, self.wide, records, keys = [], [], [np.empty((0, _RECORD), np.uint8)], [np.empty(0, np.uint64)]
         done = 0
-        for a, _, part, at, _, _, place, row in self.slices:
-            own = names[done : done + len(place)]
-            done += len(place)
-            broad = sharing.member(own, wide)
-            hit = np.flatnonzero(sharing.member(own, common) & ~broad)
+        for a, _, part, at, place, _, _, row in self.slices:
+            s = slice(done, done := done + len(place))
+            hit = np.flatnonzero(common[s] & ~wide[s])
             self.hit.append(hit)
-            self.wide.append(broad)
+            self.wide.append(wide[s])
             records.append(_records(part, at, place[hit], row[hit] - a))
-            keys.append(own[hit])
+            keys.append(names[s][hit])
         self.records, keys = np.concatenate(records), np.concatenate(keys)
         ids = _ids(documents)
         self.owners = np.concatenate([np.empty(0, np.int64), *(ids[s[7][h]] for s, h in zip(self.slices, self.hit, strict=True))])
@@ -156,36 +184,43 @@ class _Entries:
         self.lowest = self.owners[self.first]
 
 
-def _wide_keys(names: np.ndarray, owners: np.ndarray, notes: Notes, bits: int) -> np.ndarray:
-    keys, _, _ = sharing.distinct(names, owners)
-    bodies = notes.bodies(sharing.WIDE)
-    found = [keys[a:b][np.unpackbits(np.frombuffer(bodies[i], np.uint8), count=b - a).astype(bool)] for i, a, b in sharing.buckets(keys, bits) if i in bodies]
-    return np.concatenate(found) if found else np.empty(0, np.uint64)
+def _told(keys: np.ndarray, bodies: dict[int, bytes], bits: int) -> np.ndarray:
+    """Which of a chunk's different keys, in order, the bits in the notes mark."""
+    out = np.zeros(len(keys), bool)
+    for i, a, b in sharing.buckets(keys, bits):
+        if i in bodies:
+            out[a:b] = np.unpackbits(np.frombuffer(bodies[i], np.uint8), count=b - a)
+    return out
 
 
-def _window_names(documents: pa.Table, notes: Notes, bits: int, entries: _Entries | None = None) -> tuple[list, np.ndarray, np.ndarray]:
+def _window_names(documents: pa.Table, entries: _Entries) -> tuple[list, np.ndarray, np.ndarray]:
     """Windows that chose a suffix which meets by whole windows: places by slice, and all names and owners."""
-    entries = entries or _Entries(documents, notes, bits)
     ids, places, names, owners = _ids(documents), [], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-    for (a, _, part, at, starts, chosen, place, _), wide in zip(entries.slices, entries.wide, strict=True):
-        own = starts[wide[np.searchsorted(place, chosen)]] if wide.any() else starts[:0]
+    for (_, _, part, _, _, first, count, row), wide in zip(entries.slices, entries.wide, strict=True):
+        times = count[wide]
+        own = np.repeat(first[wide] - np.cumsum(times) + times, times) + np.arange(times.sum())
         places.append(own)
-        if len(own):
-            names.append(_grams(part, WIDTH)[own])
-            owners.append(ids[a + np.searchsorted(at, own, side="right") - 1])
+        names.append(_window_grams(part, own))
+        owners.append(ids[np.repeat(row[wide], times)])
     return places, np.concatenate(names), np.concatenate(owners)
 
 
-_SENT = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("body", pa.binary())])
+_SENT = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int64()), ("body", pa.binary()), ("more", pa.binary())])
 
 
 def _send(bits: int):
+    """A chunk's shared suffixes with their contexts (OTHER), and its windows that meet by their names (FIRST)."""
+
     def send(documents: pa.Table, notes: Notes) -> pa.Table:
         e, rows = _Entries(documents, notes, bits), []
+        chunk = documents.column("chunk")[0].as_py() if documents.num_rows else -1
         for bucket, a, b in sharing.buckets(e.keys, bits):
             body = np.concatenate((e.keys[a:b].view(np.uint8), e.lowest[a:b].view(np.uint8), e.records[e.first[a:b]].ravel())).tobytes()
-            rows.append((bucket, documents.column("chunk")[0].as_py(), zstandard.compress(body, 1)))
-        return pa.table(list(map(list, zip(*rows, strict=True))) or [[]] * 3, schema=_SENT)
+            rows.append((bucket, OTHER, chunk, zstandard.compress(body, 1), b""))
+        keys, lowest, _ = sharing.distinct(*_window_names(documents, e)[1:])
+        for bucket, a, b in sharing.buckets(keys, bits):
+            rows.append((bucket, FIRST, chunk, keys[a:b].tobytes(), lowest[a:b].tobytes()))
+        return pa.table(list(map(list, zip(*rows, strict=True))) or [[]] * 5, schema=_SENT)
 
     return send
 
@@ -239,6 +274,11 @@ def repeat_groups(left: np.ndarray, right: np.ndarray, left_size: np.ndarray, ri
 
 
 def _meet(table: pa.Table) -> pa.Table:
+    """What a bucket tells the chunks of one kind of what they sent."""
+    return sharing._meet_first(table) if table.column("kind")[0].as_py() == FIRST else _meet_suffixes(table)
+
+
+def _meet_suffixes(table: pa.Table) -> pa.Table:
     """Of each suffix, how far to the left and to the right the groups reach that also hold a smaller doc_id."""
     bodies = [zstandard.decompress(b) for b in table.column("body").to_pylist()]
     counts = [len(b) // (16 + _RECORD) for b in bodies]
@@ -297,11 +337,8 @@ def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     bits = chunks.bits
     notes, _ = chunks.copies()
     notes = notes.unionByName(chunks.shared(notes, lambda d, n: _suffixes(d, n)[1:], wide=WIDE))
-    sent = chunks.apply(notes, _send(bits), "bucket int, chunk long, body binary")
-    notes = (
-        notes.unionByName(sent.groupBy("bucket").applyInArrow(_meet, sharing.NOTES))
-        .unionByName(chunks.first_owner(notes, lambda d, n: _window_names(d, n, bits)[1:]))
-    )
+    sent = chunks.apply(notes, _send(bits), "bucket int, kind int, chunk long, body binary, more binary")
+    notes = notes.unionByName(sent.groupBy("bucket", "kind").applyInArrow(_meet, sharing.NOTES))
 
     def finish(table: pa.Table, found: Notes) -> pa.Table:
         e = _Entries(table, found, bits)
@@ -313,13 +350,13 @@ def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
         answer = reach[e.number]
         again = e.owners > e.lowest[e.number] if len(e.keys) else np.empty(0, bool)
         answer[again] = e.records[again][:, -2:]
-        places, own, owner = _window_names(table, found, bits, e)
+        places, own, owner = _window_names(table, e)
         names, lowest = sharing.first_owners(own, owner, found, bits)
         later = lowest[np.searchsorted(names, own)] < owner if len(own) else np.empty(0, bool)
         copy, done, wide_done = sharing.is_copy(table, found), 0, 0
         sizes, removed, n_spans, kept, spans = [], [], [], [], []
-        for (a, b, part, at, _, _, place, _), hit, windows in zip(e.slices, e.hit, places, strict=True):
-            cover = np.zeros(len(part) + 1, np.int64)
+        for (a, b, part, at, place, _, _, _), hit, windows in zip(e.slices, e.hit, places, strict=True):
+            cover = np.zeros(len(part) + 1, np.int32)
             far = answer[done : done + len(hit)].astype(np.int64)
             done += len(hit)
             there = far[:, 0] != _NONE
@@ -328,7 +365,7 @@ def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
             windows = windows[later[wide_done : (wide_done := wide_done + len(windows))]]
             np.add.at(cover, windows, 1)
             np.add.at(cover, windows + WIDTH, -1)
-            gone = np.cumsum(cover[:-1]) > 0
+            gone = np.cumsum(cover[:-1], dtype=np.int32) > 0
             gone |= np.repeat(copy[a:b] & (np.diff(at) >= WIDTH), np.diff(at))
             for x, y in zip(at.tolist(), at[1:].tolist(), strict=False):
                 edge = np.flatnonzero(np.diff(np.concatenate(([False], gone[x:y], [False])).astype(np.int8)))
